@@ -1,8 +1,11 @@
 """The queries of this subpackage and, where SQL can express one, its SQL."""
 
 from plansheet.llm.media import op2_media_columns
+from plansheet.llm.mixing import OP4_SQL, op4_source_mixing
 from plansheet.llm.packing import op3_best_fit_packing
+from plansheet.llm.substrings import OP10_SQL, op10_substring_dedup
 from plansheet.llm.tokens import op1_token_counts
+from plansheet.llm.warc import OP5_SQL, op5_warc
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_media_columns, op3_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_media_columns, op3_best_fit_packing, op4_source_mixing, op5_warc, op10_substring_dedup)}
+ORACLE_SQL = {"op4_source_mixing": OP4_SQL, "op5_warc": OP5_SQL, "op10_substring_dedup": OP10_SQL}
