@@ -73,7 +73,7 @@ def source_plan(sized: DataFrame, block: int, max_sources: int, share: float, mo
 
 def placed(sized: DataFrame, plan: DataFrame, seed: int = 0, buckets: int = 3) -> DataFrame:
     """sized (doc_id, source, size, ...) with its source's figures and `at`, its first word's place in the shuffled line."""
-    df = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])  # max_sources rows at most
+    df = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["source"])).drop(plan["source"]).withColumnRenamed("source", "_source")  # max_sources rows at most
     df = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))).withColumn("_bucket", F.substring("_h", 1, buckets))
     base = df.groupBy("src", "_bucket").agg(F.sum("size").alias("_n"))
     base = base.select("src", "_bucket", F.coalesce(F.sum("_n").over(Window.partitionBy("src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
@@ -129,6 +129,19 @@ def mix(df: DataFrame, block: int = 1024, share: float = 1.5, most: float = 2.0,
     return at, mixture(at, schedule(spark, plan, block), block)
 
 
+def mixed(df: DataFrame, **how) -> DataFrame:
+    """The mix as documents: a row of df for each time it is taken, its text cut where a source's last slot ends."""
+    at, runs = mix(df, keep=tuple(c for c in df.columns if c not in ("doc_id", "source")), **how)
+    taken = materialize(runs.groupBy("src", "at", "epoch").agg(F.sum("n").alias("taken")), "mix-taken")
+    out = at.where("size > 0").join(taken, ["src", "at"]).withColumn("source", F.col("_source"))
+    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("taken").cast("int"))
+    whole = F.col("taken") >= F.col("size")
+    out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(words, " ")))
+    if "n_chars" in df.columns:
+        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")))
+    return out.select(*df.columns)
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     at, runs = mix(table(spark, sf_dir, "documents"))
     taken = runs.groupBy("src", "at", "doc_id").agg(F.sum("n").alias("taken"))

@@ -168,10 +168,10 @@ def classes(df: DataFrame, radius: int = 4, shingle: int = 4, pivots: int = 16,
 
 
 def keep_one(df: DataFrame, **how) -> DataFrame:
-    """df without the rows whose class has a smaller id; rows that repeat a class's smallest id are reduced to one text."""
-    kept = classes(df, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    one = df.join(kept.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return one.dropDuplicates(["doc_id"])
+    """One row of df for each class, that with its smallest id. Rows without an id can't be told apart and stay."""
+    kept = classes(df.where("doc_id is not null"), **how).where("doc_id = component_id").select("doc_id").distinct()
+    one = df.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])  # a repeated id is one document
+    return one.select(*df.columns).unionByName(df.where("doc_id is null"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
