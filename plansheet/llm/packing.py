@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plansheet.llm._common import materialize, table
-from plansheet.llm.tokens import WordCodes, pieces, vocabulary
+from plansheet.llm.tokens import WordCodes, parts, pieces, vocabulary, word_codes
 
 
 def token_pieces(df: DataFrame, path: str, capacity: int = 4096, closing_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, batch_bytes: int = 1 << 20) -> DataFrame:
@@ -32,15 +32,17 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 4096, closing_id: int
     types = [None, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     full, closing = 4 * capacity, np.array([closing_id], "<u4").tobytes()
 
-    def cut(codes: WordCodes, text: bytes | None) -> Iterator[bytes]:
+    def learnt(codes: WordCodes, text: bytes) -> Iterator[list[bytes]]:
+        """A long text's parts, so many at a time."""
+        for piece in pieces(text, batch_bytes):
+            words = parts(piece)
+            codes.learn(set(words))
+            yield words
+
+    def cut(codes: WordCodes, runs: Iterable[list[bytes]]) -> Iterator[bytes]:
         held = b""
-        for piece in pieces(text or b"", batch_bytes):
-            words = piece.split()
-            try:
-                held += b"".join(map(codes.memo.__getitem__, words))
-            except KeyError:
-                codes.learn(set(words))
-                held += b"".join(map(codes.memo.__getitem__, words))
+        for words in runs:
+            held += b"".join(map(codes.memo.__getitem__, words))
             if len(held) >= full:
                 whole = len(held) // full * full
                 yield from (held[at : at + full] for at in range(0, whole, full))
@@ -49,7 +51,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 4096, closing_id: int
         yield from (held[at : at + full] for at in range(0, len(held), full))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = WordCodes(path, False)
+        codes = word_codes(path, False)
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             at = 0
@@ -59,11 +61,13 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 4096, closing_id: int
                     size += min(batch_bytes, len(texts[end].as_buffer() or b"") if texts[end].is_valid else 0)
                     end += 1
                 part = texts.slice(at, end - at).to_pylist()
-                codes.learn(set().union(*(t.split() for t in part if t and len(t) <= batch_bytes)))
+                runs = [[parts(t or b"")] if len(t or b"") <= batch_bytes else None for t in part]
+                codes.learn(set().union(*(r[0] for r in runs if r)))
                 rows, cols = [], [[] for _ in names[1:]]
-                for k, text in enumerate(part):
+                order = sorted(range(len(part)), key=lambda k: runs[k] is None)  # long texts last: they may clear the memo
+                for k in order:
                     start = 0
-                    for p, ids in enumerate(cut(codes, text)):
+                    for p, ids in enumerate(cut(codes, runs[k] or learnt(codes, part[k]))):
                         rows.append(at + k)
                         for c, v in zip(cols, (p, start, len(ids) // 4, zlib.crc32(ids), ids)):
                             c.append(v)
