@@ -69,7 +69,7 @@ def pack_texts(ids: list[int | None], texts: list[bytes | None]) -> bytes:
 
     n = np.array([len(ids)], "<i8")
     head = np.array([NO_ID if i is None else i for i in ids], "<i8"), np.array([i is None for i in ids], "u1"), np.array([len(t or b"") for t in texts], "<i8")
-    return zstandard.ZstdCompressor(level=1).compress(n.tobytes() + b"".join(a.tobytes() for a in head) + b"".join(t or b"" for t in texts))
+    return zstandard.ZstdCompressor(level=3).compress(n.tobytes() + b"".join(a.tobytes() for a in head) + b"".join(t or b"" for t in texts))
 
 
 def unpack_texts(blob: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -159,12 +159,41 @@ def _rows(keys: list[int], chunk: list[int], blobs: list[bytes]) -> pa.RecordBat
 _KEYED = "key bigint, chunk bigint, blob binary"
 
 
-def _by_range(chunk: int, ranges: int, values: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
-    """A row for each hash range with sorted values and the columns beside them."""
+def short(h: np.ndarray) -> np.ndarray:
+    """The top 47 bits of a hash, above a bit for a flag: what an anchor needs, since a false match of anchors costs work alone."""
+    return h >> np.uint64(16) & ~np.uint64(1)
+
+
+def pack_short(v: np.ndarray) -> bytes:
+    return v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack_short(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def pack_pairs(values: np.ndarray, ids: np.ndarray) -> bytes:
+    """Hashes as they are, for they don't compress, and ids compressed."""
+    import zstandard
+
+    return np.array([len(values)], "<i8").tobytes() + values.astype("<u8").tobytes() + zstandard.ZstdCompressor(level=1).compress(ids.astype("<i8").tobytes())
+
+
+def unpack_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    n = int(np.frombuffer(blob, "<i8", 1)[0])
+    return np.frombuffer(blob, "<u8", n, 8), np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8 + 8 * n :]), "<i8")
+
+
+def _by_range(chunk: int, ranges: int, values: np.ndarray, pack: Callable[..., bytes], *more: np.ndarray) -> pa.RecordBatch:
+    """A row for each hash range with sorted values and the columns beside them, packed."""
     keys = (values >> np.uint64(40)).astype(np.int64) * ranges >> 24
     cut = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0].tolist() if len(keys) else []
     ends = [*cut[1:], len(keys)]
-    return _rows(keys[cut].tolist(), [chunk] * len(cut), [b"".join(c[a:b].tobytes() for c in (values, *more)) for a, b in zip(cut, ends)])
+    return _rows(keys[cut].tolist(), [chunk] * len(cut), [pack(*(c[a:b] for c in (values, *more))) for a, b in zip(cut, ends)])
 
 
 def _grouped(df: DataFrame, key: str, run: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -181,8 +210,8 @@ def _anchor_rows(stored: DataFrame, ranges: int, window: int, period: int, cover
             for k, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob")):
                 c = Chunk(blob.as_py(), memo)
                 at, h = c.anchors(window, period, cover)
-                values, _, both = least(h, c.ids[c.doc[at]])
-                yield _by_range(k, ranges, values, both.astype("u1"))
+                values, _, both = least(short(h), c.ids[c.doc[at]])
+                yield _by_range(k, ranges, values << np.uint64(16), lambda v, b: pack_short(short(v) | b), both.astype(np.uint64))
 
     return stored.mapInArrow(run, _KEYED)
 
@@ -193,9 +222,9 @@ def _shared_anchors(rows: DataFrame) -> DataFrame:
     def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
         ks = t.column("chunk").to_pylist()
         blobs = [b.as_py() for b in t.column("blob")]
-        parts = [np.frombuffer(b, "<u8", len(b) // 9) for b in blobs]
-        both = np.concatenate([np.frombuffer(b, "u1", len(b) // 9, len(b) // 9 * 8) for b in blobs])
+        parts = [unpack_short(b) for b in blobs]
         every = np.concatenate(parts)
+        both, every = every & np.uint64(1), every & ~np.uint64(1)
         order = np.argsort(every, kind="stable")
         v = every[order]
         first = np.concatenate([[True], v[1:] != v[:-1]])
@@ -204,7 +233,7 @@ def _shared_anchors(rows: DataFrame) -> DataFrame:
         keep = np.empty(len(v), bool)
         keep[order] = many[group]
         ends = np.cumsum([len(p) for p in parts]).tolist()
-        out = [(k, p[keep[e - len(p) : e]].tobytes()) for k, p, e in zip(ks, parts, ends)]
+        out = [(k, pack_short(every[e - len(p) : e][keep[e - len(p) : e]])) for k, p, e in zip(ks, parts, ends)]
         out = [x for x in out if x[1]]
         yield _rows([0] * len(out), [k for k, _ in out], [b for _, b in out])
 
@@ -219,14 +248,14 @@ def _with_chunk(stored: DataFrame, rows: DataFrame) -> DataFrame:
 def _window_rows(both: DataFrame, ranges: int, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:
     def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
         keys, blobs = t.column("key").to_pylist(), [b.as_py() for b in t.column("blob")]
-        shared = [np.frombuffer(b, "<u8") for k, b in zip(keys, blobs) if k != -1]
+        shared = [unpack_short(b) for k, b in zip(keys, blobs) if k != -1]
         if not shared:
             return
         c = Chunk(blobs[keys.index(-1)], WordHashes())
         at, h = c.anchors(window, period, cover)
-        at, h = c.windows_at(at[np.isin(h, np.concatenate(shared))], window, period)
+        at, h = c.windows_at(at[np.isin(short(h), np.concatenate(shared))], window, period)
         values, ids, _ = least(h, c.ids[c.doc[at]])
-        yield _by_range(t.column("chunk")[0].as_py(), ranges, values, ids.astype("<i8"))
+        yield _by_range(t.column("chunk")[0].as_py(), ranges, values, pack_pairs, ids)
 
     return _grouped(both, "chunk", run, _KEYED)
 
@@ -236,9 +265,8 @@ def _first_windows(rows: DataFrame) -> DataFrame:
 
     def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
         ks, blobs = t.column("chunk").to_pylist(), [b.as_py() for b in t.column("blob")]
-        parts = [np.frombuffer(b, "<u8", len(b) // 16) for b in blobs]
-        ids = np.concatenate([np.frombuffer(b, "<i8", len(b) // 16, len(b) // 16 * 8) for b in blobs])
-        every = np.concatenate(parts)
+        parts, ids = zip(*map(unpack_pairs, blobs))
+        every, ids = np.concatenate(parts), np.concatenate(ids)
         order = np.lexsort((ids, every))
         v, i = every[order], ids[order]
         first = np.concatenate([[True], v[1:] != v[:-1]])
@@ -250,7 +278,7 @@ def _first_windows(rows: DataFrame) -> DataFrame:
             own = low[e - len(p) : e]
             less = own < ids[e - len(p) : e]
             if less.any():
-                out.append((k, p[less].tobytes() + own[less].tobytes()))
+                out.append((k, pack_pairs(p[less], own[less])))
         yield _rows([0] * len(out), [k for k, _ in out], [b for _, b in out])
 
     return _grouped(rows, "key", run, _KEYED)
@@ -262,9 +290,9 @@ def _kept(both: DataFrame, window: int, period: int, cover: tuple[int, ...], tex
     def run(t: pa.Table) -> pa.Table:
         keys, blobs = t.column("key").to_pylist(), [b.as_py() for b in t.column("blob")]
         c = Chunk(blobs[keys.index(-1)], WordHashes())
-        told = [b for k, b in zip(keys, blobs) if k != -1]
-        values = np.concatenate([np.frombuffer(b, "<u8", len(b) // 16) for b in told] or [np.empty(0, np.uint64)])
-        lows = np.concatenate([np.frombuffer(b, "<i8", len(b) // 16, len(b) // 16 * 8) for b in told] or [np.empty(0, np.int64)])
+        told = [unpack_pairs(b) for k, b in zip(keys, blobs) if k != -1]
+        values = np.concatenate([v for v, _ in told] or [np.empty(0, np.uint64)])
+        lows = np.concatenate([i for _, i in told] or [np.empty(0, np.int64)])
         at, h = c.runs(window, 2)
         ids = c.ids[c.doc[at]]
         own, own_low, _ = least(h, ids)  # a window's first document may be in this chunk
