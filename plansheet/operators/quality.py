@@ -64,11 +64,15 @@ def duplicate_pairs(segments: DataFrame, tol: float = 0.05) -> DataFrame:
 def crossings(segments: DataFrame, size: float = 20.0, tol: float = 1e-4) -> DataFrame:
     """(drawing_id, seg_a, seg_b, x, y): segments that cross away from all four ends."""
     pairs = box_pairs(segments.select("drawing_id", "seg_id", *SEG), size)
-    a, b = (tuple(F.col(f"{c}_{s}") for c in SEG) for s in "ab")
-    out = pairs.withColumn("_p", S.intersection(a, b)).where("_p is not null")
-    x, y = F.col("_p.x"), F.col("_p.y")
-    ends = [S.is_close(x, y, s[k], s[k + 1], tol) for s in (a, b) for k in (0, 2)]
-    return out.where(~(ends[0] | ends[1] | ends[2] | ends[3])).select("drawing_id", F.col("seg_id_a").alias("seg_a"), F.col("seg_id_b").alias("seg_b"), x.alias("x"), y.alias("y"))
+    a, b = ({c: F.col(f"{c}_{s}") for c in SEG} for s in "ab")
+    rx, ry, sx, sy = a["x2"] - a["x1"], a["y2"] - a["y1"], b["x2"] - b["x1"], b["y2"] - b["y1"]
+    dx, dy = b["x1"] - a["x1"], b["y1"] - a["y1"]
+    d = S.cross(rx, ry, sx, sy)
+    inner = lambda share, long: share.between(tol / long, 1.0 - tol / long)  # noqa: E731  farther than tol from both ends along the line
+    share = pairs.withColumn("_d", d).where(F.abs("_d") >= 1e-9)
+    out = share.where(inner(S.cross(dx, dy, sx, sy) / F.col("_d"), S.norm(rx, ry)) & inner(S.cross(dx, dy, rx, ry) / F.col("_d"), S.norm(sx, sy)))
+    t = S.cross(dx, dy, sx, sy) / F.col("_d")
+    return out.select("drawing_id", F.col("seg_id_a").alias("seg_a"), F.col("seg_id_b").alias("seg_b"), (a["x1"] + t * rx).alias("x"), (a["y1"] + t * ry).alias("y"))
 
 
 def validate(drawings: DataFrame, summary: DataFrame, loops: DataFrame, duplicates: DataFrame, crossed: DataFrame, box: DataFrame, original: DataFrame | None = None, percent: float = 0.5) -> DataFrame:

@@ -111,7 +111,7 @@ def measured(loops: DataFrame) -> DataFrame:
 
 def ranked_loops(loops: DataFrame) -> DataFrame:
     """Measured loops with rank 0 for the largest of a drawing, ties by number."""
-    return measured(loops).withColumn("rank", F.row_number().over(Window.partitionBy("drawing_id").orderBy(F.desc("area"), "loop_id")) - 1)
+    return measured(loops).withColumn("rank", F.row_number().over(Window.partitionBy("drawing_id").orderBy(F.desc(F.round("area", 6)), "loop_id")) - 1)
 
 
 def containment(loops: DataFrame) -> DataFrame:
