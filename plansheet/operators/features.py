@@ -128,7 +128,7 @@ def collinear_bundles(lines: DataFrame) -> DataFrame:
             if a not in used and (members := [b for b in sorted(near[a]) if b not in used]):
                 used |= {a, *members}
                 out.append((pdf.drawing_id.iloc[0], a, [a, *members]))
-        return pd.DataFrame(out, columns=["drawing_id", "seed", "members"])
+        return pd.DataFrame(out, columns=["drawing_id", "seed", "members"], dtype=object)
 
     kind = lines.schema["drawing_id"].dataType.simpleString()
     return collinear_pairs(lines).groupBy("drawing_id").applyInPandas(bundle, f"drawing_id {kind}, seed bigint, members array<bigint>")

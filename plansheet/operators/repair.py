@@ -336,20 +336,37 @@ def change_ratio(original: DataFrame, repaired: DataFrame) -> DataFrame:
     return both.select("drawing_id", F.when((F.col("n_old") == 0) | (F.col("n_new") == 0), 100.0).otherwise(ratio).alias("change"))
 
 
-def candidate_lines(segments: DataFrame, loops: DataFrame, boxes: DataFrame, corner_size: DataFrame, straighten: bool = True, zones: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Lines of the four candidates: quadrants with equal corners, quadrants, left to right, and the least change; each squared and welded."""
-    square = lambda rings: ranked_loops(rings.withColumn("pts", regularize_ring(F.col("pts"))))
-    quads = square(repair_rings(loops, boxes, "4_quadrant", straighten=straighten))
-    rings = {
-        "a": equalize_corners(quads, boxes, corner_size), "b": quads, "c": square(repair_rings(loops, boxes, "mirror_left_to_right", straighten=straighten)),
-        "d": square(loops.select("drawing_id", "loop_id", "pts")),
+CANDIDATES = ("a", "b", "c", "d")
+
+
+def tagged(df: DataFrame, candidates=CANDIDATES) -> DataFrame:
+    """df once for each candidate, with drawing_id/candidate for a drawing_id, so that one pass does all of them."""
+    k = F.explode(F.array(*map(F.lit, candidates)))
+    return df.withColumn("_k", k).withColumn("drawing_id", F.concat_ws("/", F.col("drawing_id").cast("string"), "_k")).drop("_k")
+
+
+def untagged(df: DataFrame, kind: str) -> DataFrame:
+    """A tagged table with its own drawing_id, of the given type, and candidate_id."""
+    at = F.regexp_extract("drawing_id", "^(.*)/(.)$", 1), F.regexp_extract("drawing_id", "^(.*)/(.)$", 2)
+    return df.withColumn("candidate_id", F.concat(F.lit("candidate_"), at[1])).withColumn("drawing_id", at[0].cast(kind))
+
+
+def candidate_lines(segments: DataFrame, loops: DataFrame, boxes: DataFrame, corner_size: DataFrame, straighten: bool = True, zones: DataFrame | None = None, candidates=CANDIDATES) -> DataFrame:
+    """Tagged lines of the candidates: quadrants with equal corners, quadrants, left to right, and the least change; each squared and welded."""
+    square = lambda rings: rings.withColumn("pts", regularize_ring(F.col("pts"))).select("drawing_id", "loop_id", "pts")
+    quads = square(repair_rings(loops, boxes, "4_quadrant", straighten=straighten)) if {"a", "b"} & set(candidates) else None
+    made = {
+        "a": lambda: equalize_corners(ranked_loops(quads), boxes, corner_size), "b": lambda: quads,
+        "c": lambda: square(repair_rings(loops, boxes, "mirror_left_to_right", straighten=straighten)), "d": lambda: square(loops),
     }
-    out = {k: rings_to_lines(r.select("drawing_id", "loop_id", "pts"), segments) for k, r in rings.items()}
-    bare = segments.join(loops.select("drawing_id").distinct(), "drawing_id", "left_anti")
-    out["d"] = out["d"].unionByName(deduplicate(regularize_lines(bare)).select(*out["d"].columns))
+    rings = union([tagged(made[k]().select("drawing_id", "loop_id", "pts"), (k,)) for k in candidates])
+    out = rings_to_lines(rings, tagged(segments, candidates))
+    if "d" in candidates:
+        bare = segments.join(loops.select("drawing_id").distinct(), "drawing_id", "left_anti")
+        out = out.unionByName(tagged(deduplicate(regularize_lines(bare)), ("d",)).select(*out.columns))
     if zones is not None:
-        out = {k: apply_zones(v, segments, zones) for k, v in out.items()}
-    return {k: weld(v) for k, v in out.items()}
+        out = apply_zones(out, tagged(segments, candidates), tagged(zones, candidates))
+    return weld(out)
 
 
 def rank_candidates(scored: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def closed_loops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         xy = dict(zip(pdf.u, zip(pdf.ux, pdf.uy))) | dict(zip(pdf.v, zip(pdf.vx, pdf.vy)))
         found = [c for c in cycle_basis(list(zip(pdf.u.tolist(), pdf.v.tolist()))) if len(c) >= 3]
         pts = [[{"x": float(xy[k][0]), "y": float(xy[k][1])} for k in c] for c in found]
-        return pd.DataFrame({"drawing_id": pdf.drawing_id.iloc[:1].repeat(len(found)).to_numpy(), "part": pdf.part.iloc[:1].repeat(len(found)).to_numpy(), "k": range(len(found)), "pts": pts})
+        return pd.DataFrame({"drawing_id": pdf.drawing_id.iloc[:1].repeat(len(found)).to_numpy(), "part": pdf.part.iloc[:1].repeat(len(found)).to_numpy(), "k": range(len(found)), "pts": pd.Series(pts, dtype=object)})
 
     kind = edges.schema["drawing_id"].dataType.simpleString()
     out = rows.groupBy("drawing_id", "part").applyInPandas(rings, f"drawing_id {kind}, part bigint, k int, pts array<struct<x:double,y:double>>")
