@@ -74,6 +74,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 4096, closing_id: int
                         start += len(ids) // 4
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types[1:]))], names)
                 at = end
+        pa.default_memory_pool().release_unused()
 
     kind = src.schema["id"].dataType.simpleString()
     return src.mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * keep_ids)

@@ -50,7 +50,7 @@ def parts(data: bytes) -> list[bytes]:
 class WordCodes:
     """Ids (little-endian unsigned 32 bits) or counts of parts of texts, memoized up to a bound."""
 
-    def __init__(self, path: str, lengths: bool, memo_entries: int = 800_000, call_bytes: int = 1 << 16):
+    def __init__(self, path: str, lengths: bool, memo_entries: int = 250_000, call_bytes: int = 1 << 16):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
