@@ -15,9 +15,16 @@ ROOT = Path(__file__).resolve().parents[2]
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch, so that Python workers hold some megabytes of texts at a time, however long these are.
+ARROW_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors, once for each context, unless they find it already."""
+    """Make this package importable on the executors, once for each context, unless they find it already, and bound Arrow batches by bytes."""
     sc = spark.sparkContext
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64m", "64MB", "67108864"):  # the default; a value of the user's stays
+        spark.conf.set(key, str(ARROW_BYTES))
     if getattr(sc, "_plansheet_shipped", False):
         return
     sc._plansheet_shipped = True
