@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[2]
 #: One word: everything but ASCII white space.
@@ -69,3 +70,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hidden(df: DataFrame, own: tuple[str, ...] = ("doc_id", "text", "source", "n_chars")) -> tuple[DataFrame, dict[str, str]]:
+    """df with the columns that an operator doesn't use under names that can't clash with its own, and those names."""
+    names = {c: c if c in own else f"_extra{k}" for k, c in enumerate(df.columns)}
+    return df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), names
+
+
+def shown(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of hidden() under their names again."""
+    return df.select(*(F.col(n).alias(c) for c, n in names.items()))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plansheet.llm._common import WORD, materialize, table
+from plansheet.llm._common import WORD, hidden, materialize, shown, table
 
 WEIGHTS = (5, 2, 1)
 PHI = 0.6180339887498949
@@ -131,15 +131,16 @@ def mix(df: DataFrame, block: int = 1024, share: float = 1.5, most: float = 2.0,
 
 def mixed(df: DataFrame, **how) -> DataFrame:
     """The mix as documents: a row of df for each time it is taken, its text cut where a source's last slot ends."""
-    at, runs = mix(df, keep=tuple(c for c in df.columns if c not in ("doc_id", "source")), **how)
+    df, names = hidden(df)
+    at, runs = mix(df, keep=tuple(c for c in names.values() if c not in ("doc_id", "source")), **how)
     taken = materialize(runs.groupBy("src", "at", "epoch").agg(F.sum("n").alias("taken")), "mix-taken")
     out = at.where("size > 0").join(taken, ["src", "at"]).withColumn("source", F.col("_source"))
     words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("taken").cast("int"))
     whole = F.col("taken") >= F.col("size")
     out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(words, " ")))
-    if "n_chars" in df.columns:
+    if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")))
-    return out.select(*df.columns)
+    return shown(out, names)
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

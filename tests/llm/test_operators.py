@@ -165,9 +165,9 @@ def test_mixing(spark, docs, empty, rows):
         assert r["epoch"] in (0, 1)
     assert all(taken[k] == int(goals[k] + 0.5) for k in names)
     assert max(r["s"] / r["size"] for r in runs.groupBy("src", "at", "size").agg(F.sum("n").alias("s")).collect()) <= 2
-    out = mixed(docs.drop("size", "src"), block=16)
+    out = mixed(docs, block=16)
     assert sum(len(WORD.findall(r["text"])) for r in out.collect()) == sum(taken.values())
-    assert out.columns == docs.drop("size", "src").columns
+    assert out.columns == docs.columns
     assert mix(empty)[1].count() == 0
 
 
