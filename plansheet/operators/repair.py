@@ -17,6 +17,7 @@ from plansheet.functions import scalar as S
 from plansheet.operators.generate import ring_edges
 from plansheet.operators.joins import nearest_segment, range_join
 from plansheet.operators.quality import duplicate_pairs
+from plansheet.operators.tables import stored
 from plansheet.operators.topology import endpoints, ranked_loops
 
 SEG = ("x1", "y1", "x2", "y2")
@@ -31,22 +32,31 @@ def regularize_ring(pts: Column, tol: float = 4.0) -> Column:
     n = F.size(pts)
 
     def edge(ring: Column, i: Column) -> Column:
-        p, q = F.get(ring, i), F.get(ring, (i + 1) % n)
+        both = F.struct(F.get(ring, i).alias("p"), F.get(ring, (i + 1) % n).alias("q"))
+        return S.let(both, lambda e: moved(ring, i, e["p"], e["q"]))
+
+    def moved(ring: Column, i: Column, p: Column, q: Column) -> Column:
         dx, dy = q["x"] - p["x"], q["y"] - p["y"]
-        a = S.line_angle(dx, dy)
-        mx, my, half = (p["x"] + q["x"]) / 2, (p["y"] + q["y"]) / 2, (F.abs(dx) + F.abs(dy)) / 4
         sx, sy = F.when(dx >= 0, 1.0).otherwise(-1.0), F.when(dy >= 0, 1.0).otherwise(-1.0)
-        level, upright, slant = (a < tol) | (a > 180.0 - tol), F.abs(a - 90.0) < tol, (F.abs(a - 45.0) < tol) | (F.abs(a - 135.0) < tol)
+        mx, my, half = (p["x"] + q["x"]) / 2, (p["y"] + q["y"]) / 2, (F.abs(dx) + F.abs(dy)) / 4
 
-        def end(z: Column, way: float) -> Column:
-            return F.when(level, S.point(z["x"], my)).when(upright, S.point(mx, z["y"])).when(slant, S.point(mx + way * sx * half, my + way * sy * half)).otherwise(z)
+        def ends(a: Column) -> Column:
+            """The edge's two ends after the rule that its angle falls under."""
+            level, upright, slant = (a < tol) | (a > 180.0 - tol), F.abs(a - 90.0) < tol, (F.abs(a - 45.0) < tol) | (F.abs(a - 135.0) < tol)
+            pair = lambda z, w: F.array(z, w)
+            return F.when(level, pair(S.point(p["x"], my), S.point(q["x"], my))).when(upright, pair(S.point(mx, p["y"]), S.point(mx, q["y"]))).when(slant, pair(S.point(mx - sx * half, my - sy * half), S.point(mx + sx * half, my + sy * half))).otherwise(pair(p, q))
 
-        moved = F.transform(ring, lambda z, j: F.when(j == i, end(p, -1.0)).when(j == (i + 1) % n, end(q, 1.0)).otherwise(z))
-        return F.when(S.norm(dx, dy) < 1e-4, ring).otherwise(moved)
+        new = F.when(S.norm(dx, dy) < 1e-4, F.array(p, q)).otherwise(S.let(S.line_angle(dx, dy), ends))
+        return S.let(new, lambda e: F.transform(ring, lambda z, j: F.when(j == i, F.get(e, F.lit(0))).when(j == (i + 1) % n, F.get(e, F.lit(1))).otherwise(z)))
 
     return F.when(n < 3, pts).otherwise(F.aggregate(F.sequence(F.lit(0), n - 1), pts, edge))
 
 
+def regularized(rings: DataFrame, tol: float = 4.0) -> DataFrame:
+    """Rings with regularize_ring applied."""
+    return rings.withColumn("pts", S.let(F.col("pts"), lambda p: regularize_ring(p, tol)))
+
+
 def regularize_lines(segments: DataFrame, tol: float = 4.0) -> DataFrame:
     """Lines turned about their middle to the nearest of the four directions within tol, short ones dropped."""
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
@@ -88,23 +98,23 @@ def shift(pts: Column, dx: Column, dy: Column) -> Column:
 def symmetrized(pts: Column, cx: Column | None = None, cy: Column | None = None) -> Column:
     """A ring made symmetric about x = cx, then about y = cy."""
     if cx is not None:
-        pts = _nearest_mirror(pts, lambda q: S.point(2.0 * cx - q["x"], q["y"]), "x")
+        pts = S.let(pts, lambda v: _nearest_mirror(v, lambda q: S.point(2.0 * cx - q["x"], q["y"]), "x"))
     if cy is not None:
-        pts = _nearest_mirror(pts, lambda q: S.point(q["x"], 2.0 * cy - q["y"]), "y")
+        pts = S.let(pts, lambda v: _nearest_mirror(v, lambda q: S.point(q["x"], 2.0 * cy - q["y"]), "y"))
     return pts
 
 
 def symmetrized_about(pts: Column, x: Column, y: Column, axis: Column) -> Column:
     """A ring with centroid (x, y) moved onto an axis, each point averaged with the nearest mirrored one."""
     p = S.project_on_axis(axis, x, y)
-    moved = shift(pts, p["x"] - x, p["y"] - y)
+    def averaged(moved: Column, mirror: Column) -> Column:
+        def one(z: Column) -> Column:
+            best = F.array_min(F.transform(mirror, lambda q, j: F.struct(S.distance_squared(z["x"], z["y"], q["x"], q["y"]).alias("d"), j.alias("j"))))
+            return S.let(F.get(mirror, best["j"]), lambda m: S.point((z["x"] + m["x"]) / 2, (z["y"] + m["y"]) / 2))
 
-    def one(z: Column) -> Column:
-        image = F.transform(moved, lambda q, j: F.struct(S.distance_squared(z["x"], z["y"], S.reflect(axis, q["x"], q["y"])["x"], S.reflect(axis, q["x"], q["y"])["y"]).alias("d"), S.reflect(axis, q["x"], q["y"]).alias("m")))
-        m = F.array_min(image)["m"]
-        return S.point((z["x"] + m["x"]) / 2, (z["y"] + m["y"]) / 2)
+        return F.transform(moved, one)
 
-    return F.transform(moved, one)
+    return S.let(shift(pts, p["x"] - x, p["y"] - y), lambda v: S.let(mirror_axis(v, axis), lambda m: averaged(v, m)))
 
 
 # strategies: each takes ranked loops and boxes (drawing_id, b), and gives rings (drawing_id, part, pts)
@@ -126,8 +136,8 @@ def four_quadrants(loops: DataFrame, boxes: DataFrame) -> DataFrame:
     m = m.withColumn("_best", F.min("_grade").over(Window.partitionBy("drawing_id", "_kind"))).where("_grade = _best")
     v, h = symmetrized(shift(pts, cx - x, F.lit(0.0)), cx=cx), symmetrized(shift(pts, F.lit(0.0), cy - y), cy=cy)
     rings = (
-        F.when(F.col("_kind") == "C", F.array(symmetrized(shift(pts, cx - x, cy - y), cx, cy))).when(F.col("_kind") == "V", F.array(v, mirror_y(v, cy)))
-        .when(F.col("_kind") == "H", F.array(h, mirror_x(h, cx))).otherwise(F.array(pts, mirror_x(pts, cx), mirror_y(pts, cy), mirror_x(mirror_y(pts, cy), cx)))
+        F.when(F.col("_kind") == "C", F.array(symmetrized(shift(pts, cx - x, cy - y), cx, cy))).when(F.col("_kind") == "V", S.let(v, lambda r: F.array(r, mirror_y(r, cy))))
+        .when(F.col("_kind") == "H", S.let(h, lambda r: F.array(r, mirror_x(r, cx)))).otherwise(F.array(pts, mirror_x(pts, cx), mirror_y(pts, cy), mirror_x(mirror_y(pts, cy), cx)))
     )
     return m.select("drawing_id", "loop_id", F.posexplode(rings).alias("part", "pts"))
 
@@ -353,14 +363,14 @@ def untagged(df: DataFrame, kind: str) -> DataFrame:
 
 def candidate_lines(segments: DataFrame, loops: DataFrame, boxes: DataFrame, corner_size: DataFrame, straighten: bool = True, zones: DataFrame | None = None, candidates=CANDIDATES) -> DataFrame:
     """Tagged lines of the candidates: quadrants with equal corners, quadrants, left to right, and the least change; each squared and welded."""
-    square = lambda rings: rings.withColumn("pts", regularize_ring(F.col("pts"))).select("drawing_id", "loop_id", "pts")
+    square = lambda rings: stored(regularized(rings).select("drawing_id", "loop_id", "pts"), "squared-rings")
     quads = square(repair_rings(loops, boxes, "4_quadrant", straighten=straighten)) if {"a", "b"} & set(candidates) else None
     made = {
         "a": lambda: equalize_corners(ranked_loops(quads), boxes, corner_size), "b": lambda: quads,
         "c": lambda: square(repair_rings(loops, boxes, "mirror_left_to_right", straighten=straighten)), "d": lambda: square(loops),
     }
     rings = union([tagged(made[k]().select("drawing_id", "loop_id", "pts"), (k,)) for k in candidates])
-    out = rings_to_lines(rings, tagged(segments, candidates))
+    out = stored(rings_to_lines(rings, tagged(segments, candidates)), "ring-lines")
     if "d" in candidates:
         bare = segments.join(loops.select("drawing_id").distinct(), "drawing_id", "left_anti")
         out = out.unionByName(tagged(deduplicate(regularize_lines(bare)), ("d",)).select(*out.columns))

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plansheet.shipping import ship
+
 
 def shared_folder(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_plansheet_tables", None)
@@ -18,6 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: its lineage ends here and it outlives executors."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -143,7 +143,7 @@ query("rep17_edited_drawing", lambda s, d: flows.Drawing(repair.edit_versions(si
 
 def panels(s: SparkSession, d: str) -> DataFrame:
     """A panel for every fifth customer: a 500 square with boxes in its corners, one of them off by some millimetres, and a middle one."""
-    c = s.read.parquet(f"{d}/customer.parquet").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("drawing_id"), (F.col("c_custkey") % 4 * 1.0).alias("e"))
+    c = views._read(s, d, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("drawing_id"), (F.col("c_custkey") % 4 * 1.0).alias("e"))
     box = lambda x, y, w, h: F.struct(F.lit(x).cast("double").alias("x"), F.lit(y).cast("double").alias("y"), F.lit(w).cast("double").alias("w"), F.lit(h).cast("double").alias("h"))
     off = F.struct((430.0 - F.col("e")).alias("x"), (430.0 + F.col("e") / 2).alias("y"), F.lit(50.0).alias("w"), F.lit(50.0).alias("h"))
     boxes = F.array(box(0, 0, 500, 500), box(20, 20, 50, 50), box(430, 20, 50, 50), box(20, 430, 50, 50), off, box(220, 220, 60, 60))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plansheet.shipping import ship
 from plansheet.sources import dxf, gcode, hpgl, svg
 from plansheet.sources.entities import ENTITY, FORMATS, MOST_BYTES, NAMES, Unreadable
 
@@ -41,6 +42,7 @@ def read_one(extension: str, data: bytes) -> tuple[list[tuple], str | None, list
 
 def parse(programs: DataFrame) -> DataFrame:
     """programs (drawing_id, extension, content) as entities; an unreadable one gives a row with its error and no entity."""
+    ship(programs.sparkSession)
     kind = programs.schema["drawing_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
