@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = Path(__file__).resolve().parents[2]
+from plansheet.shipping import ship
+
 #: One word: everything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,28 +18,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 ARROW_BYTES = 8 << 20
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors, once for each context, unless they find it already, and bound Arrow batches by bytes."""
-    sc = spark.sparkContext
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of ARROW_BYTES, where the session has the default; a value of the user's stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key) in ("67108864b", "64m", "64MB", "67108864"):  # the default; a value of the user's stays
+    if spark.conf.get(key) in ("67108864b", "64m", "64MB", "67108864"):
         spark.conf.set(key, str(ARROW_BYTES))
-    if getattr(sc, "_plansheet_shipped", False):
-        return
-    sc._plansheet_shipped = True
-    known = [Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    if ROOT in known:
-        return
-    folder = tempfile.mkdtemp()
-    name = os.path.join(folder, "plansheet_pkg.zip")
-    with zipfile.ZipFile(name, "w") as z:
-        for p in sorted((ROOT / "plansheet").rglob("*.py")):
-            z.write(p, p.relative_to(ROOT))
-    sc.addPyFile(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
