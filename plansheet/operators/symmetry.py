@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from plansheet.operators.tables import stored
 
 ORDERS = (2, 3, 4, 5, 6, 8, 10, 12, 16)
 AXIS = ("ox", "oy", "dx", "dy")
-#: A drawing with fewer points is compared in one array expression; larger ones go through the grid.
+#: A drawing with so many points at most is compared in one array kernel; larger ones go through the grid.
 SMALL = 4096
 
 
@@ -24,26 +25,42 @@ def boxes(pts: DataFrame) -> DataFrame:
     return pts.groupBy("drawing_id").agg(S.box(F.min("x"), F.min("y"), F.max("x"), F.max("y")).alias("b"), F.count(F.lit(1)).alias("n"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
 
 
-def deviations(pts: DataFrame, axes: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """(drawing_id, axis_id, id, x, y, dev): the distance of each point's mirror image to the nearest target.
+def _mirror_kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Deviations of one drawing's points (id, x, y) for each of its axes."""
+    out = pa.schema([left.schema.field("drawing_id"), ("axis_id", pa.int64()), left.schema.field("id"), ("x", pa.float64()), ("y", pa.float64()), ("dev", pa.float64())])
+    if not len(left) or not len(right):
+        return out.empty_table()
+    p = np.column_stack([left.column(c).to_numpy() for c in "xy"])
+    made = []
+    for k, *a in zip(*(right.column(c).to_pylist() for c in ("axis_id", *AXIS))):
+        o, d = np.array(a[:2]), np.array(a[2:])
+        image = 2 * (o + ((p - o) @ d)[:, None] * d) - p
+        near = [np.sqrt(((image[i : i + 512, None, 0] - p[None, :, 0]) ** 2 + (image[i : i + 512, None, 1] - p[None, :, 1]) ** 2).min(1)) for i in range(0, len(p), 512)]
+        made.append(pa.Table.from_arrays([left.column("drawing_id"), pa.array(np.full(len(p), k)), left.column("id"), left.column("x"), left.column("y"), pa.array(np.concatenate(near))], schema=out))
+    return pa.concat_tables(made)
 
-    pts has drawing_id, id, x, y; axes drawing_id, axis_id, a. A drawing's points lie together in an array for as long
-    as it is small, which costs no row for each pair; the points of large drawings are dealt by grid cells.
+
+def deviations(pts: DataFrame, axes: DataFrame) -> DataFrame:
+    """(drawing_id, axis_id, id, x, y, dev): the distance of each point's mirror image to the nearest point of its drawing.
+
+    pts has drawing_id, id, x, y; axes drawing_id, axis_id, a. A small drawing's points are compared in one array kernel,
+    which costs no row for each pair; the points of large drawings are dealt by grid cells.
     """
-    targets = pts if targets is None else targets
-    image = S.reflect(F.col("a"), F.col("x"), F.col("y"))
-    moved = pts.join(axes, "drawing_id").select("drawing_id", "axis_id", "id", "x", "y", image["x"].alias("mx"), image["y"].alias("my"))
-    size = targets.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("_n"))
-    small, large = size.where(F.col("_n") <= SMALL).select("drawing_id"), stored(size.where(F.col("_n") > SMALL).select("drawing_id"), "large-drawings")
-    held = targets.join(small, "drawing_id", "left_semi").groupBy("drawing_id").agg(F.collect_list(S.point(F.col("x"), F.col("y"))).alias("_all"))
-    d2 = F.array_min(F.transform("_all", lambda q: (q["x"] - F.col("mx")) * (q["x"] - F.col("mx")) + (q["y"] - F.col("my")) * (q["y"] - F.col("my"))))
-    near = moved.join(held, "drawing_id").select("drawing_id", "axis_id", "id", "x", "y", F.sqrt(d2).alias("dev"))
-    if large.isEmpty():
+    pts = pts.select("drawing_id", "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    size = pts.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("_n"))
+    large = stored(size.where(F.col("_n") > SMALL).select("drawing_id"), "large-drawings")
+    none = large.isEmpty()
+    flat = axes.select("drawing_id", F.col("drawing_id").alias("_drawing"), F.col("axis_id").cast("bigint").alias("axis_id"), *(F.col("a")[k].alias(k) for k in AXIS))
+    few = (lambda df: df) if none else (lambda df: df.join(large, "drawing_id", "left_anti"))
+    kinds = {c: pts.schema[c].dataType.simpleString() for c in ("drawing_id", "id")}
+    near = few(pts).groupBy("drawing_id").cogroup(few(flat).drop("drawing_id").groupBy("_drawing")).applyInArrow(_mirror_kernel, f"drawing_id {kinds['drawing_id']}, axis_id bigint, id {kinds['id']}, x double, y double, dev double")
+    if none:
         return near
-    left = moved.join(large, "drawing_id", "left_semi").withColumn("_id", F.struct("axis_id", "id"))
-    right = targets.join(large, "drawing_id", "left_semi").select("drawing_id", F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+    image = S.reflect(F.col("a"), F.col("x"), F.col("y"))
+    left = pts.join(large, "drawing_id", "left_semi").join(axes, "drawing_id").select("drawing_id", F.struct(F.col("axis_id").cast("bigint").alias("axis_id"), "id").alias("_id"), "x", "y", image["x"].alias("mx"), image["y"].alias("my"))
+    right = pts.join(large, "drawing_id", "left_semi").select("drawing_id", F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"))
     far = nearest(left.select("drawing_id", F.col("_id").alias("id"), F.col("mx").alias("x"), F.col("my").alias("y")), right)
-    return near.unionByName(left.drop("id").join(far.select("drawing_id", F.col("id").alias("_id"), "dist"), ["drawing_id", "_id"]).select("drawing_id", "axis_id", F.col("_id.id").alias("id"), "x", "y", F.col("dist").alias("dev")))
+    return near.unionByName(left.join(far.select("drawing_id", F.col("id").alias("_id"), "dist"), ["drawing_id", "_id"]).select("drawing_id", F.col("_id.axis_id").alias("axis_id"), F.col("_id.id").alias("id"), "x", "y", F.col("dist").alias("dev")))
 
 
 def profile(devs: DataFrame, tol: float = 0.2, area_error: DataFrame | None = None) -> DataFrame:

@@ -157,7 +157,9 @@ def test_nearest_is_exact(spark):
     assert got[999] == (None, math.inf)
 
 
-def test_symmetry_of_random_points(spark):
+@pytest.mark.parametrize("small", [4096, 10])
+def test_symmetry_of_random_points(spark, monkeypatch, small):
+    monkeypatch.setattr(symmetry, "SMALL", small)
     g = np.random.default_rng(23).normal(size=(300, 2)) * 100
     df = spark.createDataFrame([(1, k, *map(float, p)) for k, p in enumerate(g)], "drawing_id bigint, id bigint, x double, y double")
     axes = df.select("drawing_id").distinct().select("drawing_id", F.explode(F.array(*(F.struct(F.lit(k).cast("bigint").alias("axis_id"), S.axis(*lit(17, -31, a)).alias("a")) for k, a in enumerate((0, math.pi / 2, 0.237, 2.8))))).alias("h")).select("drawing_id", "h.*")
