@@ -104,7 +104,7 @@ query("stf6_axis_refinement", lambda s, d: symmetry.refine(seg_points(s, d), mid
 
 # deformation, quality, validation
 DEFQ = FEAT + f", m as (select drawing_id, count(*) filter ({LEN} < 25) as n_micro from geo_seg group by 1)"
-query("agg20_deformation", lambda s, d: quality.deformation(views.segments(s, d), features.kinks(geometry.corner(s, d)), views.segments(s, d), ranked(s, d).limit(0), 25.0).select("drawing_id", "n_kinks", "n_micro", F.round("deformation", 4).alias("deformation"), "is_acceptable").distinct(),
+query("agg20_deformation", lambda s, d: quality.deformation(plain(s, d), features.kinks(geometry.corner(s, d)), views.segments(s, d), ranked(s, d).limit(0), 25.0).select("drawing_id", "n_kinks", "n_micro", F.round("deformation", 4).alias("deformation"), "is_acceptable"),
       geometry.CORN + f", kk as (select drawing_id, count(*) as n_kinks, sum(180-angle) as dev from cr where angle between 174 and 179.7 group by 1), m as (select drawing_id, count(*) filter ({LEN} < 25) as n_micro from geo_seg group by 1), q as (select m.drawing_id, coalesce(n_kinks,0) as n_kinks, n_micro, least(50, 4*coalesce(dev,0))+least(25, 5*n_micro) as df from m left join kk on m.drawing_id = kk.drawing_id) select drawing_id, n_kinks, n_micro, round(df,4) + 0e0 as deformation, df < 12 as is_acceptable from q")
 plain = lambda s, d: views.segments(s, d).select("drawing_id").distinct()
 query("agg21_quality", lambda s, d: quality.quality(plain(s, d), geometry.PROFILE(s, d).select("drawing_id", "score"), LINES(s, d), features.spacing_clusters(features.parallel_pairs(LINES(s, d))), geometry.LF(s, d).limit(0), features.collinear_bundles(LINES(s, d)).limit(0), plain(s, d).withColumn("deformation", F.lit(3.0))).select("drawing_id", *(F.round(c, 4).alias(c) for c in ("angle", "spacing", "quality", "confidence")), "verdict"),
@@ -173,22 +173,23 @@ def cand(s: SparkSession, d: str, k: str) -> DataFrame:
 
 for _k, _name in (("a", "rep9_canonical_intent"), ("b", "rep10_quadrants_regularized"), ("c", "rep11_left_to_right"), ("d", "rep12_minimum_change")):
     query(_name, lambda s, d, k=_k: cand(s, d, k), f"select c_custkey as drawing_id, 24::bigint as n, 500e0 as x{PANEL}")
-query("joi20_local_symmetry", lambda s, d: (lambda g: clusters.local_symmetry(g.segments, clusters.motif_clusters(g.segments, g.loops)))(flows.Drawing(panels(s, d))).select("drawing_id", "cluster_id", F.round("score", 2).alias("score")), f", k as (select cast(c_custkey as varchar) as drawing_id{PANEL}) select drawing_id, cast(c as int) as cluster_id, 100e0 as score from k, range(1, 6) v(c)")
+query("joi20_local_symmetry", lambda s, d: (lambda g: clusters.local_symmetry(g.segments, clusters.motif_clusters(g.segments, g.loops, 45.0)))(flows.Drawing(panels(s, d))).select("drawing_id", "cluster_id", F.round("score", 2).alias("score")), f", k as (select cast(c_custkey as varchar) as drawing_id{PANEL}) select drawing_id, cast(c as int) as cluster_id, 100e0 as score from k, range(1, 6) v(c)")
 
 # streams
+CLOCK = "yyyy-MM-dd HH:mm:ss"
 SES = ", w as (select user_id, ts, value, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as new from events), g as (select *, sum(new) over (partition by user_id order by ts, value rows unbounded preceding) as k from w)"
-query("stream_sessions_batch", lambda s, d: inbox.sessions(s.read.parquet(f"{d}/events.parquet")).select("user_id", F.unix_seconds("start").alias("start"), F.unix_seconds("end").alias("finish"), "n", F.round("value", 4).alias("value")), SES + " select user_id, cast(epoch(min(ts)) as bigint) as start, cast(epoch(max(ts)) as bigint) + 1800 as finish, count(*) as n, round(sum(value),4) + 0e0 as value from g group by user_id, k")
+query("stream_sessions_batch", lambda s, d: inbox.sessions(s.read.parquet(f"{d}/events.parquet")).select("user_id", F.date_format("start", CLOCK).alias("start"), F.date_format("end", CLOCK).alias("finish"), "n", F.round("value", 4).alias("value")), SES + " select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, strftime(max(ts) + interval 30 minutes, '%Y-%m-%d %H:%M:%S') as finish, count(*) as n, round(sum(value),4) + 0e0 as value from g group by user_id, k")
 
 
 def hourly(s: SparkSession, d: str) -> DataFrame:
     """Events counted by hour and kind as a stream that takes what is there and ends: hours are given once the watermark has passed."""
     schema = s.read.parquet(f"{d}/events.parquet").schema
     events = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    counts = events.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    counts = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     name = f"{shared_folder(s)}/stream-{id(counts)}-{s.sparkContext.startTime}"
-    q = counts.select(F.unix_seconds("w.start").alias("start"), "event_type", "n").writeStream.format("parquet").option("path", f"{name}/out").option("checkpointLocation", f"{name}/state").outputMode("append").trigger(availableNow=True).start()
+    q = counts.select(F.date_format("w.start", CLOCK).alias("start"), "event_type", "n").writeStream.format("parquet").option("path", f"{name}/out").option("checkpointLocation", f"{name}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return s.read.schema("start bigint, event_type string, n bigint").parquet(f"{name}/out")
+    return s.read.schema("start string, event_type string, n bigint").parquet(f"{name}/out")
 
 
-query("stream_hourly_counts", hourly, ", m as (select max(ts) - interval 1 hour as mark from events), h as (select date_trunc('hour', ts) as h, event_type, count(*) as n from events group by 1, 2) select cast(epoch(h) as bigint) as start, event_type, n from h, m where h + interval 1 hour <= mark")
+query("stream_hourly_counts", hourly, ", m as (select max(ts) - interval 1 hour as mark from events), h as (select date_trunc('hour', ts) as h, event_type, count(*) as n from events group by 1, 2) select strftime(h, '%Y-%m-%d %H:%M:%S') as start, event_type, n from h, m where h + interval 1 hour <= mark")
