@@ -127,6 +127,7 @@ query("rep4_bilateral_x", lambda s, d: shape(repair.bilateral(ranked(s, d), rect
 SYM = RANKED + ", rb as (select drawing_id, (min(x0)+max(x0+w))/2 as cx, (min(y0)+max(y0+h))/2 as cy from geo_rect group by 1), mo as (select lp.*, cx, cy from lp join rb on lp.drawing_id = rb.drawing_id where rank > 0)"
 ORACLE_SQL["rep4_bilateral_x"] = views.HEAD + SYM + ", o as (select drawing_id, w, h, cx as x, y from mo where x0 < cx-1 and x0+w > cx+1 union all select drawing_id, w, h, x, y from mo where not (x0 < cx-1 and x0+w > cx+1) and round(x,6) <= round(cx,6) union all select drawing_id, w, h, 2*cx-x, y from mo where not (x0 < cx-1 and x0+w > cx+1) and round(x,6) <= round(cx,6)) select drawing_id, 4 as n, round(w*h,3) + 0e0 as area, round(x,3) + 0e0 as x, round(y,3) + 0e0 as y from o"
 query("rep5_bilateral_y", lambda s, d: shape(repair.bilateral(ranked(s, d), rect_boxes(s, d), "top")))
+ORACLE_SQL["rep5_bilateral_y"] = views.HEAD + SYM + ", o as (select drawing_id, w, h, x, cy as y from mo where y0 < cy-1 and y0+h > cy+1 union all select drawing_id, w, h, x, y from mo where not (y0 < cy-1 and y0+h > cy+1) and round(y,6) >= round(cy,6) union all select drawing_id, w, h, x, 2*cy-y from mo where not (y0 < cy-1 and y0+h > cy+1) and round(y,6) >= round(cy,6)) select drawing_id, 4 as n, round(w*h,3) + 0e0 as area, round(x,3) + 0e0 as x, round(y,3) + 0e0 as y from o"
 upright = lambda s, d: rect_boxes(s, d).select("drawing_id", S.vertical_axis(S.box_of(F.col("b"))["center_x"]).alias("a"))
 query("rep6_consensus", lambda s, d: shape(repair.consensus(ranked(s, d), upright(s, d))))
 query("rep7_central_loops", lambda s, d: shape(ranked(s, d).join(upright(s, d), "drawing_id").select("drawing_id", "loop_id", repair.symmetrized_about(F.col("pts"), F.col("x"), F.col("y"), F.col("a")).alias("pts"))), SYM + ", al as (select lp.*, cx from lp join rb on lp.drawing_id = rb.drawing_id) select drawing_id, 4 as n, round(w*h,3) + 0e0 as area, round(cx,3) + 0e0 as x, round(y,3) + 0e0 as y from al")
