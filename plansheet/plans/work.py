@@ -72,7 +72,7 @@ query("snk3_report_json", lambda s, d: writers.report_json(geometry.PROFILE(s, d
 query("snk5_worst_motif", lambda s, d: symmetry.loop_errors(ranked(s, d), geometry.MID(s, d)).groupBy("drawing_id").agg(F.max_by("loop_id", F.struct(F.round("dist", 4), -F.col("loop_id"))).alias("loop_id")), RANKED + ", m as (select a.drawing_id, a.loop_id, round(min(sqrt((4960-a.x-b.x)*(4960-a.x-b.x)+(a.y-b.y)*(a.y-b.y))),4) as dist from lp a join lp b on a.drawing_id = b.drawing_id and a.rank > 0 and b.rank > 0 group by 1, 2) select drawing_id, arg_max(loop_id, {d: dist, l: -loop_id}) as loop_id from m group by 1")
 
 # generators and filters that need more than a view
-query("gen5_cluster_samples", lambda s, d: generate.sample_segments(views.segments(s, d).where("seg_id % 4 = 1"), 8).groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x")), f"select drawing_id, 8*count(*) as n, {R('avg((x1+x2)/2)', 2)} as x from geo_seg where seg_id % 4 = 1 group by 1", 2)
+query("gen5_cluster_samples", lambda s, d: generate.sample_segments(views.segments(s, d).where("seg_id % 4 = 1"), 8).groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("x")), f"select drawing_id, 8*count(*) as n, {R('max(greatest(x1,x2))', 2)} as x from geo_seg where seg_id % 4 = 1 group by 1", 2)
 TGT = "(case when a > 174 then a-180 else a end)"
 NEAR = f"list_min([{', '.join(f'{{d: abs({TGT}-{t}), t: {t}e0}}' for t in (0, 45, 90, 135))}])"
 ANQ = f", ac as (select drawing_id, {TGT} as w, {NEAR} as t, count(*) over (partition by drawing_id) as al from f), an as (select drawing_id, t.t as target, 0.5*greatest(0,1-stddev_pop(w)/6)+0.5*least(1,count(*)/(0.15*max(al))) as c from ac where t.d <= 6 group by drawing_id, t.t)"
