@@ -80,11 +80,11 @@ def cycle_basis(edges: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def closed_loops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def closed_loops(nodes: DataFrame, edges: DataFrame, buckets: int = 16) -> DataFrame:
     """(drawing_id, loop_id, pts, n, signed_area, area, perimeter, x, y, b, rank): rings of the graph, largest first.
 
     A component whose nodes all have degree 2 is one ring; only components with branches need a cycle basis. Both are
-    ordered in a kernel that holds a component at a time.
+    ordered in a kernel that holds one of the buckets that a drawing's components are dealt to.
     """
     simple = edges.where("u <> v").select("drawing_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     roots = components(simple)
@@ -93,13 +93,14 @@ def closed_loops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rows = named.join(at.toDF("drawing_id", "u", "ux", "uy"), ["drawing_id", "u"]).join(at.toDF("drawing_id", "v", "vx", "vy"), ["drawing_id", "v"])
 
     def rings(pdf: pd.DataFrame) -> pd.DataFrame:
+        part_of = dict(zip(pdf.u, pdf.part)) | dict(zip(pdf.v, pdf.part))
         xy = dict(zip(pdf.u, zip(pdf.ux, pdf.uy))) | dict(zip(pdf.v, zip(pdf.vx, pdf.vy)))
         found = [c for c in cycle_basis(list(zip(pdf.u.tolist(), pdf.v.tolist()))) if len(c) >= 3]
         pts = [[{"x": float(xy[k][0]), "y": float(xy[k][1])} for k in c] for c in found]
-        return pd.DataFrame({"drawing_id": pdf.drawing_id.iloc[:1].repeat(len(found)).to_numpy(), "part": pdf.part.iloc[:1].repeat(len(found)).to_numpy(), "k": range(len(found)), "pts": pd.Series(pts, dtype=object)})
+        return pd.DataFrame({"drawing_id": pdf.drawing_id.iloc[:1].repeat(len(found)).to_numpy(), "part": [part_of[c[0]] for c in found], "k": range(len(found)), "pts": pd.Series(pts, dtype=object)})
 
     kind = edges.schema["drawing_id"].dataType.simpleString()
-    out = rows.groupBy("drawing_id", "part").applyInPandas(rings, f"drawing_id {kind}, part bigint, k int, pts array<struct<x:double,y:double>>")
+    out = rows.withColumn("_bucket", F.pmod(F.xxhash64("part"), F.lit(buckets))).groupBy("drawing_id", "_bucket").applyInPandas(rings, f"drawing_id {kind}, part bigint, k int, pts array<struct<x:double,y:double>>")
     return ranked_loops(out.withColumn("loop_id", F.row_number().over(Window.partitionBy("drawing_id").orderBy("part", "k")).cast("bigint") - 1).drop("part", "k"))
 
 
