@@ -4,7 +4,7 @@ Patterns: assigned values, access keys and long hexadecimal numbers, each kind's
 A match's place is the sum of the lengths before it, summed in runs of 256 matches so that a text with very many is no
 square.
 
-Battery: every maximal run of 20 to `longest` key characters with two kinds of characters out of capitals, small
+Battery: every maximal run of at least 20 key characters, of any length, with two kinds of characters out of capitals, small
 letters and digits is a candidate. Its encoding is the smallest alphabet that holds it. Three tests ask whether its
 symbols are drawn evenly and independently from that alphabet: Pearson's chi-squared against the uniform alphabet (with
 the exact variance for its length), the number of runs above and below the alphabet's middle, and the correlation of
@@ -53,8 +53,8 @@ def _total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
 
 
-def placed(df: DataFrame, kind: str, pattern: str, low: int = 1, high: int | None = None, group: bool = False, text: str = "_t") -> DataFrame:
-    """df with s_<kind>: an array of (start, end, value) of the pattern's matches with low to high characters (of its group, if it has one)."""
+def placed(df: DataFrame, kind: str, pattern: str, low: int = 1, group: bool = False, text: str = "_t") -> DataFrame:
+    """df with s_<kind>: an array of (start, end, value) of the pattern's matches with low or more characters (of its group, if it has one)."""
     m, g, n, runs, base, out = (f"_{x}_{kind}" for x in ("m", "g", "n", "runs", "base", "out"))
     df = df.withColumn(m, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     some = F.size(m) > 0
@@ -70,8 +70,7 @@ def placed(df: DataFrame, kind: str, pattern: str, low: int = 1, high: int | Non
         return let(start, lambda s: F.struct(s.alias("start"), (s + F.get(F.col(n), i)["own"]).alias("end"), F.get(F.col(g), i).alias("value")))
 
     empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
-    good = lambda x: (F.length(x) >= low) & (F.length(x) <= high if high else F.lit(True))
-    wanted = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: good(F.get(F.col(g), i)))
+    wanted = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: F.length(F.get(F.col(g), i)) >= low)
     df = df.withColumn(out, F.when(some, F.transform(wanted, one)))
     return df.withColumn(f"s_{kind}", F.coalesce(F.col(out), empty)).drop(m, g, n, runs, base, out)
 
@@ -134,13 +133,13 @@ def stratum(enc: Column, n: Column) -> Column:
     return F.concat(enc, F.lit(":"), band.cast("string"))
 
 
-def scanned(df: DataFrame, keep: tuple[str, ...] = (), shortest: int = 20, longest: int = 512) -> DataFrame:
+def scanned(df: DataFrame, keep: tuple[str, ...] = (), shortest: int = 20) -> DataFrame:
     """keep with the spans of the three patterns and the candidates with stratum and p-value, from text."""
     df = df.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
     df = placed(df, "assign", ASSIGN, 6, group=True)
     df = placed(df, "access", ACCESS)
     df = placed(df, "hex", HEX)
-    df = placed(df, "candidate", CANDIDATE, shortest, longest)
+    df = placed(df, "candidate", CANDIDATE, shortest)
     mixed = lambda v: (v.rlike("[0-9]").cast("int") + v.rlike("[a-z]").cast("int") + v.rlike("[A-Z]").cast("int")) >= 2
     alphabets = F.create_map(*(F.lit(x) for pair in ALPHABETS.items() for x in pair))
 

@@ -220,6 +220,20 @@ def test_secrets(spark, docs, empty, rows):
     assert redacted(empty).columns == empty.columns and redacted(empty).count() == 0
 
 
+def test_long_random_runs_are_masked(spark):
+    from plansheet.llm.secrets import ALPHABETS, found, redacted, scanned, thresholds
+
+    r = random.Random(12)
+    blobs = ["".join(r.choice(ALPHABETS["base64"]) for _ in range(n)) for n in (512, 513, 1700, 40_000)]
+    plain = ["word-" * 200 + "A1", "xy1" * 400]  # long, but not random
+    df = spark.createDataFrame([(i, f"é {x} end") for i, x in enumerate(blobs + plain)], "doc_id bigint, text string")
+    scan = scanned(df, ("doc_id",))
+    spans = {x["doc_id"]: [tuple(s) for s in x["spans"]] for x in found(scan, thresholds(scan)).collect()}
+    assert spans == {i: [(2, 3, 2 + len(x))] for i, x in enumerate(blobs)} | {4: [], 5: []}
+    clean = {x["doc_id"]: x["text"] for x in redacted(df).collect()}
+    assert clean == {i: "é [SECRET] end" for i in range(4)} | {4 + i: f"é {x} end" for i, x in enumerate(plain)}
+
+
 def test_randomness_battery(spark):
     from plansheet.llm.secrets import ALPHABETS, battery
     from pyspark.sql import functions as F
