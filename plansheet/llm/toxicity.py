@@ -1,9 +1,10 @@
 """Toxicity with a noisy channel: obfuscated words are restored before they are scored.
 
 Language model: letter trigrams (28 symbols) counted over all documents. Restoration: a white-space token with digits,
-symbols, marks or runs of a letter inside, or a run of single characters, is a lattice: a digit or symbol may stand for
-a letter that looks like it, a mark or space may be dropped or end a word, a repeated letter may be dropped. Viterbi's
-path under the model and the channel's costs is the restored text, and its words are scored beside the written ones.
+symbols, marks or a letter twice in a row, or a run of two or more single characters, is a lattice: a digit or symbol
+may stand for a letter that looks like it, a mark or space may be dropped or end a word, a repeated letter may be
+dropped. Viterbi's path under the model and the channel's costs is the restored text, and its words are scored beside
+the written ones. Tokens and runs are decoded whole, whatever their length; the cost is linear in it.
 
 Classifier: a decision list of word beginnings and whole words, fitted on at most `per_class` labelled rows of each
 class (chosen by a hash of the id, equal texts once): among features with support in toxic rows and next to none in
@@ -35,7 +36,7 @@ PRIOR = 0.05
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 MARKS = set(".-_*~'`,:;/\\^=#")
 LEET, KEEP_MARK, DROP_MARK, DROP_RUN, DROP_PAIR, BREAK = 0.7, 1.0, 0.5, 0.3, 3.0, 5.0
-LONGEST = 40
+MEMO_CHARS = 40  # longer tokens hardly come again
 
 
 def _classes() -> np.ndarray:
@@ -82,10 +83,18 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log((c + 20 * two[None]) / (c.sum(2, keepdims=True) + 20))
 
 
+def _written(path: tuple) -> str:
+    out = []
+    while path:
+        path, x = path
+        out.append(x)
+    return "".join(reversed(out))
+
+
 def restore(token: str, model: list, spaced: bool = False) -> str:
     """The likeliest words of a token's lattice, with a space between words."""
     token = token.lower()
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # paths are linked, so that steps copy no text
     for i, ch in enumerate(token):
         repeat = i > 0 and ch == token[i - 1]
         run = repeat and (i > 1 and token[i - 2] == ch or i + 1 < len(token) and token[i + 1] == ch)
@@ -103,7 +112,7 @@ def restore(token: str, model: list, spaced: bool = False) -> str:
             options += [(0, " ", KEEP_MARK + spaced), (-1, "", 0.0 if spaced else DROP_MARK)]
         else:
             options.append((0, " ", 0.0))
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (cost, out) in best.items():
             row = model[a][b]
             for c, x, extra in options:
@@ -112,38 +121,46 @@ def restore(token: str, model: list, spaced: bool = False) -> str:
                 elif c == 0 and b == 0:
                     key, value = (a, b), (cost + extra, out)
                 else:
-                    key, value = (b, c), (cost + extra - row[c], out + x)
+                    key, value = (b, c), (cost + extra - row[c], (out, x))
                 if key not in new or value[0] < new[key][0]:
                     new[key] = value
         best = new
-    return min((cost - (model[a][b][0] if b else 0.0), out) for (a, b), (cost, out) in best.items())[1]
+    ends = [(cost - (model[a][b][0] if b else 0.0), out) for (a, b), (cost, out) in best.items()]
+    least = min(cost for cost, _ in ends)
+    return min(_written(out) for cost, out in ends if cost == least)
 
 
 _WORD = re.compile(r"[^\W\d_]+")
-_NOISY = re.compile(r"[^\W\d_].*[\d@$!|+(€£]|[\d@$!|+(€£].*[^\W\d_]|[^\W\d_][.\-_*~'`,:;/\\^=#]+[^\W\d_]|([^\W\d_])\1\1")
+_SYMBOL = re.compile(r"[\d@$!|+(€£]")
+_JOINED = re.compile(r"[^\W\d_][.\-_*~'`,:;/\\^=#]+[^\W\d_]")
+_TWICE = re.compile(r"([^\W\d_])\1", re.IGNORECASE)
+
+
+def noisy(token: str) -> bool:
+    """Whether a token has symbols that look like letters, marks between letters, or a letter twice in a row."""
+    return bool(len(token) > 1 and _SYMBOL.search(token) or _JOINED.search(token) or _TWICE.search(token))
 
 
 def token_words(token: str, model: list) -> set[str]:
     """The words of a white-space token, as written and as restored."""
     words = set(_WORD.findall(token.lower()))
     bare = token.strip(".,;:!?\"'()[]{}")
-    if not bare.isalpha() and len(bare) <= LONGEST and _NOISY.search(bare) and sum(map(str.isalpha, bare)) >= 2 or bare.isalpha() and len(bare) <= LONGEST and re.search(r"(.)\1\1", bare.lower()):
+    if noisy(bare):
         words |= set(_WORD.findall(restore(bare, model)))
     return words
 
 
 def spaced_words(tokens: list[str], model: list) -> set[str]:
-    """Words spelt out over runs of at least four single characters."""
+    """Words spelt out over runs of single characters."""
     out: set[str] = set()
     run: list[str] = []
     for t in [*tokens, ""]:
         if len(t) == 1 and not t.isspace():
             run.append(t)
         else:
-            if len(run) >= 4:
-                for at in range(0, len(run), LONGEST // 2):
-                    words = _WORD.findall(restore(" ".join(run[at : at + LONGEST]), model, True))
-                    out |= {w[k:] for w in words for k in range(3) if len(w) > k}  # single letters before it may have stuck
+            if len(run) > 1:
+                words = _WORD.findall(restore(" ".join(run), model, True))
+                out |= {w[k:] for w in words for k in range(3) if len(w) > k}  # single letters before it may have stuck
             run = []
     return out
 
@@ -263,7 +280,9 @@ def score(docs: DataFrame, fitted: dict, model: np.ndarray, id_col: str = "doc_i
                 for x in set(tokens):
                     h = memo.get(x)
                     if h is None:
-                        memo[x] = h = frozenset(hits(token_words(x, m))) or none
+                        h = frozenset(hits(token_words(x, m))) or none
+                        if len(x) <= MEMO_CHARS:
+                            memo[x] = h
                     if h:
                         found |= h
                 found |= hits(spaced_words(tokens, m))

@@ -368,6 +368,29 @@ def test_toxicity(spark):
     assert all(held[i] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in held)
 
 
+def test_toxicity_of_long_and_short_forms(spark):
+    from plansheet.llm.toxicity import score, trained
+
+    r = random.Random(10)
+    words = ["table", "garden", "moving", "silver", "window", "paper", "stone", "letter", "round", "morning", "student", "person", "room", "number"]
+    texts = []
+    for i in range(600):
+        t = [r.choice(words) for _ in range(r.randint(5, 40))]
+        if i % 4 == 0:
+            t.insert(r.randrange(len(t)), r.choice(["moron", "ass", "pathetic"]))
+        texts.append((i, " ".join(t), int(i % 4 == 0)))
+    phrase = "-".join(words)
+    hidden = [f"{phrase}-m0ron-{phrase}", f"{'_'.join(words * 20)}_p4thetic_{'_'.join(words * 20)}", "m" + "o" * 300 + "ron", "-".join("the garden paper pathetic window stone".replace(" ", "")), "x" * 50 + "-moron", "a55", "@ss", "a$s", "a s s", "mooron", "morron", " ".join("thegardenpaper" * 5 + "moron" + "windowstone" * 5)]
+    clean = [phrase, "_".join(words * 30), "letter", "l" + "e" * 300 + "tter", "a1", "1990", "12:30", "$45", "a b", " ".join("garden" * 12)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts] + [(1000 + i, f"paper {t} stone") for i, t in enumerate(hidden)] + [(2000 + i, f"paper {t} stone") for i, t in enumerate(clean)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in texts], "doc_id bigint, toxic int")
+    fitted, model = trained(docs, labels)
+    out = {x["doc_id"]: x["score"] for x in score(docs, fitted, model).collect()}
+    assert all((out[i] >= 0.5) == bool(x) for i, _, x in texts)
+    assert [t for i, t in enumerate(hidden) if out[1000 + i] < 0.5] == []
+    assert [t for i, t in enumerate(clean) if out[2000 + i] >= 0.5] == []
+
+
 def test_substrings(spark, docs, empty, rows):
     from plansheet.llm.substrings import COVERS, covers, remove_repeats
 
