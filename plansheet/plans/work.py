@@ -143,8 +143,8 @@ query("rep17_edited_drawing", lambda s, d: flows.Drawing(repair.edit_versions(si
 
 
 def panels(s: SparkSession, d: str) -> DataFrame:
-    """A panel for every fifth customer: a 500 square with boxes in its corners, one of them off by some millimetres, and a middle one."""
-    c = views._read(s, d, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("drawing_id"), (F.col("c_custkey") % 4 * 1.0).alias("e"))
+    """A panel for every customer: a 500 square with boxes in its corners, one of them off by some millimetres, and a middle one."""
+    c = views._read(s, d, "customer").select(F.col("c_custkey").alias("drawing_id"), (F.col("c_custkey") % 4 * 1.0).alias("e"))
     box = lambda x, y, w, h: F.struct(F.lit(x).cast("double").alias("x"), F.lit(y).cast("double").alias("y"), F.lit(w).cast("double").alias("w"), F.lit(h).cast("double").alias("h"))
     off = F.struct((430.0 - F.col("e")).alias("x"), (430.0 + F.col("e") / 2).alias("y"), F.lit(50.0).alias("w"), F.lit(50.0).alias("h"))
     boxes = F.array(box(0, 0, 500, 500), box(20, 20, 50, 50), box(430, 20, 50, 50), box(20, 430, 50, 50), off, box(220, 220, 60, 60))
@@ -157,24 +157,26 @@ def panels(s: SparkSession, d: str) -> DataFrame:
     return out.select("drawing_id", (F.col("k") * 4 + F.col("i")).cast("bigint").alias("seg_id"), a["x"].alias("x1"), a["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"), F.when(F.col("k") == 0, "OUTER_FRAME").otherwise("CNC_CUTOUT").alias("layer"))
 
 
+#: What the queries with SQL read: PANEL asks for every fifth customer only.
 PANEL = " from customer where c_custkey % 5 = 0"
+fifth = lambda s, d: panels(s, d).where("drawing_id % 5 = 0")
 query("orc1_symmetry_analysis", lambda s, d: flows.Drawing(panels(s, d)).analyze().select("drawing_id", "n_loops", "n_pairs", "classification", "action", F.round("score", 2).alias("score")))
 query("orc2_full_report", lambda s, d: flows.Drawing(panels(s, d)).report().select("drawing_id", "n_loops", "symmetry_group", "verdict", F.round("quality", 2).alias("quality"), "n_constraints"))
 query("orc3_candidates", lambda s, d: flows.candidates(panels(s, d))[0].select("drawing_id", "candidate_id", "is_valid", "place", F.round("quality", 2).alias("quality"), F.round("change", 2).alias("change")))
 query("orc4_recommendation", lambda s, d: flows.recommend(panels(s, d))[0].select("drawing_id", "candidate_id", F.round("cost", 2).alias("cost")))
-query("orc5_applied_repair", lambda s, d: writers.dxf_text(flows.recommend(panels(s, d))[1]).select("drawing_id", F.size(F.regexp_extract_all("text", F.lit("(?m)^LINE$"), F.lit(0))).alias("n")), f"select c_custkey as drawing_id, 24 as n{PANEL}")
-query("rep1_strategy_dispatch", lambda s, d: repair.union([flows.repaired(panels(s, d), k).groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n")).withColumn("strategy", F.lit(k)) for k in ("4_quadrant", "mirror_left_to_right")]), f", k as (select c_custkey as drawing_id{PANEL}) select drawing_id, 24::bigint as n, s as strategy from k, (values ('4_quadrant'), ('mirror_left_to_right')) v(s)")
+query("orc5_applied_repair", lambda s, d: writers.dxf_text(flows.recommend(fifth(s, d))[1]).select("drawing_id", F.size(F.regexp_extract_all("text", F.lit("(?m)^LINE$"), F.lit(0))).alias("n")), f"select c_custkey as drawing_id, 24 as n{PANEL}")
+query("rep1_strategy_dispatch", lambda s, d: repair.union([flows.repaired(fifth(s, d), k).groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n")).withColumn("strategy", F.lit(k)) for k in ("4_quadrant", "mirror_left_to_right")]), f", k as (select c_custkey as drawing_id{PANEL}) select drawing_id, 24::bigint as n, s as strategy from k, (values ('4_quadrant'), ('mirror_left_to_right')) v(s)")
 
 
 def cand(s: SparkSession, d: str, k: str) -> DataFrame:
-    g = flows.Drawing(panels(s, d))
+    g = flows.Drawing(fifth(s, d))
     lines = repair.untagged(repair.candidate_lines(g.segments, g.loops, g.boxes, g.corner_size, candidates=(k,)), "bigint")
     return lines.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("x2"), 3).alias("x"))
 
 
 for _k, _name in (("a", "rep9_canonical_intent"), ("b", "rep10_quadrants_regularized"), ("c", "rep11_left_to_right"), ("d", "rep12_minimum_change")):
     query(_name, lambda s, d, k=_k: cand(s, d, k), f"select c_custkey as drawing_id, 24::bigint as n, 500e0 as x{PANEL}")
-query("joi20_local_symmetry", lambda s, d: (lambda g: clusters.local_symmetry(g.segments, clusters.motif_clusters(g.segments, g.loops, 45.0)))(flows.Drawing(panels(s, d))).select("drawing_id", "cluster_id", F.round("score", 2).alias("score")), f", k as (select cast(c_custkey as varchar) as drawing_id{PANEL}) select drawing_id, cast(c as int) as cluster_id, 100e0 as score from k, range(1, 6) v(c)")
+query("joi20_local_symmetry", lambda s, d: (lambda g: clusters.local_symmetry(g.segments, clusters.motif_clusters(g.segments, g.loops, 45.0)))(flows.Drawing(fifth(s, d))).select("drawing_id", "cluster_id", F.round("score", 2).alias("score")), f", k as (select cast(c_custkey as varchar) as drawing_id{PANEL}) select drawing_id, cast(c as int) as cluster_id, 100e0 as score from k, range(1, 6) v(c)")
 
 # streams
 CLOCK = "yyyy-MM-dd HH:mm:ss"

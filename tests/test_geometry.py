@@ -221,3 +221,37 @@ def test_perfect_panel(spark):
     a, q = d.analyze().first(), d.quality().first()
     assert a["score"] >= 99 and a["classification"] == "PERFECT_SYMMETRIC" and a["n_pairs"] >= 3
     assert q["quality"] >= 90 and q["deformation"] == 0 and q["verdict"] == "AUTO_ACCEPT"
+
+
+@pytest.fixture(scope="module")
+def customers(spark, tmp_path_factory):
+    """A folder with a table of seven customers."""
+    d = str(tmp_path_factory.mktemp("customers"))
+    spark.range(1, 8).select(F.col("id").alias("c_custkey")).write.parquet(f"{d}/customer.parquet")
+    return d
+
+
+def test_analysis_covers_every_customer(spark, customers):
+    from plansheet.plans import work
+
+    out = {r["drawing_id"]: r["n_loops"] for r in work.QUERIES["orc1_symmetry_analysis"](spark, customers).collect()}
+    assert {int(k): n for k, n in out.items()} == dict.fromkeys(range(1, 8), 6)
+
+
+def test_reports_and_candidates_read_every_panel(spark, customers, monkeypatch):
+    from plansheet.plans import work
+
+    class Stop(Exception):
+        pass
+
+    def read(segments):
+        ids.append({r[0] for r in segments.select("drawing_id").distinct().collect()})
+        raise Stop
+
+    for name in ("candidates", "recommend", "Drawing"):
+        monkeypatch.setattr(work.flows, name, read)
+    for name in ("orc2_full_report", "orc3_candidates", "orc4_recommendation"):
+        ids = []
+        with pytest.raises(Stop):
+            work.QUERIES[name](spark, customers)
+        assert ids == [set(range(1, 8))]
