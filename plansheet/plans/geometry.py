@@ -65,7 +65,7 @@ query("gen4_sample_drawing", lambda s, d: generate.sample_drawing(views.segments
 query("gen6_ring_edges", lambda s, d: generate.ring_edges(views.loops(s, d)), f"select drawing_id, seg_id // 4 as loop_id, cast(seg_id % 4 as int) as i, {', '.join(f'{R(c)} as {c}' for c in SEG)} from geo_side")
 CELL = lambda x: f"cast(floor({x}/20) as bigint)"
 query("gen7_segment_cells", lambda s, d: joins.cells_of(views.rectangle_segments(s, d), 20.0).groupBy("drawing_id", "cell_x", "cell_y").agg(F.count(F.lit(1)).alias("n")), f", c as (select drawing_id, unnest(range({CELL('least(x1,x2)')}, {CELL('greatest(x1,x2)')}+1)) as cell_x, least(y1,y2) as lo, greatest(y1,y2) as hi from geo_side), e as (select drawing_id, cell_x, unnest(range({CELL('lo')}, {CELL('hi')}+1)) as cell_y from c) select drawing_id, cell_x, cell_y, count(*) as n from e group by 1, 2, 3")
-query("gen8_curve_pieces", lambda s, d: curves.approximate_ellipses(views.arcs(s, d).where("arc_id % 10 = 0").select("drawing_id", F.col("arc_id").alias("ent_id"), "cx", "cy", F.col("r").alias("mx"), F.lit(0.0).alias("my"), (0.2 + F.col("arc_id") % 7 / 10.0).alias("ratio"), "a0", "a1").withColumnRenamed("a0", "t0").withColumnRenamed("a1", "t1")).select("drawing_id", "ent_id", "i", "kind", *SEG, F.col("r"), "is_ccw"))
+query("gen8_curve_pieces", lambda s, d: curves.approximate_ellipses(views.arcs(s, d).select("drawing_id", F.col("arc_id").alias("ent_id"), "cx", "cy", F.col("r").alias("mx"), F.lit(0.0).alias("my"), (0.2 + F.col("arc_id") % 7 / 10.0).alias("ratio"), "a0", "a1").withColumnRenamed("a0", "t0").withColumnRenamed("a1", "t1")).select("drawing_id", "ent_id", "i", "kind", *SEG, F.col("r"), "is_ccw"))
 query("gen9_chain_vertices", lambda s, d: generate.chain_vertices(views.arcs(s, d)).select("drawing_id", F.size("verts").alias("n"), F.get("verts", F.lit(0))["x"].alias("x"), F.round(F.get("verts", F.lit(0))["bulge"], 4).alias("bulge")),
       f", q as (select *, row_number() over (partition by drawing_id order by arc_id) as k, count(*) over (partition by drawing_id) as n from geo_arc) select drawing_id, cast(n+1 as int) as n, {R('cx+r*cos(a0)')} as x, round((case when is_ccw then 1 else -1 end)*tan(least(abs({SW}), 2*pi()-1e-6)/4), 4) + 0e0 as bulge from q where k = 1")
 query("gen10_axis_hypotheses", lambda s, d: symmetry.hypotheses(seg_points(s, d)).select("drawing_id", "axis_id", "seed", F.col("a.ox").alias("ox"), F.col("a.oy").alias("oy"), F.abs(F.col("a.dx")).alias("dx")),

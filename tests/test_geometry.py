@@ -255,3 +255,11 @@ def test_reports_and_candidates_read_every_panel(spark, customers, monkeypatch):
         with pytest.raises(Stop):
             work.QUERIES[name](spark, customers)
         assert ids == [set(range(1, 8))]
+
+
+def test_curve_pieces_cover_every_arc(spark, tmp_path):
+    from plansheet.plans import geometry
+
+    spark.range(1, 31).selectExpr("id as o_orderkey", "id % 4 as o_custkey", "1000e0 * id as o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    out = geometry.QUERIES["gen8_curve_pieces"](spark, str(tmp_path)).collect()
+    assert {r["ent_id"] for r in out} == set(range(1, 31))
