@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,58 +22,33 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plansheet.llm._common import materialize, table
-from plansheet.llm.tokens import WordCodes, parts, pieces, vocabulary, word_codes
+from plansheet.llm.tokens import balanced, vocabulary, word_codes
 
 
-def token_pieces(df: DataFrame, path: str, capacity: int = 4096, closing_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, batch_bytes: int = 1 << 20) -> DataFrame:
+def token_pieces(df: DataFrame, path: str, capacity: int = 4096, closing_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, batch_bytes: int = 4 << 20) -> DataFrame:
     """A row for each piece: id, piece, start, length, ids_crc32 and, if asked for, the ids as little-endian 32 bits."""
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     names = ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     types = [None, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     full, closing = 4 * capacity, np.array([closing_id], "<u4").tobytes()
 
-    def learnt(codes: WordCodes, text: bytes) -> Iterator[list[bytes]]:
-        """A long text's parts, so many at a time."""
-        for piece in pieces(text, batch_bytes):
-            words = parts(piece)
-            codes.learn(set(words))
-            yield words
-
-    def cut(codes: WordCodes, runs: Iterable[list[bytes]]) -> Iterator[bytes]:
-        held = b""
-        for words in runs:
-            held += b"".join(map(codes.memo.__getitem__, words))
-            if len(held) >= full:
-                whole = len(held) // full * full
-                yield from (held[at : at + full] for at in range(0, whole, full))
-                held = held[whole:]
-        held += closing
-        yield from (held[at : at + full] for at in range(0, len(held), full))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = word_codes(path, False)
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            at = 0
-            while at < len(texts):  # new words of some documents are encoded together
-                end, size = at, 0
-                while end < len(texts) and size < batch_bytes:
-                    size += min(batch_bytes, len(texts[end].as_buffer() or b"") if texts[end].is_valid else 0)
-                    end += 1
-                part = texts.slice(at, end - at).to_pylist()
-                runs = [[parts(t or b"")] if len(t or b"") <= batch_bytes else None for t in part]
-                codes.learn(set().union(*(r[0] for r in runs if r)))
+            held, piece = b"", 0
+            for group in balanced(batch.column("text").cast(pa.binary()), batch_bytes):
                 rows, cols = [], [[] for _ in names[1:]]
-                order = sorted(range(len(part)), key=lambda k: runs[k] is None)  # long texts last: they may clear the memo
-                for k in order:
-                    start = 0
-                    for p, ids in enumerate(cut(codes, runs[k] or learnt(codes, part[k]))):
-                        rows.append(at + k)
-                        for c, v in zip(cols, (p, start, len(ids) // 4, zlib.crc32(ids), ids)):
+                for (row, _, last), ids in zip(group, codes.encode([text for _, text, _ in group])):
+                    held = b"".join((held, ids, closing if last else b""))
+                    at = 0
+                    while at < len(held) and (last or len(held) - at >= full):
+                        own = held[at : at + full]
+                        rows.append(row)
+                        for c, v in zip(cols, (piece, piece * capacity, len(own) // 4, zlib.crc32(own), own)):
                             c.append(v)
-                        start += len(ids) // 4
+                        at, piece = at + len(own), piece + 1
+                    held, piece = (b"", 0) if last else (held[at:], piece)
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types[1:]))], names)
-                at = end
         pa.default_memory_pool().release_unused()
 
     kind = src.schema["id"].dataType.simpleString()
