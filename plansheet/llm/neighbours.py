@@ -1,14 +1,17 @@
 """Approximate nearest neighbours by largest inner product: collision counting over sorted single projections.
 
-Index: rows go to shards of about `shard_rows` by a hash of the id. In a shard vectors are scaled by the largest norm and
-get one more coordinate that makes them unit vectors, so the largest inner product is the smallest distance; each is
-projected on an orthonormal set of random directions, and every projection is stored as a sorted array.
-
-Search: around the query's value a window opens in each sorted array and widens by virtual rehashing (its width times
-`grow`, from about where it did for earlier queries) until `share` of the shard, and
-`least` vectors at least, collide with the query in `threshold` of the
-projections. All that do are verified: their exact inner products, in double precision, on the original vectors. A
-shard gives its k best, and these are ranked over all shards.
+Index: equal rows are counted before any exchange, and go to shards of about `shard_rows` by a hash of id and vector. In a
+shard vectors are scaled by the largest norm and get one more coordinate that makes them unit vectors, so the largest
+inner product is the smallest distance; each is projected on an orthonormal set of random directions, and every
+projection is stored as a sorted array: the values in order and the rows they belong to.
+
+Search: a window opens around the query's value in each sorted array and widens by virtual rehashing, `base` deviations
+of the projections at a time. A step walks each array outwards from the window's two ends over the new entries alone,
+which collide with the query at this step and all that follow, and a vector's collisions are summed over the steps: one
+that is near collides early and in many projections. Steps end when `enough` vectors collide in `threshold` of the
+projections, where `enough` is `share` of the shard, or `least` in a small one; the sum that as many reach is the
+collision threshold, and the vectors that exceed or reach it are verified: their exact inner products, in double precision, on the
+original vectors. A shard gives its k best, and these are ranked over all shards.
 
 Queries are a stated set, so their cost is theirs times the rows: groups of at most `group_rows` queries meet each shard,
 as blocks of bounded size on both sides. Recall against brute force is tested (0.9 and more).
@@ -20,6 +23,7 @@ repeated query is asked once. Ties go to the smaller id. Other columns are ignor
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,99 +53,111 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 class Shard:
-    """A shard's vectors with its sorted projections: the values in order and each vector's rank among them."""
+    """A shard's vectors, how many rows each stands for, and their sorted projections: the values in order and whose they are."""
 
-    def __init__(self, ids: np.ndarray, v: np.ndarray, rank: np.ndarray, value: np.ndarray):
-        self.ids, self.v, self.rank, self.value = ids, v, rank, value
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, v: np.ndarray, order: np.ndarray, value: np.ndarray):
+        self.ids, self.copies, self.v, self.order, self.value = ids, copies, v, order, value
 
     @classmethod
-    def built(cls, ids: np.ndarray, v: np.ndarray) -> Shard:
+    def built(cls, ids: np.ndarray, copies: np.ndarray, v: np.ndarray) -> Shard:
         norm = np.sqrt((v * v).sum(1))
         scaled = v / norm.max()
         more = np.sqrt(np.maximum(0.0, 1.0 - (scaled * scaled).sum(1)))
         p = directions(v.shape[1] + 1) @ np.concatenate([scaled, more[:, None]], 1).T
         order = np.argsort(p, axis=1, kind="stable")
-        rank = np.empty(p.shape, np.uint16 if len(ids) < 1 << 16 else np.uint32)
-        np.put_along_axis(rank, order, np.arange(len(ids), dtype=rank.dtype)[None, :], 1)
-        return cls(ids, v, rank, np.take_along_axis(p, order, 1).astype(np.float32))
+        return cls(ids, copies, v, order.astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32), np.take_along_axis(p, order, 1).astype(np.float32))
 
-    def search(self, qids: np.ndarray, q: np.ndarray, k: int, share: float, least: int, threshold: float, grow: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query's row, ids, scores) of each query's k best here."""
+    @classmethod
+    def read(cls, row: dict) -> Shard:
+        ids, dim = np.frombuffer(row["ids"], "<i8"), row["dim"]
+        n = len(ids)
+        order = np.frombuffer(row["orders"], "<u2" if n <= 1 << 16 else "<u4").reshape(dim + 1, n)
+        return cls(ids, np.frombuffer(row["copies"], "<i8"), np.frombuffer(row["vectors"], "<f8").reshape(n, dim), order, np.frombuffer(row["projections"], "<f4").reshape(dim + 1, n))
+
+    def written(self) -> list[bytes]:
+        kinds = ("<i8", "<i8", "<f8", "<u2" if len(self.ids) <= 1 << 16 else "<u4", "<f4")
+        return [x.astype(k).tobytes() for x, k in zip((self.ids, self.copies, self.v, self.order, self.value), kinds)]
+
+    def windows(self, p: np.ndarray, base: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each step the windows' ends, (queries, projections) each, as far as any is to be widened."""
+        spread = float(np.sqrt(np.mean(np.var(self.value, axis=1)))) or 1.0
+        step = 0
+        while True:
+            step += 1
+            width = np.float32(step * base * spread)
+            yield tuple(np.stack([np.searchsorted(x, q + sign * width, side) for x, q in zip(self.value, p)], 1) for sign, side in ((-1, "left"), (1, "right")))
+
+    def found(self, p: np.ndarray, enough: int, threshold: float, base: float) -> Iterator[np.ndarray]:
+        """For each query (a column of p) the rows that exceed the collision threshold."""
         n, m = len(self.ids), len(self.value)
+        flat, starts = self.order.ravel(), np.arange(m) * n
+        steps: list[tuple[np.ndarray, np.ndarray]] = []
+        more = self.windows(p, base)
+        centre = np.stack([np.searchsorted(x, q) for x, q in zip(self.value, p)], 1)
+        for r in range(p.shape[1]):
+            count, total = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            lo = hi = (starts + centre[r]).tolist()
+            for step in itertools.count():
+                if step == len(steps):
+                    steps.append(next(more))
+                left, right = ((starts + x[r]).tolist() for x in steps[step])
+                new = [flat[a:b] for a, b in zip(left, lo)] + [flat[a:b] for a, b in zip(hi, right)]
+                count += np.bincount(np.concatenate(new), minlength=n)
+                total += count
+                lo, hi = left, right
+                if np.count_nonzero(count >= threshold * m) >= enough:
+                    break
+            yield np.nonzero(total >= np.partition(total, n - enough)[n - enough])[0]
+
+    def search(self, qids: np.ndarray, q: np.ndarray, k: int, share: float, least: int, threshold: float, base: float, together: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query's row, ids, scores) of each query's k best here."""
+        enough = min(len(self.ids), max(least, int(share * len(self.ids))))
         unit = q / np.sqrt((q * q).sum(1))[:, None]
         p = (directions(q.shape[1] + 1) @ np.concatenate([unit, np.zeros((len(q), 1))], 1).T).astype(np.float32)
-        need, enough = min(n, max(least, int(share * n))), max(1, int(np.ceil(threshold * m)))
-        kind = self.rank.dtype.type
-        start = step_at = 0  # a query begins a step below the window that did for the one before
-        first = 0.35 * float(self.value.std() or 1.0)
-        bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for r in range(len(q)):
-            if r % 256 == 0:
-                bounds, step_at = {}, r
-            step = start
-            while True:
-                if step not in bounds:
-                    width = first * grow**step
-                    rows = slice(step_at, min(len(q), step_at + 256))
-                    bounds[step] = tuple(np.stack([np.searchsorted(self.value[j], p[j, rows] + sign * width, side) for j in range(m)], 1) for sign, side in ((-1, "left"), (1, "right")))
-                lo, hi = (b[r - step_at] for b in bounds[step])
-                if (hi - lo).min() >= n:
-                    found = np.arange(n)
-                else:  # in the window if rank - lo, taken as an unsigned number, is below its size
-                    span = np.minimum(hi - lo, np.iinfo(kind).max).astype(kind)
-                    counts = ((self.rank - lo.astype(kind)[:, None]) < span[:, None]).sum(0, dtype=np.uint8 if m < 256 else np.uint16)
-                    found = np.nonzero(counts >= enough)[0]
-                if len(found) >= need:
-                    break
-                step += 1
-            start = max(0, step - 1)
-            found = found[self.ids[found] != qids[r]]
-            scores = (self.v[found] * q[r]).sum(1)
-            if len(found) > 4 * k:
-                cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-                found, scores = found[scores >= cut], scores[scores >= cut]
-            best = np.lexsort((self.ids[found], -scores))[:k]
-            yield r, self.ids[found[best]], scores[best]
+        for at in range(0, len(q), together):
+            for r, found in enumerate(self.found(p[:, at : at + together], enough, threshold, base), at):
+                found = found[self.ids[found] != qids[r]]
+                scores = (self.v[found] * q[r]).sum(1)
+                best = np.lexsort((self.ids[found], -scores))[:k]
+                times = np.minimum(self.copies[found[best]], k)
+                yield r, np.repeat(self.ids[found[best]], times)[:k], np.repeat(scores[best], times)[:k]
 
 
-_INDEX = "dim int, shard int, ids binary, vectors binary, ranks binary, projections binary"
+_INDEX = "dim int, shard int, ids binary, copies binary, vectors binary, orders binary, projections binary"
 
 
 def build_index(vectors: DataFrame, shard_rows: int = 8192) -> DataFrame:
     """A row for each shard of vectors (from valid()), stored."""
-    n = vectors.count()
-    shards = max(1, -(-n // shard_rows))
+    rows = materialize(vectors.groupBy("vec_id", "v", "dim").agg(F.count(F.lit(1)).alias("copies")), "ann-vectors")
+    shards = max(1, -(-rows.count() // shard_rows))
 
     def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("vec_id")
         dim = t.column("dim")[0].as_py()
-        s = Shard.built(t.column("vec_id").to_numpy(), _matrix(t.column("v"), dim))
-        blobs = [s.ids.astype("<i8"), s.v.astype("<f8"), s.rank.astype("<u2" if len(s.ids) < 1 << 16 else "<u4"), s.value.astype("<f4")]
-        return pa.table([pa.array([dim], pa.int32()), t.column("shard").slice(0, 1).combine_chunks(), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], names=["dim", "shard", "ids", "vectors", "ranks", "projections"])
+        s = Shard.built(t.column("vec_id").to_numpy(), t.column("copies").to_numpy(), _matrix(t.column("v"), dim))
+        return pa.table([pa.array([dim], pa.int32()), t.column("shard").slice(0, 1).combine_chunks(), *(pa.array([b], pa.binary()) for b in s.written())], names=["dim", "shard", "ids", "copies", "vectors", "orders", "projections"])
 
-    return materialize(vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).groupBy("dim", "shard").applyInArrow(run, _INDEX), "ann-index")
+    return materialize(rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int")).groupBy("dim", "shard").applyInArrow(run, _INDEX), "ann-index")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 20, share: float = 0.25, least: int = 240, threshold: float = 0.6, grow: float = 1.1, group_rows: int = 16384) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 20, share: float = 0.05, least: int = 160, threshold: float = 0.95, base: float = 0.64, group_rows: int = 16384) -> DataFrame:
     """(query_id, rank, vec_id, score) of queries (from valid()) against all that is indexed."""
     asked = queries.groupBy("vec_id", "v", "dim").count().drop("count").withColumn("asked", F.xxhash64("v"))
     groups = max(1, -(-asked.count() // group_rows))
     asked = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
     where = index.select(F.col("dim").alias("_dim"), F.col("shard").alias("_shard"))
     asked = asked.join(where, F.col("dim") == F.col("_dim")).select("vec_id", "v", "asked", F.col("_dim").alias("qdim"), F.col("_shard").alias("qshard"), F.col("part").alias("qpart"))
-    index = index.select("dim", "shard", "ids", "vectors", "ranks", "projections").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     out = pa.schema([("query_id", pa.int64()), ("asked", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return out.empty_table()
-        dim = left.column("dim")[0].as_py()
-        ids = np.frombuffer(left.column("ids")[0].as_py(), "<i8")
-        n = len(ids)
-        s = Shard(ids, np.frombuffer(left.column("vectors")[0].as_py(), "<f8").reshape(n, dim), np.frombuffer(left.column("ranks")[0].as_py(), "<u2" if n < 1 << 16 else "<u4").reshape(dim + 1, n), np.frombuffer(left.column("projections")[0].as_py(), "<f4").reshape(dim + 1, n))
+        s = Shard.read(left.slice(0, 1).to_pylist()[0])
         right = right.sort_by([("vec_id", "ascending"), ("asked", "ascending")])
         qids, hashes = right.column("vec_id").to_numpy(), right.column("asked").to_numpy()
         rows, found, scores = [], [], []
-        for r, i, x in s.search(qids, _matrix(right.column("v"), dim), k, share, least, threshold, grow):
+        for r, i, x in s.search(qids, _matrix(right.column("v"), s.v.shape[1]), k, share, least, threshold, base):
             rows.append(np.full(len(i), r))
             found.append(i)
             scores.append(x)
