@@ -8,9 +8,13 @@ the written ones. Tokens and runs are decoded whole, whatever their length; the
 
 Classifier: a decision list of word beginnings and whole words, fitted on at most `per_class` labelled rows of each
 class (chosen by a hash of the id, equal texts once): among features with support in toxic rows and next to none in
-others, the one that explains most toxic rows not yet explained is taken, again and again. A feature's weight is its
-smoothed share of toxic rows, and a text's score is 1 - product(1 - weight) over its features, or the rest's rate
-where it has none. Only texts are inputs of a score.
+others, the one that explains most toxic rows not yet explained is taken, again and again. Of features that the same
+toxic rows have, equally often in others, one goes to the driver; the rest could never be taken after it. A feature's
+weight is its smoothed share of toxic rows, and a text's score is 1 - product(1 - weight) over its features, or the
+rest's rate where it has none. Only texts are inputs of a score.
+
+The distinct tokens of about GROUP bytes of texts are looked at together, each once; what a worker holds is those and
+a memo of at most `memo_entries` tokens of up to MEMO_CHARS characters.
 
 Null and empty texts get the rate of rows without features. Rows without a usable label, or whose labels contradict each
 other, are not learnt from. Repeated rows are scored each. Without labels every score is `PRIOR`. Other columns are
@@ -21,11 +25,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +41,7 @@ LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 MARKS = set(".-_*~'`,:;/\\^=#")
 LEET, KEEP_MARK, DROP_MARK, DROP_RUN, DROP_PAIR, BREAK = 0.7, 1.0, 0.5, 0.3, 3.0, 5.0
 MEMO_CHARS = 40  # longer tokens hardly come again
+GROUP = 1 << 20
 
 
 def _classes() -> np.ndarray:
@@ -55,18 +60,45 @@ def symbols(text: str) -> np.ndarray:
     return np.where(c < 0x250, _CLASS[np.minimum(c, 0x24F)], 27).astype(np.int32)
 
 
+def groups(texts: pa.Array, size: int = GROUP) -> Iterator[pa.Array]:
+    """texts in slices of about size bytes; a longer text is a slice of its own."""
+    at = held = 0
+    for k, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        if held and held + n > size:
+            yield texts.slice(at, k - at)
+            at, held = k, 0
+        held += n
+    if at < len(texts):
+        yield texts.slice(at)
+
+
+def count_trigrams(texts: list[str], total: np.ndarray, size: int = 1 << 17) -> None:
+    """Adds each text's trigrams, a word's end before and after it, to total; runs of about size symbols at a time."""
+    held = np.zeros(0, np.int32)
+    ends = np.cumsum([len(t) + 1 for t in texts])  # texts are parted by one symbol 0, whose place in line is its text's end less 1; no trigram has it in the middle
+    line, at = "\n".join(texts), 0
+    while at <= len(line):
+        part = symbols(line[at : at + size])
+        s = np.concatenate([held if at else [0], part, [0] * (at + size > len(line))]).astype(np.int64)
+        first = at - len(held) if at else -1  # the place in line of s[0]
+        n = len(s) - 2
+        if n > 0:
+            cells = s[:-2] * (SYMBOLS * SYMBOLS) + s[1:-1] * SYMBOLS + s[2:]
+            lo, hi = np.searchsorted(ends, [first + 2, first + 2 + n])
+            total += np.bincount(cells, minlength=SYMBOLS**3) - np.bincount(cells[ends[lo:hi] - 2 - first], minlength=SYMBOLS**3)
+        held, at = s[-2:], at + size
+
+
 def trigram_counts(df: DataFrame) -> np.ndarray:
     """Counts of symbol trigrams over all texts; what reaches the driver is a number for each trigram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**3, np.int64)
         for batch in batches:
-            for t in batch.column("text").cast(pa.binary()):
-                x = (t.as_py() or b"").decode("utf-8", "replace")
-                for at in range(0, len(x), 1 << 20):
-                    s = np.concatenate([[0], symbols(x[at : at + (1 << 20)]), [0]])
-                    total += np.bincount(s[:-2] * SYMBOLS * SYMBOLS + s[1:-1] * SYMBOLS + s[2:], minlength=SYMBOLS**3)
+            for part in groups(batch.column("text").cast(pa.binary())):
+                count_trigrams([(t or b"").decode("utf-8", "replace") for t in part.to_pylist()], total)
         cells = np.nonzero(total)[0]
+        pa.default_memory_pool().release_unused()
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total[cells])], ["cell", "n"])
 
     out = np.zeros(SYMBOLS**3, np.int64)
@@ -169,12 +201,27 @@ def features(words: set[str]) -> set[str]:
     return {f"{w}$" for w in words} | {w[:k] for w in words for k in (4, 5, 6) if len(w) >= k}
 
 
-def restored_words(text: bytes | None, model: list) -> set[str]:
-    tokens = (text or b"").decode("utf-8", "replace").split()
-    out: set[str] = set()
-    for t in set(tokens):
-        out |= token_words(t, model)
-    return out | spaced_words(tokens, model)
+def gathered(texts: pa.Array, found: Callable[[str], Collection[str]], spelt: Callable[[list[str]], Collection[str]]) -> list[set[str]]:
+    """For each text what its tokens, each distinct one looked at once, and its runs of single characters give."""
+    out: list[set[str]] = [set() for _ in range(len(texts))]
+    lists = pc.ascii_split_whitespace(texts.fill_null(b"").cast(pa.string(), safe=False))
+    words = lists.values.dictionary_encode()
+    number, doc = words.indices.to_numpy(), np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    names = [w.decode("utf-8", "replace") for w in words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()]
+    parts = [w.split() for w in names]  # other white space than ASCII's
+    sets = [found(p[0]) if len(p) == 1 else set().union(*map(found, p)) for p in parts]
+    at = np.nonzero(np.fromiter(map(bool, sets), bool, len(sets))[number])[0]
+    for k in np.unique(doc[at] * len(names) + number[at]).tolist():
+        out[k // len(names)].update(sets[k % len(names)])
+    odd = np.fromiter((w != "" and p != [w] for w, p in zip(names, parts)), bool, len(names))[number]
+    slow = set(doc[odd].tolist())
+    for d in slow:
+        out[d].update(spelt((texts[d].as_py() or b"").decode("utf-8", "replace").split()))
+    one = np.nonzero(np.fromiter((len(p) == 1 and len(p[0]) == 1 for p in parts), bool, len(names))[number])[0]
+    for run in np.split(one, np.nonzero((np.diff(one) > 1) | (np.diff(doc[one]) > 0))[0] + 1):
+        if len(run) > 1 and (d := int(doc[run[0]])) not in slow:
+            out[d].update(spelt([names[k] for k in number[run].tolist()]))
+    return out
 
 
 def held_out(doc_id: Column) -> Column:
@@ -192,67 +239,72 @@ def sample_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame
     return rows.select("id", "toxic", "text").dropDuplicates(["text", "toxic"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, per_class: int = 10_000, support: int = 3, most: int = 20_000) -> dict:
+def featured(rows: DataFrame, model: np.ndarray) -> DataFrame:
+    """(row, toxic, features) of rows (toxic, text), stored: the sample is restored once."""
+    lm = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = lm.value.tolist()
+        for batch in batches:
+            at = 0
+            for part in groups(batch.column("text").cast(pa.binary())):
+                got = gathered(part, lambda t: features(token_words(t, m)), lambda run: features(spaced_words(run, m)))
+                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(at, len(part)), pa.array(map(list, got), pa.list_(pa.string()))], ["toxic", "features"])
+                at += len(part)
+        pa.default_memory_pool().release_unused()
+
+    out = rows.select("toxic", "text").mapInArrow(run, "toxic int, features array<string>")
+    return materialize(out.select(F.monotonically_increasing_id().alias("row"), "toxic", "features"), "toxic-features")
+
+
+def telling(seen: DataFrame, toxic: int, clean: int, support: int) -> list[tuple[str, int, int]]:
+    """(feature, toxic rows, clean rows) of the features that the list may take, one of those alike, best first."""
+    bad = F.col("toxic") == 1
+    each = seen.select("row", "toxic", F.explode("features").alias("feature")).groupBy("feature").agg(
+        F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"),
+        *(F.bit_xor(F.when(bad, F.xxhash64("row", F.lit(k)))).alias(f"x{k}") for k in (1, 2)),
+    )
+    enough = (F.col("t") / toxic > 20 * F.col("c") / clean) & (F.col("t") - 3 * toxic / clean * F.col("c") >= support)
+    alike = each.where(enough).groupBy("t", "c", "x1", "x2").agg(F.max(F.struct((-F.length("feature")).alias("n"), F.col("feature").alias("f"))).alias("best"))
+    return sorted(((r["f"], r["t"], r["c"]) for r in alike.select("best.f", "t", "c").collect()), key=lambda r: (-len(r[0]), r[0]), reverse=True)
+
+
+def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, per_class: int = 10_000, support: int = 3) -> dict:
     """The decision list: feature weights, and the rate of toxic rows among those without features."""
     sc = docs.sparkSession.sparkContext
-    rows = materialize(sample_rows(docs, labels, per_class), "toxic-sample")
-    lm = sc.broadcast(model)
-    counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    seen = featured(sample_rows(docs, labels, per_class), model)
+    counts = {r["toxic"]: r["n"] for r in seen.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
     if not toxic or not clean:
         return {"weights": {}, "rest": PRIOR}
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, found = lm.value.tolist(), (Counter(), Counter())
-
-        def counted() -> pa.RecordBatch:
-            keys = list(found[0].keys() | found[1].keys())
-            out = [pa.array(keys, pa.string()), *(pa.array([found[c][k] for k in keys], pa.int64()) for c in (1, 0))]
-            for c in found:
-                c.clear()
-            return pa.RecordBatch.from_arrays(out, ["feature", "toxic", "clean"])
-
-        for batch in batches:
-            for c, t in zip(batch.column("toxic").to_pylist(), batch.column("text").cast(pa.binary())):
-                found[c].update(features(restored_words(t.as_py(), m)))
-                if len(found[0]) + len(found[1]) > 200_000:  # counts of some rows at a time
-                    yield counted()
-        yield counted()
-
-    some = rows.mapInArrow(count, "feature string, toxic bigint, clean bigint").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    some = some.where((F.col("toxic") >= support) & (F.col("toxic") / toxic > 20 * F.col("clean") / clean)).orderBy(F.desc("toxic"), "feature").limit(most).collect()
-    figures = {r["feature"]: (r["toxic"], r["clean"]) for r in some}
-    names = sc.broadcast(set(figures))
+    figures = telling(seen, toxic, clean, support)
+    names = sc.broadcast({f: k for k, (f, _, _) in enumerate(figures)})
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = lm.value.tolist()
+        known = names.value
         for batch in batches:
-            got = [sorted(features(restored_words(t.as_py(), m)) & names.value) for t in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(got, pa.list_(pa.string()))], ["id", "features"])
+            got = [sorted(known[f] for f in fs if f in known) for fs in batch.column("features").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32()))], ["features"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    left = {k: set(r["features"]) for k, r in enumerate(rows.where("toxic = 1").select("id", "text").mapInArrow(matched, f"id {kind}, features array<string>").collect())}  # per_class rows at most
-    weights: dict[str, float] = {}
-    holders: dict[str, set[int]] = {f: set() for f in figures}
-    for k, fs in left.items():
-        for f in fs:
-            holders[f].add(k)
-    explained: set[int] = set()
+    holds = [np.array(r["features"], np.int64) for r in seen.where("toxic = 1").select("features").mapInArrow(matched, "features array<int>").collect()]  # per_class rows at most
+    flat, starts = np.concatenate([np.empty(0, np.int64), *holds]), np.cumsum([0] + [len(h) for h in holds])
+    order, row = np.argsort(flat, kind="stable"), np.repeat(np.arange(len(holds)), np.diff(starts))
+    row, first = row[order], np.searchsorted(flat[order], np.arange(len(figures) + 1))
     share = toxic / clean  # a clean row in the sample stands for as many as a toxic one at even rates
-    while holders:
-        f = max(holders, key=lambda f: (len(holders[f]) - 3 * share * figures[f][1], -len(f), f))
-        new = holders.pop(f)
-        if len(new) - 3 * share * figures[f][1] < support:
-            break
-        t, c = figures[f]
+    gain = np.diff(first) - 3 * share * np.array([c for _, _, c in figures], float)
+    left = np.ones(len(holds), bool)
+    weights: dict[str, float] = {}
+    while len(gain) and gain[k := int(np.argmax(gain))] >= support:
+        f, t, c = figures[k]
         weights[f] = (t + 0.5 * PRIOR) / (t + c * share + 0.5)
-        explained |= new
-        for g in list(holders):
-            holders[g] -= new
-            if len(holders[g]) < support:
-                del holders[g]
-    rest = (len(left) - len(explained) + 0.5) / (len(left) - len(explained) + 9 * len(left) + 1)
-    return {"weights": weights, "rest": min(0.45, rest)}
+        new = row[first[k] : first[k + 1]]
+        new = new[left[new]]
+        left[new] = False
+        for r in new.tolist():
+            gain[flat[starts[r] : starts[r + 1]]] -= 1
+        gain[k] = -np.inf
+    rest = (left.sum() + 0.5) / (left.sum() + 9 * len(left) + 1)
+    return {"weights": weights, "rest": float(min(0.45, rest))}
 
 
 def score(docs: DataFrame, fitted: dict, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text", memo_entries: int = 200_000, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -264,29 +316,29 @@ def score(docs: DataFrame, fitted: dict, model: np.ndarray, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, weights, rest = lm.value.tolist(), told.value["weights"], told.value["rest"]
-        memo: dict[str, frozenset[str]] = {}
-        none: frozenset[str] = frozenset()
-
-        def hits(words: set[str]) -> set[str]:
-            return {f for f in features(words) if f in weights}
+        heads = {f[:4] for f in weights}
+        none: tuple[str, ...] = ()
+        memo: dict[str, tuple[str, ...]] = {}
+
+        def hits(words: set[str]) -> tuple[str, ...]:
+            some = {w for w in words if w[:4] in heads or f"{w}$" in weights}
+            return tuple(f for f in features(some) if f in weights) if some else none
+
+        def found(token: str) -> tuple[str, ...]:
+            h = memo.get(token)
+            if h is None:
+                h = hits(token_words(token, m))
+                if len(token) <= MEMO_CHARS:
+                    memo[token] = h
+            return h
 
         for batch in batches:
-            out = []
-            for t in batch.column(text).cast(pa.binary()):
-                tokens = (t.as_py() or b"").decode("utf-8", "replace").split()
+            out: list[float] = []
+            for part in groups(batch.column(text).cast(pa.binary())):
                 if len(memo) > memo_entries:
                     memo.clear()
-                found: set[str] = set()
-                for x in set(tokens):
-                    h = memo.get(x)
-                    if h is None:
-                        h = frozenset(hits(token_words(x, m))) or none
-                        if len(x) <= MEMO_CHARS:
-                            memo[x] = h
-                    if h:
-                        found |= h
-                found |= hits(spaced_words(tokens, m))
-                out.append(1.0 - math.prod(1.0 - weights[f] for f in sorted(found)) if found else rest)
+                for got in gathered(part, found, lambda run: hits(spaced_words(run, m))):
+                    out.append(1.0 - math.prod(1.0 - weights[f] for f in sorted(got)) if got else rest)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(out, pa.float64()), *(batch.column(c) for c in keep)], ["_id", "score", *keep])
         memo.clear()
         pa.default_memory_pool().release_unused()
