@@ -5,12 +5,18 @@ A match's place is the sum of the lengths before it, summed in runs of 256 match
 square.
 
 Battery: every maximal run of at least 20 key characters, of any length, with two kinds of characters out of capitals, small
-letters and digits is a candidate. Its encoding is the smallest alphabet that holds it. Three tests ask whether its
-symbols are drawn evenly and independently from that alphabet: Pearson's chi-squared against the uniform alphabet (with
-the exact variance for its length), the number of runs above and below the alphabet's middle, and the correlation of
-neighbours; Fisher's method combines them. A candidate is discarded as not random by the Benjamini-Hochberg rule at
-`rate`, within strata of encoding and length over all documents, so that of the strings discarded as ordinary an expected
-share of `rate` at most is random, whatever the length; the rest are spans of kind "random". The rule reads counts of
+letters and digits is a candidate. Its encoding is the smallest alphabet that holds it. The tests ask whether its
+symbols are drawn evenly and independently from that alphabet: Pearson's chi-squared against the uniform alphabet, parted
+into that between capitals, small letters and the rest (whose expected counts are large enough in short strings too) and that
+within them (with the variance for the length), the number of runs above and below the alphabet's middle, and the correlation of
+neighbours; Fisher's method combines them.
+
+False discovery is controlled on both sides, within strata of encoding and length over all documents. A candidate is
+discarded as not random by the Benjamini-Hochberg rule at `rate`, so that of what this discards an expected share of
+`rate` at most is random. Of the rest, those are spans of kind "random" whose p-value is beyond what ordinary strings of the stratum
+reach: their null distribution is that of decoys, strings of the same alphabet and length squeezed from the words of
+the documents that hold candidates, and the same rule against it bounds the expected share of ordinary strings among
+the spans by `rate`. (A stratum without any decoy, for want of words, has the first rule alone.) Both rules read counts of
 p-values in 1/16 steps of their logarithm, so a stratum is a bounded number of counts and never a sorted list.
 
 Null texts are empty: no spans, and the hash of the empty string. Repeated rows stay. The spans of different kinds may
@@ -40,6 +46,9 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "url64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", "other66": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
 _TESTS = {"hex": "[0-9a-f]+", "HEX": "[0-9A-F]+", "base32": "[A-Z2-7]+", "lower36": "[0-9a-z]+", "upper36": "[0-9A-Z]+", "alnum62": "[0-9A-Za-z]+", "base64": "[0-9A-Za-z+/]+", "url64": "[0-9A-Za-z_-]+", "other66": ".+"}
+#: What decoys of an encoding drop, and how they are cased.
+_OUTSIDE = {"hex": "[^0-9a-f]", "HEX": "[^0-9A-F]", "base32": "[^A-Z2-7]", "lower36": "[^0-9a-z]", "upper36": "[^0-9A-Z]", "alnum62": "[^0-9A-Za-z]", "base64": "[^0-9A-Za-z+/]", "url64": "[^0-9A-Za-z_-]", "other66": "[^0-9A-Za-z+/_-]"}
+DECOYS = 32  # of a stratum in a document, at most
 LENGTHS = (32, 48, 64, 128)
 STEPS, BINS = 16, 512
 
@@ -99,11 +108,20 @@ def encoding(s: Column) -> Column:
 
 
 def battery(s: Column, alphabet: Column) -> Column:
-    """Fisher's p-value of the three tests that s is drawn evenly from its alphabet."""
+    """Fisher's p-value of the tests that s is drawn evenly from its alphabet."""
     k, n = F.length(alphabet).cast("double"), F.length(s).cast("double")
     letters = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
     squares = F.aggregate(letters(alphabet), F.lit(0.0), lambda a, c: a + F.pow((F.length(s) - F.length(F.replace(s, c, F.lit("")))).cast("double"), F.lit(2.0)))
-    chi = upper((k * squares / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n))
+    def kinds(x: Column) -> list[Column]:
+        capital, small = (F.length(x) - F.length(F.regexp_replace(x, c, "")) for c in ("[A-Z]", "[a-z]"))
+        return [c.cast("double") for c in (capital, small, F.length(x) - capital - small)]
+
+    parts = list(zip(kinds(s), kinds(alphabet)))
+    spread_out = sum(F.coalesce(F.try_divide(F.pow(o - e * n / k, F.lit(2.0)), e * n / k), F.lit(0.0)) for o, e in parts)
+    free = sum((e > 0).cast("int") for _, e in parts) - 1
+    within = k - 1 - free  # what is left of the whole chi-squared, independent of the kinds' part
+    chi = upper((k * squares / n - n - spread_out - within) / F.sqrt(2 * within * (n - 1) / n))
+    coarse = F.greatest(F.lit(1e-12), F.when(free == 2, F.exp(-spread_out / 2)).when(free == 1, both_sides(F.sqrt(spread_out))).otherwise(1.0))
 
     def of(x: Column) -> Column:
         size = F.size(x)
@@ -122,8 +140,8 @@ def battery(s: Column, alphabet: Column) -> Column:
             return F.when(spread > 0, both_sides((moved / spread + 1.0 / n) * F.sqrt(n))).otherwise(F.lit(1e-12))
 
         mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
-        total = -(F.log(chi) + F.log(let(high, run_test)) + F.log(let(mean, serial)))
-        return let(total, lambda t: F.exp(-t) * (1 + t + t * t / 2))
+        total = -(F.log(chi) + F.log(coarse) + F.log(let(high, run_test)) + F.log(let(mean, serial)))
+        return let(total, lambda t: F.exp(-t) * (1 + t + t * t / 2 + t * t * t / 6))
 
     return let(F.transform(letters(s), lambda c: (F.position(c, alphabet) - 1).cast("double")), of)
 
@@ -133,8 +151,32 @@ def stratum(enc: Column, n: Column) -> Column:
     return F.concat(enc, F.lit(":"), band.cast("string"))
 
 
+def decoys(text: Column, candidates: Column, alphabets: Column) -> Column:
+    """(stratum, p) of ordinary strings: for each stratum of a document's candidates up to DECOYS strings, of the length of
+    its first candidate there, from all over the document's other words."""
+    outside = F.create_map(*(F.lit(x) for pair in _OUTSIDE.items() for x in pair))
+    words = F.regexp_replace(text, CANDIDATE, " ")
+
+    def of(stratum: Column) -> Column:
+        n = F.get(F.filter(candidates, lambda c: c["stratum"] == stratum), F.lit(0))["n"]
+        enc = F.substring_index(stratum, ":", 1)
+        cased = F.when(enc.isin("hex", "lower36"), F.lower(words)).when(enc.isin("HEX", "base32", "upper36"), F.upper(words)).otherwise(F.initcap(words))
+        squeezed = F.regexp_replace(cased, F.element_at(outside, enc), F.lit(""))
+
+        def strings(v: Column) -> Column:
+            room = F.length(v["x"]) - v["n"]
+            last = F.least(F.lit(DECOYS - 1), room)
+            some = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda j: F.substring(v["x"], (F.floor(j * room / F.greatest(last, F.lit(1))) + 1).cast("int"), v["n"]))
+            return F.when(room >= 0, some).otherwise(F.array().cast("array<string>"))
+
+        strung = let(F.struct(squeezed.alias("x"), n.alias("n")), strings)
+        return let(F.element_at(alphabets, enc), lambda a: F.transform(strung, lambda s: F.struct(stratum.alias("stratum"), battery(s, a).alias("p"))))
+
+    return F.flatten(F.transform(F.array_distinct(F.transform(candidates, lambda c: c["stratum"])), of))
+
+
 def scanned(df: DataFrame, keep: tuple[str, ...] = (), shortest: int = 20) -> DataFrame:
-    """keep with the spans of the three patterns and the candidates with stratum and p-value, from text."""
+    """keep with the spans of the three patterns, the candidates with stratum and p-value, and decoys, from text."""
     df = df.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
     df = placed(df, "assign", ASSIGN, 6, group=True)
     df = placed(df, "access", ACCESS)
@@ -146,9 +188,11 @@ def scanned(df: DataFrame, keep: tuple[str, ...] = (), shortest: int = 20) -> Da
     def tested(c: Column) -> Column:
         s = F.rtrim(c["value"], F.lit("="))
         enc = encoding(s)
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), stratum(enc, F.length(s)).alias("stratum"), let(F.element_at(alphabets, enc), lambda a: battery(s, a)).alias("p"))
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), F.length(s).alias("n"), stratum(enc, F.length(s)).alias("stratum"), let(F.element_at(alphabets, enc), lambda a: battery(s, a)).alias("p"))
 
-    return df.withColumn("candidates", F.transform(F.filter("s_candidate", lambda c: mixed(c["value"])), tested)).drop("s_candidate", "_t")
+    df = df.withColumn("candidates", F.transform(F.filter("s_candidate", lambda c: mixed(c["value"])), tested))
+    none = F.array().cast("array<struct<stratum:string,p:double>>")
+    return df.withColumn("decoys", F.when(F.size("candidates") > 0, decoys(F.col("_t"), F.col("candidates"), alphabets)).otherwise(none)).drop("s_candidate", "_t")
 
 
 def _bin(p: Column) -> Column:
@@ -156,11 +200,19 @@ def _bin(p: Column) -> Column:
 
 
 def thresholds(scan: DataFrame, rate: float = 0.05) -> dict[str, int]:
-    """By stratum the first bin whose candidates are discarded: Benjamini-Hochberg on counts over all documents."""
-    counts = scan.select(F.explode("candidates").alias("c")).groupBy(F.col("c.stratum").alias("stratum"), _bin(F.col("c.p")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    every, above = Window.partitionBy("stratum"), Window.partitionBy("stratum").orderBy(F.desc("bin"))
-    ruled = counts.withColumn("m", F.sum("n").over(every)).withColumn("up", F.sum("n").over(above))
-    out = ruled.where(F.col("m") * F.exp(-F.col("bin") / STEPS) / F.col("up") <= rate).groupBy("stratum").agg(F.min("bin").alias("bin"))
+    """By stratum the first bin whose candidates are discarded: Benjamini-Hochberg on counts over all documents, against
+    random strings from one side and against decoys from the other."""
+
+    def of(column: str, own: int) -> Column:
+        return F.transform(column, lambda x: F.struct(x["stratum"].alias("stratum"), _bin(x["p"]).alias("bin"), F.lit(own).alias("own")))
+
+    counts = scan.select(F.explode(F.concat(of("candidates", 1), of("decoys", 0))).alias("c")).groupBy("c.stratum", "c.bin").agg(F.sum("c.own").alias("n"), F.sum(1 - F.col("c.own")).alias("d"))
+    every = Window.partitionBy("stratum")
+    above, below = every.orderBy(F.desc("bin")), every.orderBy("bin")
+    ruled = counts.select("*", F.sum("n").over(every).alias("m"), F.sum("n").over(above).alias("up"), F.sum("n").over(below).alias("down"), F.sum("d").over(every).alias("decoys"), F.sum("d").over(below).alias("over"))
+    odd = (F.col("up") > 0) & (F.col("m") * F.exp(-F.col("bin") / STEPS) <= rate * F.col("up"))
+    sure = (F.col("decoys") == 0) | (F.col("down") > 0) & (F.col("over") * F.col("m") <= rate * F.col("down") * F.col("decoys"))
+    out = ruled.groupBy("stratum").agg(F.least(F.coalesce(F.min(F.when(odd, F.col("bin"))), F.lit(BINS)), F.coalesce(F.max(F.when(sure, F.col("bin"))), F.lit(-1)) + 1).alias("bin"))
     return {r["stratum"]: r["bin"] for r in out.collect()}  # a row for each stratum at most: alphabets times length bands
 
 

@@ -60,15 +60,19 @@ def test_token_counts(docs, empty, rows, tokenizer):
 
 
 def test_token_parts_are_exact(tokenizer):
-    from plansheet.llm.tokens import WordCodes, parts, vocabulary
+    from plansheet.llm.tokens import WordCodes, vocabulary
 
     r, codes = random.Random(2), WordCodes(vocabulary(), False, memo_entries=50)
-    letters = "aAzZ éÉèß.,!?'sS'tT 01 \n\t\x1c\x85 —<|endoftext|>J̌ İ 中 ﬁ ſ"
-    for _ in range(500):
-        t = "".join(r.choice(letters) for _ in range(r.randrange(40)))
-        ps = parts(t.encode())
-        codes.learn(set(ps))
-        assert np.frombuffer(b"".join(codes.memo[p] for p in ps), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    counts = WordCodes(vocabulary(), True, memo_entries=50)
+    letters = "aAzZ éÉèß.,!?'sS'tT*#$)(\"<|>01 \n\t\x1c\x85 —J̌ İ 中 ﬁ ſ"
+    texts = ["".join(r.choice([*letters, "<|endoftext|>", "<|ENDOFTEXT|>", "we'll", "word", "naïve"]) for _ in range(r.randrange(40))) for _ in range(3000)]
+    texts += ["x" * 500 + "." * 90, "", " ", "é" * 200 + "...", "a" * 5000 + " " + "b" * 70]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for at in range(0, len(texts), 400):
+        some = [t.encode() for t in texts[at : at + 400]]
+        assert [np.frombuffer(x, "<u4").tolist() for x in codes.encode(some)] == want[at : at + 400]
+        assert counts.encode(some) == [len(x) for x in want[at : at + 400]]
+    assert max(map(len, codes.memo)) <= 64
 
 
 def test_media_round_trip(docs, empty, rows):
@@ -168,7 +172,24 @@ def test_mixing(spark, docs, empty, rows):
     out = mixed(docs, block=16)
     assert sum(len(WORD.findall(r["text"])) for r in out.collect()) == sum(taken.values())
     assert out.columns == docs.columns
-    assert mix(empty)[1].count() == 0
+    assert mix(empty)[1].count() == 0 and mixed(empty).count() == 0
+    placed = [tuple(r) for r in mixed(docs, slots=True, block=16).select("slot", "copy", "source", "text").collect()]
+    assert [p[0] for p in placed] == sorted(p[0] for p in placed) and {p[1] for p in placed} == {0, 1}
+    assert sorted(p[3] for p in placed) == sorted(r["text"] for r in out.collect())
+    slots = [(r["slot"], r["src"]) for r in runs.select("slot", "src").distinct().collect()]
+    assert len({s for s, _ in slots}) == len(slots)  # a slot has one source
+    order, part = [src for _, src in sorted(slots)], collections.Counter(src for _, src in slots)
+    for n in (20, 60, 150):  # every beginning of the mix has about each source's share
+        assert all(abs(order[:n].count(s) - n * part[s] / len(order)) < 4 for s in part)
+
+
+def test_points_of_the_schedule(spark):
+    from plansheet.llm.mixing import PHI, point
+    from pyspark.sql import functions as F
+
+    ids = [0, 1, 2, 77, 65535, 65536, 2**31, 2**32 + 5, 10**13, 2**62]
+    got = [r["p"] for r in spark.createDataFrame([(i,) for i in ids], "i bigint").select(point(F.col("i")).alias("p")).collect()]
+    assert got == [i * PHI % 2**32 for i in ids]
 
 
 def test_warc(spark):
@@ -187,11 +208,26 @@ def test_warc(spark):
     assert capture_histories(df.limit(0)).count() == 0
     assert [page_of(record_id(p)) for p in (0, 5, -4, None, 2**62)] == [0, 5, -4, None, 2**62]
     r = random.Random(4)
-    runs = [sorted((r.randrange(50), k) for _ in range(r.randrange(9))) for k in range(7)]
-    assert [x for x, _ in LoserTree([iter([((a,), b) for a, b in run]) for run in runs])] == sorted((a,) for run in runs for a, _ in run)
+    runs = sorted(sorted((r.randrange(50), k) for _ in range(r.randrange(9))) for k in range(40))  # by their first keys
+    assert [x for x, _ in LoserTree(iter([iter([((a,), b) for a, b in run]) for run in runs]))] == sorted((a,) for run in runs for a, _ in run)
     assert merge_runs(capture_histories(df)).count() == len(pages)
 
 
+def test_warc_runs_merge_in_ranges_and_blocks(spark):
+    from plansheet.llm._common import materialize
+    from plansheet.llm.warc import _key, merge_runs
+
+    r = random.Random(14)
+    names = ["urlkey", "time", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "offset", "length"]
+    rows = [(r.choice(["com,hot)/", "com,hot)/", f"org,x{r.randrange(9)})/", ""]), f"2020-01-0{r.randrange(1, 9)}", r.choice([None, r.randrange(50)]), 1, "d", "response", None, f"f{k % 7}", k, 3) for k in range(700)]
+    kinds = ["string", "string", "bigint", "bigint", "string", "string", "bigint", "string", "bigint", "bigint"]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {k}" for n, k in zip(names, kinds))).repartition(9).sortWithinPartitions("urlkey", "time", "page_id", "file", "offset")
+    runs = materialize(df, "runs")
+    for range_rows, block_rows in ((100_000, 512), (40, 3), (11, 1)):
+        got = [tuple(x) for x in merge_runs(runs, range_rows, block_rows).collect()]
+        assert got == sorted(rows, key=_key)
+
+
 ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
@@ -234,6 +270,31 @@ def test_long_random_runs_are_masked(spark):
     assert clean == {i: "é [SECRET] end" for i in range(4)} | {4 + i: f"é {x} end" for i, x in enumerate(plain)}
 
 
+def test_false_alarms_of_the_battery_are_bounded(spark):
+    """Random keys among identifiers made of words: both the share found and the share of false alarms."""
+    from plansheet.llm.secrets import ALPHABETS, found, scanned, thresholds
+
+    r = random.Random(17)
+    words = ["abstract", "bean", "factory", "proxy", "handler", "request", "mapping", "service", "table", "stream", "reader", "output", "session", "config", "parser", "window"]
+    rows, random_ones = [], set()
+    for i in range(400):
+        text = [r.choice(words) for _ in range(60)]
+        if i % 4 == 0:
+            text[30] = "".join(r.choice(ALPHABETS[r.choice(["alnum62", "base64", "url64"])]) for _ in range(r.randint(24, 60)))
+            random_ones.add(i)
+        elif i % 4 == 1:  # like AbstractBeanFactoryProxyImpl1
+            text[30] = "".join(r.choice(words).capitalize() for _ in range(r.randint(4, 6))) + "Impl" + str(r.randint(0, 9))
+        elif i % 4 == 2:
+            text[30] = r.choice("-_").join(r.choice(words) for _ in range(r.randint(4, 6))) + "-v" + str(r.randint(0, 9))
+        rows.append((i, " ".join(text)))
+    scan = scanned(spark.createDataFrame(rows, "doc_id bigint, text string"), ("doc_id",))
+    got = {x["doc_id"] for x in found(scan, thresholds(scan)).collect() if x["spans"]}
+    assert len(got & random_ones) >= 0.85 * len(random_ones)
+    assert len(got - random_ones) <= 0.1 * len(got)
+    alone = scanned(spark.createDataFrame([(1, "the AbstractBeanFactoryProxyImpl1 of a class in the handler mapping of this request reader")], "doc_id bigint, text string"), ("doc_id",))
+    assert found(alone, thresholds(alone)).collect()[0]["spans"] == []
+
+
 def test_randomness_battery(spark):
     from plansheet.llm.secrets import ALPHABETS, battery
     from pyspark.sql import functions as F
@@ -339,6 +400,33 @@ def test_neighbours(spark):
     assert search(build_index(df.limit(0)), df.limit(0)).count() == 0
 
 
+def test_neighbours_of_vectors_without_structure():
+    """The hardest case: all directions alike. Few vectors are verified, and a window's entries are walked once."""
+    from plansheet.llm.neighbours import Shard, directions
+
+    g = np.random.default_rng(7)
+    v = g.normal(size=(6000, 64))
+    v /= np.sqrt((v * v).sum(1))[:, None]
+    s, hit, looked = Shard.built(np.arange(6000), np.ones(6000, np.int64), v), 0, 0
+    s = Shard.read(dict(zip(("ids", "copies", "vectors", "orders", "projections"), s.written())) | {"dim": 64})
+    for q, ids, _ in s.search(np.arange(40), v[:40], 20, 0.05, 160, 0.95, 0.64):
+        exact = v @ v[q]
+        exact[q] = -9
+        hit += len(set(np.argsort(-exact)[:20].tolist()) & set(ids.tolist()))
+    p = directions(65) @ np.concatenate([v[:40], np.zeros((40, 1))], 1).T
+    looked = [len(x) for x in s.found(p.astype(np.float32), 300, 0.95, 0.64)]
+    assert hit / 800 >= 0.95 and max(looked) < 600
+
+
+def test_repeated_vectors_are_candidates_each(spark):
+    from plansheet.llm.neighbours import build_index, search, valid
+
+    rows = [(20, [1.0, 0.0])] * 2 + [(1, [0.5, 0.5])] * 30 + [(2, [0.9, 0.0])] * 3 + [(3, [0.0, 1.0])]
+    df = valid(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in search(build_index(df), df.where("vec_id = 20")).orderBy("rank").collect()]
+    assert got == [(k, 2, 0.9) for k in (1, 2, 3)] + [(k, 1, 0.5) for k in range(4, 21)]
+
+
 def test_toxicity(spark):
     from plansheet.llm.toxicity import fit, held_out, keep_clean, log_model, score, trained, trigram_counts
     from pyspark.sql import functions as F
@@ -368,6 +456,86 @@ def test_toxicity(spark):
     assert all(held[i] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in held)
 
 
+def test_restoration_is_the_best_of_all_readings():
+    from plansheet.llm import toxicity as T
+
+    g = np.random.default_rng(3)
+    table = np.log(g.dirichlet(np.ones(28), (28, 28)))
+
+    def readings(token, spaced):
+        """(text, channel's cost) of every way to read a token."""
+        out = [("", 0.0)]
+        for i, ch in enumerate(token):
+            again = i > 0 and token[i - 1] == ch
+            thrice = again and (token[i - 2 : i - 1] == ch or token[i + 1 : i + 2] == ch)
+            drop = [("", T.DROP_RUN if thrice else T.DROP_PAIR)] if again else []
+            if ch.isalpha():
+                ways = [(ch, 0.0), *drop]
+            elif ch in T.LOOKS_LIKE:
+                ways = [(x, T.LEET) for x in T.LOOKS_LIKE[ch]] + [(" ", T.BREAK), *drop]
+            elif ch == " " or ch in T.MARKS:
+                ways = [(" ", T.KEEP_MARK + spaced), ("", 0.0 if spaced else T.DROP_MARK)]
+            else:
+                ways = [(" ", 0.0)]
+            out = [(a + x, c + y) for a, c in out for x, y in ways]
+        return out
+
+    def model_cost(text):
+        cost, a, b = 0.0, 0, 0
+        for x in re.sub(" +", " ", text.lstrip(" ")):
+            c = 0 if x == " " else int(T._CLASS[ord(x)])
+            cost, a, b = cost - table[a, b, c], b, c
+        return cost - (table[a, b, 0] if b else 0.0)
+
+    def collapsed(text):
+        return re.sub(" +", " ", text.lstrip(" "))
+
+    r = random.Random(13)
+    for _ in range(400):
+        token, spaced = "".join(r.choice("aabnst01$.- x5") for _ in range(r.randint(1, 8))).strip() or "a", r.random() < 0.3
+        best = min(c + model_cost(t) for t, c in readings(token, spaced))
+        text = T.restore(token, table.tolist(), spaced)
+        mine = min((c + model_cost(t) for t, c in readings(token, spaced) if collapsed(t) == collapsed(text)), default=math.inf)
+        assert abs(mine - best) < 1e-9, (token, text)
+
+
+def test_gathered_words_are_those_of_each_text():
+    import pyarrow as pa
+    from plansheet.llm.toxicity import gathered
+
+    r = random.Random(15)
+    texts = ["".join(r.choice(["a", "b", " ", "\n", "\u00a0", "\x1c", "word", "é", "."]) for _ in range(r.randrange(30))) for _ in range(300)] + [None, "", " "]
+
+    def spelt(tokens):
+        out, run = set(), []
+        for t in [*tokens, ""]:
+            if len(t) == 1:
+                run.append(t)
+            else:
+                if len(run) > 1:
+                    out.add("+" + "".join(run))
+                run = []
+        return out
+
+    got = gathered(pa.array([None if t is None else t.encode() for t in texts], pa.binary()), lambda t: {t}, spelt)
+    assert got == [set((t or "").split()) | spelt((t or "").split()) for t in texts]
+
+
+def test_trigrams_do_not_depend_on_groups():
+    from plansheet.llm.toxicity import count_trigrams, symbols
+
+    r = random.Random(16)
+    texts = ["".join(r.choice("abc é1") for _ in range(r.randrange(40))) for _ in range(60)] + ["", "a", "x" * 3000]
+    want = collections.Counter()
+    for t in texts:
+        s = [0, *symbols(t).tolist(), 0]
+        want.update(784 * a + 28 * b + c for a, b, c in zip(s, s[1:], s[2:]))
+    for size in (3, 7, 64, 1 << 20):
+        total = np.zeros(28**3, np.int64)
+        count_trigrams(texts, total, size)
+        assert {k: int(total[k]) for k in np.nonzero(total)[0].tolist()} == dict(want)
+
+
 def test_toxicity_of_long_and_short_forms(spark):
     from plansheet.llm.toxicity import score, trained
 
