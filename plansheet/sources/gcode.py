@@ -1,86 +1,88 @@
-"""G-code: the XY projection of feed moves and arcs, from modal words."""
+"""G-code: the XY projection of feed moves and arcs.
+
+A program is a stream of tokens, a block of it a set of words; a word either sets a mode, by the table below, or is a
+parameter of the block's step.
+"""
 
 from __future__ import annotations
 
-import math
 import re
+from collections.abc import Iterator
 
 from plansheet.sources.entities import Sheet, Unreadable
+from plansheet.sources.toolpath import Step, Turn, trace
 
-_WORD = re.compile(r"([A-Z])\s*([+-]?(?:\d+(?:\.\d*)?|\.\d+))")
-#: The group of each code that is understood; None for codes without effect here.
-GROUPS = {0: "motion", 1: "motion", 2: "motion", 3: "motion", 80: "motion", 20: "units", 21: "units", 90: "distance", 91: "distance", 90.1: "centre", 91.1: "centre", 17: None, 40: None, 49: None, 54: None, 94: None}
-MISC = {0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 30}
-PARAMETERS = "XYZIJRFSTN"
+# The codes that are understood and what they mean, parameters, and the layer of feed moves.
+MODES = {
+    "motion": {0: "rapid", 1: "feed", 2: "clockwise", 3: "counterclockwise", 80: "none"},
+    "scale": {20: 25.4, 21: 1.0},
+    "relative": {90: False, 91: True},
+    "centre_from_start": {90.1: False, 91.1: True},
+}
+WITHOUT_EFFECT = {17, 40, 49, 54, 94}
+MACHINE, LAST = {0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 30}, {2, 30}
+PARAMETERS = set("XYZIJRFSTN")
 LAYER = "FEED_XY"
 
+_SETS = {code: (mode, value) for mode, codes in MODES.items() for code, value in codes.items()}
+_TOKEN = re.compile(r"(?P<skip>\([^()\n]*\)|;[^\n]*|[^\S\n]+)|(?P<end>\n)|(?P<letter>[A-Z])[^\S\n]*(?P<number>[+-]?(?:\d+\.?\d*|\.\d+))|(?P<other>.)")
 
-def words(line: str) -> tuple[list[float], list[float], dict[str, float]]:
-    """G codes, M codes and parameters of a line."""
-    if _WORD.sub("", line).strip():
-        raise Unreadable("unknown syntax")
-    g, m, p = [], [], {}
-    for key, text in _WORD.findall(line):
-        if key in "GM":
-            (g if key == "G" else m).append(float(text))
-        elif key not in PARAMETERS or key in p:
-            raise Unreadable(f"parameter {key}")
-        else:
-            p[key] = float(text)
-    if any(c not in GROUPS for c in g) or any(c not in MISC for c in m):
-        raise Unreadable("unknown code")
-    held = [GROUPS[c] for c in g if GROUPS[c]]
-    if len(held) != len(set(held)):
-        raise Unreadable("two codes of a group")
-    return g, m, p
 
+def blocks(text: str) -> Iterator[list[tuple[str, float]]]:
+    """The words of each block that has any. A line of a percent sign alone is a tape mark."""
+    block, marks = [], 0
+    for token in _TOKEN.finditer("\n".join(text.upper().splitlines()) + "\n"):
+        if token["letter"]:
+            block.append((token["letter"], float(token["number"])))
+        elif token["other"]:
+            marks += 1
+            if token["other"] != "%" or marks > 1:
+                raise Unreadable("unknown syntax")
+        elif token["end"]:
+            if block and marks:
+                raise Unreadable("unknown syntax")
+            if block:
+                yield block
+            block, marks = [], 0
 
-def _centre(p: dict[str, float], at: tuple[float, float], to: tuple[float, float], scale: float, ccw: bool, absolute: bool) -> tuple[float, float, float]:
-    """Centre and radius of an arc by R or by I and J."""
-    chord = math.dist(at, to)
-    if "R" in p:
-        r = abs(p["R"] * scale)
-        if "I" in p or "J" in p or not 1e-9 < chord <= 2 * r:
-            raise Unreadable("arc radius")
-        off = math.sqrt(max(0.0, r * r - chord * chord / 4)) * (1 if ccw == (p["R"] >= 0) else -1)
-        return (at[0] + to[0]) / 2 - off * (to[1] - at[1]) / chord, (at[1] + to[1]) / 2 + off * (to[0] - at[0]) / chord, r
-    if len({"I", "J"} & set(p)) < (2 if absolute else 1):
-        raise Unreadable("arc centre")
-    cx, cy = (p.get(k, 0.0) * scale + (0.0 if absolute else o) for k, o in zip("IJ", at))
-    r = math.dist((cx, cy), at)
-    if r <= 1e-9 or abs(math.dist((cx, cy), to) - r) > max(0.01, r * 1e-4):
-        raise Unreadable("arc centre and end don't agree")
-    return cx, cy, r
 
+def understood(block: list[tuple[str, float]]) -> tuple[dict[str, object], dict[str, float], bool]:
+    """Modes that a block sets, its parameters, and whether the program ends with it."""
+    modes: dict[str, object] = {}
+    given: dict[str, float] = {}
+    ends = False
+    for letter, number in block:
+        if letter == "G" and number in _SETS:
+            mode, value = _SETS[number]
+            if mode in modes:
+                raise Unreadable("two codes of a group")
+            modes[mode] = value
+        elif letter == "M" and number in MACHINE:
+            ends |= number in LAST
+        elif letter in PARAMETERS and letter not in given:
+            given[letter] = number
+        elif letter != "G" or number not in WITHOUT_EFFECT:
+            raise Unreadable(f"{letter}{number:g}")
+    return modes, given, ends
 
-def read(text: str) -> Sheet:
-    sheet, at, z = Sheet(warnings=["XY projection of feed moves; rapid moves are left out"]), (0.0, 0.0), 0.0
-    modal = {"motion": 0, "units": 21, "distance": 90, "centre": 91.1}
-    for raw in text.removeprefix("﻿").splitlines():
-        line = re.sub(r"\([^()]*\)", "", raw).partition(";")[0].strip().upper()
-        if line in ("", "%"):
-            continue
-        g, m, p = words(line)
-        modal |= {GROUPS[c]: c for c in g if GROUPS[c]}
-        scale, relative, motion = 25.4 if modal["units"] == 20 else 1.0, modal["distance"] == 91, modal["motion"]
-        x, y, to_z = (p[k] * scale + (o if relative else 0.0) if k in p else o for k, o in zip("XYZ", (*at, z)))
-        to, moves = (x, y), bool(set("XYZIJR") & set(p))
-        if motion not in (2, 3) and set("IJR") & set(p):
+
+def steps(text: str) -> Iterator[Step]:
+    state: dict[str, object] = {"motion": "rapid", "scale": 1.0, "relative": False, "centre_from_start": True}
+    for block in blocks(text):
+        modes, given, ends = understood(block)
+        state |= modes
+        motion, turns = state["motion"], state["motion"] in ("clockwise", "counterclockwise")
+        x, y, z, i, j, r = (given[k] * state["scale"] if k in given else None for k in "XYZIJR")
+        if not turns and not i is j is r is None:
             raise Unreadable("I, J or R without an arc")
-        if moves and motion == 80:
-            raise Unreadable("a move after G80")
-        if moves and motion == 1:
-            sheet.line(at, to, LAYER)
-        elif moves and motion in (2, 3):
-            if to_z != z:
-                raise Unreadable("helical arc")
-            ccw = motion == 3
-            cx, cy, r = _centre(p, at, to, scale, ccw, modal["centre"] == 90.1)
-            a0, a1 = math.atan2(at[1] - cy, at[0] - cx), math.atan2(to[1] - cy, to[0] - cx)
-            stops = [a0, a0 + (math.pi if ccw else -math.pi), a0] if math.dist(at, to) < 1e-9 else [a0, a1]
-            for a, b in zip(stops, stops[1:]):
-                sheet.arc(cx, cy, r, a, b, ccw, LAYER)
-        at, z = to, to_z
-        if 2 in m or 30 in m:
-            break
-    return sheet
+        if not x is y is z is i is j is r is None:
+            if motion == "none":
+                raise Unreadable("a move while motion is off")
+            turn = Turn(motion == "counterclockwise", r, i, j, state["centre_from_start"]) if turns else None
+            yield Step(x, y, z, state["relative"], None if motion == "rapid" else LAYER, turn)
+        if ends:
+            return
+
+
+def read(text: str) -> Sheet:
+    return trace(steps(text.removeprefix("﻿")), Sheet(warnings=["XY projection of feed moves; rapid moves are left out"]))

@@ -1,49 +1,59 @@
-"""HPGL: strokes of a pen plotter, 0.025 mm a unit."""
+"""HPGL: strokes of a pen plotter."""
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 from plansheet.sources.entities import Sheet, Unreadable
+from plansheet.sources.toolpath import Step, trace
 
+# A unit in mm, and the instructions that are understood with the modes they set.
 UNIT = 0.025
-MOVES, QUIET = {"PA", "PR", "PU", "PD"}, {"VS", "FS", "PW"}
-
-
-def numbers(args: str) -> list[float]:
-    try:
-        out = [float(v) for v in re.split(r"[\s,]+", args.strip()) if v]
-    except ValueError:
-        raise Unreadable("number") from None
-    if not all(map(math.isfinite, out)):
+RESET = {"relative": False, "down": False, "pen": 1}
+INSTRUCTIONS: dict[str, dict[str, object]] = {
+    "IN": RESET, "DF": RESET, "PA": {"relative": False}, "PR": {"relative": True}, "PU": {"down": False}, "PD": {"down": True},
+    "SP": {"pen": 0}, "VS": {}, "FS": {}, "PW": {},
+}
+WITH_PLACES = ("PA", "PR", "PU", "PD")
+
+_INSTRUCTION = re.compile(r"\s*(?P<name>[A-Z]{2})(?P<rest>[^;]*)(?:;|\Z)|\s*;|\s+\Z|(?P<other>.)", re.DOTALL)
+
+
+def figures(text: str) -> list[float]:
+    out = []
+    for word in text.replace(",", " ").split():
+        try:
+            out.append(float(word))
+        except ValueError:
+            raise Unreadable("number") from None
+    if not all(math.isfinite(v) for v in out):
         raise Unreadable("number")
     return out
 
 
-def read(text: str) -> Sheet:
-    sheet, at = Sheet(warnings=["0.025 mm a unit; strokes with the pen down"]), (0.0, 0.0)
-    absolute, down, pen = True, False, 1
-    for command in filter(None, map(str.strip, text.removeprefix("﻿").upper().split(";"))):
-        code, args = command[:2], command[2:]
-        if not re.fullmatch("[A-Z]{2}", code):
-            raise Unreadable("syntax")
-        values = numbers(args) if code in MOVES | QUIET | {"IN", "DF", "SP"} else None
-        if values is None:
-            raise Unreadable(f"command {code}")
-        if code in ("IN", "DF"):
-            absolute, down, pen = True, False, 1
-            at = (0.0, 0.0) if code == "IN" else at
-        elif code == "SP":
-            pen = int(values[0]) if values else 0
-        elif code in MOVES:
-            absolute = {"PA": True, "PR": False}.get(code, absolute)
-            down = {"PD": True, "PU": False}.get(code, down)
+def steps(text: str) -> Iterator[Step]:
+    state = dict(RESET)
+    for found in _INSTRUCTION.finditer(text.upper()):
+        name = found["name"]
+        if found["other"] or name and name not in INSTRUCTIONS:
+            raise Unreadable(f"instruction {name or found['other']}")
+        if not name:
+            continue
+        values = figures(found["rest"])
+        state |= INSTRUCTIONS[name]
+        if name == "SP" and values:
+            state["pen"] = int(values[0])
+        elif name == "IN":
+            yield Step(0.0, 0.0)
+        elif name in WITH_PLACES:
             if len(values) % 2:
                 raise Unreadable("odd number of coordinates")
-            for x, y in zip(values[::2], values[1::2]):
-                to = (x * UNIT, y * UNIT) if absolute else (at[0] + x * UNIT, at[1] + y * UNIT)
-                if down and pen:
-                    sheet.line(at, to, f"PEN_{pen}")
-                at = to
-    return sheet
+            layer = f"PEN_{state['pen']}" if state["down"] and state["pen"] else None
+            for k in range(0, len(values), 2):
+                yield Step(values[k] * UNIT, values[k + 1] * UNIT, relative=state["relative"], layer=layer)
+
+
+def read(text: str) -> Sheet:
+    return trace(steps(text.removeprefix("﻿")), Sheet(warnings=["0.025 mm a unit; strokes with the pen down"]))
