@@ -11,9 +11,14 @@ from plansheet.shipping import ship
 
 
 def shared_folder(spark: SparkSession) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_plansheet_tables", None)
+    """What spark.checkpoint.dir names in the session or the context's settings. Where it is unset, a folder of this machine's in
+    local mode alone; executors elsewhere wouldn't see that one."""
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_plansheet_folder", None)
     if not at:
-        at = spark.sparkContext._plansheet_tables = "file://" + tempfile.mkdtemp(prefix="plansheet-")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = sc._plansheet_folder = "file://" + tempfile.mkdtemp(prefix="plansheet-")
     return at.rstrip("/")
 
 

@@ -60,8 +60,8 @@ ARC = "(case when is_ccw then a1-a0 else a0-a1 end)"
 SW = f"((case when is_ccw then 1 else -1 end)*(case when {ARC} < 0 then {ARC}+2*pi() else {ARC} end))"
 query("gen2_sample_arcs", lambda s, d: generate.sample_arcs(views.arcs(s, d), 4).drop("src"), f"select drawing_id, arc_id as ent_id, i, {R(f'cx+r*cos(a0+{SW}*i/3e0)')} as x, {R(f'cy+r*sin(a0+{SW}*i/3e0)')} as y from geo_arc, (values (0),(1),(2),(3)) v(i)")
 query("gen3_sample_circles", lambda s, d: generate.sample_circles(views.circles(s, d), 6).drop("src"), f"select drawing_id, circle_id as ent_id, i, {R('cx+r*cos(i/6e0*2*pi())')} as x, {R('cy+r*sin(i/6e0*2*pi())')} as y from geo_circle, (values (0),(1),(2),(3),(4),(5)) v(i)")
-query("gen4_sample_drawing", lambda s, d: generate.sample_drawing(views.segments(s, d), views.arcs(s, d), views.circles(s, d), 4).groupBy("drawing_id", "src").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.max("y").alias("y")),
-      f", p as (select drawing_id, 'line' as src, x1+i/3e0*(x2-x1) as x, y1+i/3e0*(y2-y1) as y from geo_seg, range(4) v(i) union all select drawing_id, 'arc', cx+r*cos(a0+{SW}*i/7e0), cy+r*sin(a0+{SW}*i/7e0) from geo_arc, range(8) v(i) union all select drawing_id, 'circle', cx+r*cos(i/12e0*2*pi()), cy+r*sin(i/12e0*2*pi()) from geo_circle, range(12) v(i)) select drawing_id, src, count(*) as n, {R('avg(x)',4)} as x, {R('max(y)',4)} as y from p group by 1, 2", 4)
+query("gen4_sample_drawing", lambda s, d: generate.sample_drawing(views.segments(s, d), views.arcs(s, d), views.circles(s, d), 4).groupBy("drawing_id", "src").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x"), F.max("y").alias("y")),
+      f", p as (select drawing_id, 'line' as src, x1+i/3e0*(x2-x1) as x, y1+i/3e0*(y2-y1) as y from geo_seg, range(4) v(i) union all select drawing_id, 'arc', cx+r*cos(a0+{SW}*i/7e0), cy+r*sin(a0+{SW}*i/7e0) from geo_arc, range(8) v(i) union all select drawing_id, 'circle', cx+r*cos(i/12e0*2*pi()), cy+r*sin(i/12e0*2*pi()) from geo_circle, range(12) v(i)) select drawing_id, src, count(*) as n, {R('min(x)',4)} as x, {R('max(y)',4)} as y from p group by 1, 2", 4)
 query("gen6_ring_edges", lambda s, d: generate.ring_edges(views.loops(s, d)), f"select drawing_id, seg_id // 4 as loop_id, cast(seg_id % 4 as int) as i, {', '.join(f'{R(c)} as {c}' for c in SEG)} from geo_side")
 CELL = lambda x: f"cast(floor({x}/20) as bigint)"
 query("gen7_segment_cells", lambda s, d: joins.cells_of(views.rectangle_segments(s, d), 20.0).groupBy("drawing_id", "cell_x", "cell_y").agg(F.count(F.lit(1)).alias("n")), f", c as (select drawing_id, unnest(range({CELL('least(x1,x2)')}, {CELL('greatest(x1,x2)')}+1)) as cell_x, least(y1,y2) as lo, greatest(y1,y2) as hi from geo_side), e as (select drawing_id, cell_x, unnest(range({CELL('lo')}, {CELL('hi')}+1)) as cell_y from c) select drawing_id, cell_x, cell_y, count(*) as n from e group by 1, 2, 3")
@@ -78,8 +78,8 @@ query("fil1_degenerate_segments", lambda s, d: views.segments(s, d).where(S.dist
 query("fil3_radius_mask", lambda s, d: symmetry.centred(seg_points(s, d), 50.0).where("active").select("drawing_id", "id", "radius"), f", c as (select drawing_id, avg(x1) as cx, avg(y1) as cy from geo_seg group by 1), q as (select g.drawing_id, seg_id, sqrt((x1-cx)*(x1-cx)+(y1-cy)*(y1-cy)) as radius from geo_seg g join c on g.drawing_id = c.drawing_id) select drawing_id, seg_id as id, {R('radius')} as radius from q where radius > 100")
 query("fil4_micro_segments", lambda s, d: views.rectangle_segments(s, d).where(S.distance(*(F.col(c) for c in SEG)) < 1.5).groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n")), f"select drawing_id, count(*) as n from geo_side where {LEN} < 1.5 group by 1")
 query("fil5_straddling", lambda s, d: topology.measured(views.loops(s, d)).where((F.col("b.min_x") < 2519.0) & (F.col("b.max_x") > 2521.0)).select("drawing_id", "loop_id"), "select drawing_id, rect_id as loop_id from geo_rect where x0 < 2519 and x0+w > 2521")
-CORNERS = ", e as (select drawing_id, seg_id, x1 as x, y1 as y from geo_seg where seg_id % 3 > 0 union all select drawing_id, seg_id, x2, y2 from geo_seg where seg_id % 3 > 0)"
-GAPPED = lambda s, d: topology.build_graph(views.segments(s, d).where("seg_id % 3 > 0"), 1e-6)
+CORNERS = ", e as (select drawing_id, seg_id, x1 as x, y1 as y from geo_seg union all select drawing_id, seg_id, x2, y2 from geo_seg)"
+GAPPED = lambda s, d: topology.build_graph(views.segments(s, d), 1e-6)
 NODES = ", nd as (select drawing_id, x, y, count(distinct seg_id) as degree from e group by 1, 2, 3)"
 query("fil6_open_ends_junctions", lambda s, d: GAPPED(s, d)[0].groupBy("drawing_id").agg(F.count_if(F.col("degree") == 1).alias("n_open"), F.count_if(F.col("degree") >= 3).alias("n_junctions")), CORNERS + NODES + " select drawing_id, count(*) filter (degree = 1) as n_open, count(*) filter (degree >= 3) as n_junctions from nd group by 1")
 
@@ -89,15 +89,15 @@ odd = lambda s, d: seg_points(s, d).where("id % 2 = 1")
 even = lambda s, d: seg_points(s, d).where("id % 2 = 0")
 PAIRED = ", p as (select drawing_id, seg_id as id, x1 as x, y1 as y from geo_seg where seg_id % 2 = 1), q as (select drawing_id, seg_id as rid, x1 as rx, y1 as ry from geo_seg where seg_id % 2 = 0), m as (select p.drawing_id, id, rid, sqrt((x-rx)*(x-rx)+(y-ry)*(y-ry)) as dist from p join q on p.drawing_id = q.drawing_id)"
 query("joi1_nearest", lambda s, d: joins.nearest(odd(s, d), as_right(even(s, d))), PAIRED + f" select drawing_id, id, arg_min(rid, {{d: dist, r: rid}}) as rid, {R('min(dist)')} as dist from m group by 1, 2")
-query("joi2_nearest_batch", lambda s, d: joins.nearest(views.points(s, d).withColumnRenamed("pt_id", "id"), as_right(views.points(s, d).withColumnRenamed("pt_id", "id").where("id % 3 = 0"))), f", m as (select p.drawing_id, p.pt_id as id, q.pt_id as rid, sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)) as dist from geo_point p join geo_point q on p.drawing_id = q.drawing_id and q.pt_id % 3 = 0) select drawing_id, id, arg_min(rid, {{d: dist, r: rid}}) as rid, {R('min(dist)')} as dist from m group by 1, 2")
+query("joi2_nearest_batch", lambda s, d: joins.nearest(views.points(s, d).select("drawing_id", F.col("pt_id").alias("id"), (F.col("x") + 7.0).alias("x"), (F.col("y") - 3.0).alias("y")), as_right(views.points(s, d).withColumnRenamed("pt_id", "id"))), f", m as (select p.drawing_id, p.pt_id as id, q.pt_id as rid, sqrt((p.x+7-q.x)*(p.x+7-q.x)+(p.y-3-q.y)*(p.y-3-q.y)) as dist from geo_point p join geo_point q on p.drawing_id = q.drawing_id) select drawing_id, id, arg_min(rid, {{d: dist, r: rid}}) as rid, {R('min(dist)')} as dist from m group by 1, 2")
 query("joi3_radius", lambda s, d: joins.range_join(odd(s, d), as_right(even(s, d)), 25.0).select("drawing_id", "id", "rid", "dist"), PAIRED + f" select drawing_id, id, rid, {R('dist')} as dist from m where dist <= 25")
 query("joi4_k_nearest", lambda s, d: joins.k_nearest(odd(s, d), as_right(even(s, d)), 3).select("drawing_id", "id", "rank", "rid", "dist"), PAIRED + f", k as (select *, cast(row_number() over (partition by drawing_id, id order by dist, rid) as int) as rank from m) select drawing_id, id, rank, rid, {R('dist')} as dist from k where rank <= 3")
 MEET = "greatest(a.x1,a.x2) >= least(b.x1,b.x2)-1e-6 and greatest(b.x1,b.x2) >= least(a.x1,a.x2)-1e-6 and greatest(a.y1,a.y2) >= least(b.y1,b.y2)-1e-6 and greatest(b.y1,b.y2) >= least(a.y1,a.y2)-1e-6"
 query("joi5_box_pairs", lambda s, d: joins.box_pairs(views.rectangle_segments(s, d).drop("layer"), 20.0).select("drawing_id", F.col("seg_id_a").alias("seg_a"), F.col("seg_id_b").alias("seg_b")), f"select a.drawing_id, a.seg_id as seg_a, b.seg_id as seg_b from geo_side a join geo_side b on a.drawing_id = b.drawing_id and a.seg_id < b.seg_id and {MEET}")
 PS = "greatest(0e0, least(1e0, ((x-x1)*(x2-x1)+(y-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1))))"
 PD = f"sqrt(pow(x1+{PS}*(x2-x1)-x,2)+pow(y1+{PS}*(y2-y1)-y,2))"
-probes = lambda s, d: views.segments(s, d).where("seg_id % 4 = 0").select("drawing_id", F.col("seg_id").alias("id"), (F.col("x1") + 7.0).alias("x"), (F.col("y1") - 3.0).alias("y"))
-PROBE = f", p as (select drawing_id, seg_id as id, x1+7 as x, y1-3 as y from geo_seg where seg_id % 4 = 0), m as (select p.drawing_id, id, g.seg_id, g.layer, {PD} as dist from p join geo_seg g on p.drawing_id = g.drawing_id)"
+probes = lambda s, d: views.segments(s, d).select("drawing_id", F.col("seg_id").alias("id"), (F.col("x1") + 7.0).alias("x"), (F.col("y1") - 3.0).alias("y"))
+PROBE = f", p as (select drawing_id, seg_id as id, x1+7 as x, y1-3 as y from geo_seg), m as (select p.drawing_id, id, g.seg_id, g.layer, {PD} as dist from p join geo_seg g on p.drawing_id = g.drawing_id)"
 query("joi6_nearest_segment", lambda s, d: joins.nearest_segment(probes(s, d), views.segments(s, d)).select("drawing_id", "id", "dist"), PROBE + f" select drawing_id, id, {R('min(dist)')} as dist from m group by 1, 2")
 ENDS = ", e as (select drawing_id, seg_id*2 as id, x1 as x, y1 as y from geo_seg union all select drawing_id, seg_id*2+1, x2, y2 from geo_seg)"
 LINK = ", pr as (select a.drawing_id, a.id as u, b.id as v from e a join e b on a.drawing_id = b.drawing_id and a.id <> b.id and sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 8)"
@@ -136,12 +136,12 @@ nest = lambda s, d: topology.ranked_loops(views.circles(s, d).select("drawing_id
 NEST = ", q as (select drawing_id, circle_id as loop_id, cx/50 as x, cy as y, r from geo_circle), o as (select *, row_number() over (partition by drawing_id order by r desc, loop_id) as k from q), dp as (select a.drawing_id, a.loop_id, a.r, count(b.loop_id) as depth from o a left join o b on a.drawing_id = b.drawing_id and b.k < a.k and a.x > b.x-b.r and a.x < b.x+b.r and a.y > b.y-b.r and a.y < b.y+b.r group by 1, 2, 3)"
 query("joi18_containment", lambda s, d: topology.containment(nest(s, d)), NEST + " select drawing_id, loop_id, depth from dp")
 query("joi19_outer_frame", lambda s, d: clusters.outer_frame(views.rectangle_segments(s, d), ranked(s, d)).select("drawing_id", "seg_id"), RANKED + " select s.drawing_id, s.seg_id from geo_side s join lp on s.seg_id // 4 = lp.loop_id and lp.rank = 0")
-query("joi20_proximity_clusters", lambda s, d: clusters.motif_clusters(views.segments(s, d), views.loops(s, d).limit(0).withColumn("rank", F.lit(0))).groupBy("drawing_id", "cluster_id").agg(F.count(F.lit(1)).alias("n"), F.min("seg_id").alias("first")))
-MIDS = ", e as (select drawing_id, seg_id as id, (x1+x2)/2 as x, (y1+y2)/2 as y from geo_seg)" + LINK.replace("<= 8", "<= 30")
-ORACLE_SQL["joi20_proximity_clusters"] = RECUR + MIDS + ", rc as (select drawing_id, id, id as node from e union select rc.drawing_id, pr.v, rc.node from rc join pr on rc.drawing_id = pr.drawing_id and rc.id = pr.u where pr.v > rc.node), lo as (select drawing_id, id, min(node) as node from rc group by 1, 2), g as (select drawing_id, node, count(*) as n from lo group by 1, 2) select drawing_id, cast(row_number() over (partition by drawing_id order by node) as int) as cluster_id, n, node as first from g"
+query("joi20_proximity_clusters", lambda s, d: clusters.motif_clusters(views.rectangle_segments(s, d), ranked(s, d)).groupBy("drawing_id", "cluster_id").agg(F.count(F.lit(1)).alias("n"), F.min("seg_id").alias("first")))
+MIDS = RANKED + ", e as (select s.drawing_id, seg_id as id, (x1+x2)/2 as x, (y1+y2)/2 as y from geo_side s join lp on seg_id // 4 = lp.loop_id where lp.rank > 0)" + LINK.replace("<= 8", "<= 30")
+ORACLE_SQL["joi20_proximity_clusters"] = RECUR + MIDS + ", rc as (select drawing_id, id, id as node from e union select rc.drawing_id, pr.v, rc.node from rc join pr on rc.drawing_id = pr.drawing_id and rc.id = pr.u where pr.v > rc.node), lo as (select drawing_id, id, min(node) as node from rc group by 1, 2), g as (select drawing_id, node, count(*) as n from lo group by 1, 2) select drawing_id, cast(row_number() over (partition by drawing_id order by node) as int) as cluster_id, n, node as first from g union all select drawing_id, 0, 4, 4*loop_id from lp where rank = 0"
 query("joi21_layer_lookup", lambda s, d: joins.nearest_segment(probes(s, d), views.segments(s, d)).select("drawing_id", "id", "layer"), PROBE + " select drawing_id, id, arg_min(layer, {d: dist, s: seg_id}) as layer from m group by 1, 2")
 query("joi22_change_ratio", lambda s, d: repair.change_ratio(views.segments(s, d), views.segments(s, d).where("seg_id % 5 > 0")), ", e as (select drawing_id, seg_id, (x1+x2)/2 as x, (y1+y2)/2 as y from geo_seg), fw as (select a.drawing_id, a.seg_id, min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) as m from e a join e b on a.drawing_id = b.drawing_id and b.seg_id % 5 > 0 group by 1, 2), s as (select drawing_id, count(*) as n, count(*) filter (seg_id % 5 > 0) as k, avg(m) as f from fw group by 1) " + f"select drawing_id, {R('least(100, 100*(0.5*(n-k)/n + 0.5*least(1, f/2/25)))')} as change from s")
-CORN = CORNERS + ", nd as (select drawing_id, x, y, count(distinct seg_id) as degree, min(seg_id) as seg_a, max(seg_id) as seg_b from e group by 1, 2, 3), oth as (select drawing_id, seg_id, x1 as x, y1 as y, x2 as ox, y2 as oy from geo_seg where seg_id % 3 > 0 union all select drawing_id, seg_id, x2, y2, x1, y1 from geo_seg where seg_id % 3 > 0), cr as (select nd.drawing_id, seg_a, seg_b, degrees(acos(greatest(-1, least(1, ((p.ox-nd.x)*(q.ox-nd.x)+(p.oy-nd.y)*(q.oy-nd.y))/(sqrt(pow(p.ox-nd.x,2)+pow(p.oy-nd.y,2))*sqrt(pow(q.ox-nd.x,2)+pow(q.oy-nd.y,2))))))) as angle from nd join oth p on p.drawing_id = nd.drawing_id and p.seg_id = seg_a and p.x = nd.x and p.y = nd.y join oth q on q.drawing_id = nd.drawing_id and q.seg_id = seg_b and q.x = nd.x and q.y = nd.y where degree = 2)"
+CORN = CORNERS + ", nd as (select drawing_id, x, y, count(distinct seg_id) as degree, min(seg_id) as seg_a, max(seg_id) as seg_b from e group by 1, 2, 3), oth as (select drawing_id, seg_id, x1 as x, y1 as y, x2 as ox, y2 as oy from geo_seg union all select drawing_id, seg_id, x2, y2, x1, y1 from geo_seg), cr as (select nd.drawing_id, seg_a, seg_b, degrees(acos(greatest(-1, least(1, ((p.ox-nd.x)*(q.ox-nd.x)+(p.oy-nd.y)*(q.oy-nd.y))/(sqrt(pow(p.ox-nd.x,2)+pow(p.oy-nd.y,2))*sqrt(pow(q.ox-nd.x,2)+pow(q.oy-nd.y,2))))))) as angle from nd join oth p on p.drawing_id = nd.drawing_id and p.seg_id = seg_a and p.x = nd.x and p.y = nd.y join oth q on q.drawing_id = nd.drawing_id and q.seg_id = seg_b and q.x = nd.x and q.y = nd.y where degree = 2)"
 corner = lambda s, d: features.corners(*GAPPED(s, d))
 query("joi23_corners", lambda s, d: corner(s, d).select("drawing_id", "seg_a", "seg_b", F.round("angle", 4).alias("angle"), "is_orthogonal"), CORN + " select drawing_id, seg_a, seg_b, round(angle,4) + 0e0 as angle, abs(angle-90) <= 4 as is_orthogonal from cr")
 query("joi24_kinks", lambda s, d: features.kinks(corner(s, d)).select("drawing_id", "seg_a", "seg_b", F.round("deviation", 4).alias("deviation")), CORN + " select drawing_id, seg_a, seg_b, round(180-angle,4) + 0e0 as deviation from cr where angle between 174 and 179.7")
@@ -180,7 +180,7 @@ query("agg10_centres", lambda s, d: symmetry.boxes(seg_points(s, d)).select("dra
 REL = lambda s, d: symmetry.centred(seg_points(s, d), 5.0)
 RELQ = ", c as (select drawing_id, avg(x1) as cx, avg(y1) as cy from geo_seg group by 1), rl as (select g.drawing_id, seg_id as id, x1-cx as x, y1-cy as y, atan2(y1-cy,x1-cx) as t0 from geo_seg g join c on g.drawing_id = c.drawing_id), ac as (select *, case when t0 < 0 then t0+2*pi() else t0 end as theta from rl where sqrt(x*x+y*y) > 10)"
 HISTQ = RELQ + ", hs as (select drawing_id, cast(least(179, floor(theta/(2*pi())*180)) as int) as bin, count(*) as n from ac group by 1, 2), ev as (select drawing_id, cast(k as int) as bin from c, range(180) v(k)), h as (select ev.drawing_id, ev.bin, coalesce(n, 0) as n from ev left join hs on ev.drawing_id = hs.drawing_id and ev.bin = hs.bin)"
-SMQ = HISTQ + ", sm as (select h.drawing_id, h.bin, 0.25e0*a.n + 0.5e0*h.n + 0.25e0*z.n as s from h join h a on a.drawing_id = h.drawing_id and a.bin = (h.bin+179) % 180 join h z on z.drawing_id = h.drawing_id and z.bin = (h.bin+1) % 180)"
+SMQ = HISTQ + ", sm as (select drawing_id, bin, 0.25e0*coalesce(lag(n) over w, max_by(n, bin) over v) + 0.5e0*n + 0.25e0*coalesce(lead(n) over w, min_by(n, bin) over v) as s from h window w as (partition by drawing_id order by bin), v as (partition by drawing_id))"
 query("agg11_angle_histogram", lambda s, d: symmetry.angle_histogram(REL(s, d)), HISTQ + " select drawing_id, bin, n from h")
 query("agg12_circular_smoothing", lambda s, d: symmetry.smoothed(symmetry.angle_histogram(REL(s, d))), SMQ + f" select drawing_id, bin, {R('s')} as s from sm")
 FOQ = SMQ + ", fo as (select drawing_id, o as rot_order, sqrt(pow(sum(s*cos(bin*o*2*pi()/180)),2)+pow(sum(s*sin(bin*o*2*pi()/180)),2)) as power from sm, (values (2),(3),(4),(5),(6),(8),(10),(12),(16)) v(o) group by 1, 2)"
@@ -201,7 +201,7 @@ query("agg19_loop_features", lambda s, d: LF(s, d).select("drawing_id", "loop_id
 query("agg23_corner_margins", lambda s, d: repair.margins(topology.measured(views.loops(s, d)), RBOX(s, d)), LFQ + f", mg as (select lp.drawing_id, case when x < (bx0+bx9)/2 then x0-bx0 else bx9-(x0+w) end as mx, case when y < (by0+by9)/2 then y0-by0 else by9-(y0+h) end as my from lp join rb on lp.drawing_id = rb.drawing_id where abs(x-(bx0+bx9)/2) > (bx9-bx0)*0.25 and abs(y-(by0+by9)/2) > (by9-by0)*0.25) select drawing_id, {R('coalesce(quantile_cont(mx, 0.5) filter (mx > 0), 18.5)')} as margin_x, {R('coalesce(quantile_cont(my, 0.5) filter (my > 0), 18.5)')} as margin_y from mg group by 1")
 query("agg24_cluster_boxes", lambda s, d: clusters.cluster_boxes(views.segments(s, d), views.segments(s, d).select("drawing_id", "seg_id", (F.col("seg_id") % 4).cast("int").alias("cluster_id"))).select("drawing_id", "cluster_id", "n", "x", "y"), f"select drawing_id, cast(seg_id % 4 as int) as cluster_id, count(*) as n, {R('(least(min(x1),min(x2))+greatest(max(x1),max(x2)))/2')} as x, {R('(least(min(y1),min(y2))+greatest(max(y1),max(y2)))/2')} as y from geo_seg group by 1, 2")
 query("agg25_report_maxima", lambda s, d: symmetry.loop_errors(ranked(s, d), MID(s, d)).groupBy("drawing_id").agg(F.round(F.max("dist"), 4).alias("worst")), RANKED + ", m as (select a.drawing_id, a.loop_id, min(sqrt((4960-a.x-b.x)*(4960-a.x-b.x)+(a.y-b.y)*(a.y-b.y))) as dist from lp a join lp b on a.drawing_id = b.drawing_id and a.rank > 0 and b.rank > 0 group by 1, 2) select drawing_id, round(max(dist),4) + 0e0 as worst from m group by 1")
-query("agg27_graph_counts", lambda s, d: topology.graph_summary(*GAPPED(s, d)).select("drawing_id", "n_nodes", "n_edges"), CORNERS + NODES + ", ed as (select drawing_id, count(*) as n_edges from geo_seg where seg_id % 3 > 0 group by 1) select nd.drawing_id, count(*) as n_nodes, max(n_edges) as n_edges from nd join ed on nd.drawing_id = ed.drawing_id group by 1")
+query("agg27_graph_counts", lambda s, d: topology.graph_summary(*GAPPED(s, d)).select("drawing_id", "n_nodes", "n_edges"), CORNERS + NODES + ", ed as (select drawing_id, count(*) as n_edges from geo_seg group by 1) select nd.drawing_id, count(*) as n_nodes, max(n_edges) as n_edges from nd join ed on nd.drawing_id = ed.drawing_id group by 1")
 
 # windows
 query("win1_ring_successor", lambda s, d: views.loops(s, d).select("drawing_id", "loop_id", F.posexplode("pts").alias("i", "p"), "pts").select("drawing_id", "loop_id", "i", S.ring_next(F.col("pts"), F.col("i"))["x"].alias("nx"), S.ring_next(F.col("pts"), F.col("i"))["y"].alias("ny")), f"select drawing_id, seg_id // 4 as loop_id, cast(seg_id % 4 as int) as i, {R('x2')} as nx, {R('y2')} as ny from geo_side")

@@ -72,12 +72,28 @@ query("snk3_report_json", lambda s, d: writers.report_json(geometry.PROFILE(s, d
 query("snk5_worst_motif", lambda s, d: symmetry.loop_errors(ranked(s, d), geometry.MID(s, d)).groupBy("drawing_id").agg(F.max_by("loop_id", F.struct(F.round("dist", 4), -F.col("loop_id"))).alias("loop_id")), RANKED + ", m as (select a.drawing_id, a.loop_id, round(min(sqrt((4960-a.x-b.x)*(4960-a.x-b.x)+(a.y-b.y)*(a.y-b.y))),4) as dist from lp a join lp b on a.drawing_id = b.drawing_id and a.rank > 0 and b.rank > 0 group by 1, 2) select drawing_id, arg_max(loop_id, {d: dist, l: -loop_id}) as loop_id from m group by 1")
 
 # generators and filters that need more than a view
-query("gen5_cluster_samples", lambda s, d: generate.sample_segments(views.segments(s, d).where("seg_id % 4 = 1"), 8).groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("x")), f"select drawing_id, 8*count(*) as n, {R('max(greatest(x1,x2))', 2)} as x from geo_seg where seg_id % 4 = 1 group by 1", 2)
+query("gen5_cluster_samples", lambda s, d: generate.sample_segments(views.segments(s, d), 8).groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("x")), f"select drawing_id, 8*count(*) as n, {R('max(greatest(x1,x2))', 2)} as x from geo_seg group by 1", 2)
 TGT = "(case when a > 174 then a-180 else a end)"
 NEAR = f"list_min([{', '.join(f'{{d: abs({TGT}-{t}), t: {t}e0}}' for t in (0, 45, 90, 135))}])"
 ANQ = f", ac as (select drawing_id, {TGT} as w, {NEAR} as t, count(*) over (partition by drawing_id) as al from f), an as (select drawing_id, t.t as target, 0.5*greatest(0,1-stddev_pop(w)/6)+0.5*least(1,count(*)/(0.15*max(al))) as c from ac where t.d <= 6 group by drawing_id, t.t)"
-query("gen13_constraints", lambda s, d: features.constraints(features.angle_clusters(LINES(s, d)), features.spacing_clusters(features.parallel_pairs(LINES(s, d))), features.corner_motifs(geometry.LF(s, d).limit(0))),
-      SPQ + ANQ.replace(", ac as", ", ac as", 1) + f" select drawing_id, 'PARALLEL' as kind, case when c > 0.9 then 'FIXED' else 'SOFT' end as strictness, target as value, {R('c')} as weight from an where c >= 0.75 union all select drawing_id, 'EQUAL_SPACING', 'SOFT', {R('spacing')}, {R('least(1,n/8e0)*greatest(0,1-mad/2)')} from rk where k <= 4 and least(1,n/8e0)*greatest(0,1-mad/2) >= 0.7")
+def boxed(s: SparkSession, d: str) -> DataFrame:
+    """Made-up loops of the segments' drawings: the drawing's box and four boxes in its corners, one of half the width."""
+    m = S.box_of(F.col("b"))
+    b, w, h = F.col("b"), m["width"], m["height"]
+    at = [(b["min_x"], b["min_y"], w, h)] + [(x, y, w / k, h / 10) for x, y, k in ((b["min_x"], b["min_y"], 10), (b["max_x"] - w / 10, b["min_y"], 10), (b["min_x"], b["max_y"] - h / 10, 10), (b["max_x"] - w / 20, b["max_y"] - h / 10, 20))]
+    rings = F.array(*(F.array(*(S.point(px, py) for px, py in ((x, y), (x + u, y), (x + u, y + v), (x, y + v)))) for x, y, u, v in at))
+    return topology.ranked_loops(seg_boxes(s, d).select("drawing_id", F.posexplode(rings).alias("loop_id", "pts")))
+
+
+def slanted(s: SparkSession, d: str) -> DataFrame:
+    """A made-up loop for each segment: four corners, two sides of which lean by seg_id % 6 hundredths."""
+    pts = F.expr("array(struct(x1 as x, y1 as y), struct(x1 + 100 as x, y1 + seg_id % 6 as y), struct(x1 + 100 as x, y1 + 90 as y), struct(x1 as x, y1 + 90 - seg_id % 6 as y))")
+    return views.segments(s, d).select("drawing_id", F.col("seg_id").alias("loop_id"), pts.alias("pts"), F.lit(4).alias("n"))
+
+
+cornered = lambda s, d: features.loop_features(boxed(s, d), seg_boxes(s, d).withColumnRenamed("b", "box"))
+query("gen13_constraints", lambda s, d: features.constraints(features.angle_clusters(LINES(s, d)), features.spacing_clusters(features.parallel_pairs(LINES(s, d))), features.corner_motifs(cornered(s, d))),
+      SPQ + ANQ.replace(", ac as", ", ac as", 1) + f" select drawing_id, 'PARALLEL' as kind, case when c > 0.9 then 'FIXED' else 'SOFT' end as strictness, target as value, {R('c')} as weight from an where c >= 0.75 union all select drawing_id, 'EQUAL_SPACING', 'SOFT', {R('spacing')}, {R('least(1,n/8e0)*greatest(0,1-mad/2)')} from rk where k <= 4 and least(1,n/8e0)*greatest(0,1-mad/2) >= 0.7 union all select drawing_id, 'EQUAL_DIMENSION', 'FIXED', {R('(greatest(max(x1),max(x2))-least(min(x1),min(x2)))/10')}, 1e0 from geo_seg group by 1 having greatest(max(x1),max(x2)) > least(min(x1),min(x2)) and greatest(max(y1),max(y2)) > least(min(y1),min(y2))")
 query("gen14_boundary_rectangle", lambda s, d: repair.boundary(ranked(s, d), RBOX(s, d)).select("drawing_id", "loop_id", F.get("pts", F.lit(2))["x"].alias("x"), F.get("pts", F.lit(2))["y"].alias("y"), S.signed_area(F.col("pts")).alias("area")), RANKED + f", rb as (select drawing_id, min(x0) as a0, min(y0) as b0, max(x0+w) as a9, max(y0+h) as b9 from geo_rect group by 1) select lp.drawing_id, loop_id, {R('a9')} as x, {R('b9')} as y, {R('(a9-a0)*(b9-b0)', 4)} as area from lp join rb on lp.drawing_id = rb.drawing_id where rank = 0", 4)
 zone = lambda s, d: views.segments(s, d).select("drawing_id").distinct().withColumn("b", S.box(*(F.lit(v) for v in (100.0, 100.0, 200.0, 250.0))))
 INZ = "((x1 between 100-1e-6 and 200+1e-6 and y1 between 100-1e-6 and 250+1e-6) or (x2 between 100-1e-6 and 200+1e-6 and y2 between 100-1e-6 and 250+1e-6))"
@@ -85,7 +101,7 @@ query("fil2_exclusion_zones", lambda s, d: repair.apply_zones(views.segments(s,
       f", t as (select drawing_id, seg_id, x1+5 as x1, y1, x2+5 as x2, y2 from geo_seg), u as (select drawing_id, x1 from t where not {INZ} union all select drawing_id, x1 from geo_seg where {INZ}) select drawing_id, count(*) as n, round(sum(x1),4) + 0e0 as x from u group by 1")
 
 # a table of made-up candidates, four for each drawing
-scored = lambda s, d: views.points(s, d).where("pt_id % 4 < 4").select("drawing_id", F.concat(F.lit("c"), fmt("pt_id")).alias("candidate_id"), (F.col("pt_id") * 37 % 101 * 1.0).alias("quality"), (F.col("pt_id") * 53 % 97 * 1.0).alias("change"), (F.col("pt_id") % 3 > 0).alias("is_valid"), (F.col("pt_id") % 5 > 0).alias("has_lines"))
+scored = lambda s, d: views.points(s, d).select("drawing_id", F.concat(F.lit("c"), fmt("pt_id")).alias("candidate_id"), (F.col("pt_id") * 37 % 101 * 1.0).alias("quality"), (F.col("pt_id") * 53 % 97 * 1.0).alias("change"), (F.col("pt_id") % 3 > 0).alias("is_valid"), (F.col("pt_id") % 5 > 0).alias("has_lines"))
 SCOQ = ", c as (select drawing_id, 'c' || cast(pt_id as varchar) as candidate_id, pt_id*37%101*1e0 as quality, 101-pt_id*37%101+0.15*(pt_id*53%97)-1+case when pt_id%3 > 0 then 0 else 100 end as cost, pt_id%3 > 0 and pt_id%5 > 0 as is_valid from geo_point), k as (select *, cast(row_number() over (partition by drawing_id order by is_valid desc, round(cost,6), candidate_id) as int) as place from c)"
 rank = lambda s, d: repair.rank_candidates(scored(s, d))
 query("win7_candidate_ranking", lambda s, d: rank(s, d).select("drawing_id", "candidate_id", "is_valid", "cost"), SCOQ + f" select drawing_id, candidate_id, is_valid, {R('cost')} as cost from k")
@@ -104,11 +120,14 @@ query("stf6_axis_refinement", lambda s, d: symmetry.refine(seg_points(s, d), mid
 
 # deformation, quality, validation
 DEFQ = FEAT + f", m as (select drawing_id, count(*) filter ({LEN} < 25) as n_micro from geo_seg group by 1)"
-query("agg20_deformation", lambda s, d: quality.deformation(plain(s, d), features.kinks(geometry.corner(s, d)), views.segments(s, d), ranked(s, d).limit(0), 25.0).select("drawing_id", "n_kinks", "n_micro", F.round("deformation", 4).alias("deformation"), "is_acceptable"),
-      geometry.CORN + f", kk as (select drawing_id, count(*) as n_kinks, sum(180-angle) as dev from cr where angle between 174 and 179.7 group by 1), m as (select drawing_id, count(*) filter ({LEN} < 25) as n_micro from geo_seg group by 1), q as (select m.drawing_id, coalesce(n_kinks,0) as n_kinks, n_micro, least(50, 4*coalesce(dev,0))+least(25, 5*n_micro) as df from m left join kk on m.drawing_id = kk.drawing_id) select drawing_id, n_kinks, n_micro, round(df,4) + 0e0 as deformation, df < 12 as is_acceptable from q")
+query("agg20_deformation", lambda s, d: quality.deformation(plain(s, d), features.kinks(geometry.corner(s, d)), views.segments(s, d), slanted(s, d), 25.0).select("drawing_id", "n_kinks", "n_micro", "n_skewed", F.round("deformation", 4).alias("deformation"), "is_acceptable"),
+      geometry.CORN + f", kk as (select drawing_id, count(*) as n_kinks, sum(180-angle) as dev from cr where angle between 174 and 179.7 group by 1), m as (select drawing_id, count(*) filter ({LEN} < 25) as n_micro, count(*) filter (seg_id % 6 = 5) as n_skewed from geo_seg group by 1), q as (select m.drawing_id, coalesce(n_kinks,0) as n_kinks, n_micro, n_skewed, least(50, 4*coalesce(dev,0))+least(25, 5*n_micro)+least(25, 4*n_skewed) as df from m left join kk on m.drawing_id = kk.drawing_id) select drawing_id, n_kinks, n_micro, n_skewed, round(df,4) + 0e0 as deformation, df < 12 as is_acceptable from q")
 plain = lambda s, d: views.segments(s, d).select("drawing_id").distinct()
-query("agg21_quality", lambda s, d: quality.quality(plain(s, d), geometry.PROFILE(s, d).select("drawing_id", "score"), LINES(s, d), features.spacing_clusters(features.parallel_pairs(LINES(s, d))), geometry.LF(s, d).limit(0), features.collinear_bundles(LINES(s, d)).limit(0), plain(s, d).withColumn("deformation", F.lit(3.0))).select("drawing_id", *(F.round(c, 4).alias(c) for c in ("angle", "spacing", "quality", "confidence")), "verdict"),
-      SPQ + geometry.DEV.replace(BOX, ", b as (select drawing_id, least(min(x1),min(x2)) as x0, greatest(max(x1),max(x2)) as x9 from geo_seg group by 1)", 1) + f", pf as (select drawing_id, {geometry.SCO} as score from (select drawing_id, sqrt(avg(dev*dev)) as rms, avg(case when dev <= 5 then 1e0 else 0e0 end) as matched from r group by 1)), od as (select drawing_id, greatest(0, least(100, 100-18*avg(case when least(abs(a),abs(a-180),abs(a-45),abs(a-90),abs(a-135)) > 4 then 0 else least(abs(a),abs(a-180),abs(a-45),abs(a-90),abs(a-135)) end))) as angle from f group by 1), sp as (select drawing_id, greatest(0, least(100, 100-35*avg(mad))) as spacing from rk where k <= 4 group by 1), ql as (select od.drawing_id, angle, coalesce(spacing,85) as spacing, score, greatest(0, least(100, 0.25*score+0.2*coalesce(spacing,85)+0.2*angle+0.2*90+0.15*80-0.45*3)) as quality, least(1, 0.004*score+0.003*angle+0.003*90) as confidence from od join pf on od.drawing_id = pf.drawing_id left join sp on od.drawing_id = sp.drawing_id) select drawing_id, round(angle,4) + 0e0 as angle, round(spacing,4) + 0e0 as spacing, round(quality,4) + 0e0 as quality, round(confidence,4) + 0e0 as confidence, case when quality >= 85 and score >= 90 then 'AUTO_ACCEPT' when quality >= 60 then 'REVIEW' else 'REJECT' end as verdict from ql")
+#: Members that a seed takes, as the greedy bundles do.
+NEXT = "list_transform(list_filter(ps, lambda x: x.a = seeds[i] and not list_contains(used, x.b)), lambda x: x.b)"
+query("agg21_quality", lambda s, d: quality.quality(plain(s, d), geometry.PROFILE(s, d).select("drawing_id", "score"), LINES(s, d), features.spacing_clusters(features.parallel_pairs(LINES(s, d))), cornered(s, d), features.collinear_bundles(LINES(s, d)), quality.deformation(plain(s, d), features.kinks(geometry.corner(s, d)), views.segments(s, d), boxed(s, d), 25.0)).select("drawing_id", *(F.round(c, 4).alias(c) for c in ("angle", "spacing", "quality", "confidence")), "verdict"),
+      SPQ + geometry.CORN + geometry.DEV.replace(BOX, ", b as (select drawing_id, least(min(x1),min(x2)) as x0, greatest(max(x1),max(x2)) as x9 from geo_seg group by 1)", 1) + f", pf as (select drawing_id, {geometry.SCO} as score from (select drawing_id, sqrt(avg(dev*dev)) as rms, avg(case when dev <= 5 then 1e0 else 0e0 end) as matched from r group by 1)), od as (select drawing_id, greatest(0, least(100, 100-18*avg(case when least(abs(a),abs(a-180),abs(a-45),abs(a-90),abs(a-135)) > 4 then 0 else least(abs(a),abs(a-180),abs(a-45),abs(a-90),abs(a-135)) end))) as angle from f group by 1), sp as (select drawing_id, greatest(0, least(100, 100-35*avg(mad))) as spacing from rk where k <= 4 group by 1), kk as (select drawing_id, count(*) as n_kinks, sum(180-angle) as dev from cr where angle between 174 and 179.7 group by 1), mi as (select drawing_id, count(*) filter ({LEN} < 25) as n_micro from geo_seg group by 1), dq as (select mi.drawing_id, least(50, 4*coalesce(dev,0))+least(25, 5*n_micro) as df from mi left join kk on mi.drawing_id = kk.drawing_id), cp as (select p.drawing_id, p.seg_id as a, q.seg_id as b from f p join f q on p.drawing_id = q.drawing_id and p.seg_id < q.seg_id and {geometry.TURN} <= 2 and {geometry.AWAY(1)} <= 0.5 and {geometry.AWAY(2)} <= 0.5), ps as (select drawing_id, list({{a: a, b: b}} order by a, b) as ps, list_sort(list_distinct(list(a))) as seeds from cp group by 1), gr as (select drawing_id, 1 as i, []::bigint[] as used from ps union all select gr.drawing_id, i+1, case when list_contains(used, seeds[i]) or len({NEXT}) = 0 then used else list_concat(used, list_prepend(seeds[i], {NEXT})) end from gr join ps on gr.drawing_id = ps.drawing_id where i <= len(seeds)), us as (select drawing_id, max(len(used)) as held from gr group by 1), hd as (select f.drawing_id, coalesce(any_value(held), 0) as held, count(*) as lines from f left join us on f.drawing_id = us.drawing_id group by 1), al as (select drawing_id, case when held = 0 then 80e0 else least(100, 70+30e0*held/lines) end as align from hd), ql as (select od.drawing_id, angle, coalesce(spacing,85) as spacing, score, greatest(0, least(100, 0.25*score+0.2*coalesce(spacing,85)+0.2*angle+0.2*50+0.15*align-0.45*df)) as quality, least(1, 0.004*score+0.003*angle+0.003*50) as confidence from od join pf on od.drawing_id = pf.drawing_id left join sp on od.drawing_id = sp.drawing_id join dq on od.drawing_id = dq.drawing_id join al on od.drawing_id = al.drawing_id) select drawing_id, round(angle,4) + 0e0 as angle, round(spacing,4) + 0e0 as spacing, round(quality,4) + 0e0 as quality, round(confidence,4) + 0e0 as confidence, case when quality >= 85 and score >= 90 then 'AUTO_ACCEPT' when quality >= 60 then 'REVIEW' else 'REJECT' end as verdict from ql")
+ORACLE_SQL["agg21_quality"] = ORACLE_SQL["agg21_quality"].replace("with ", "with recursive ", 1)
 
 
 def validation(s: SparkSession, d: str) -> DataFrame:
@@ -157,26 +176,24 @@ def panels(s: SparkSession, d: str) -> DataFrame:
     return out.select("drawing_id", (F.col("k") * 4 + F.col("i")).cast("bigint").alias("seg_id"), a["x"].alias("x1"), a["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"), F.when(F.col("k") == 0, "OUTER_FRAME").otherwise("CNC_CUTOUT").alias("layer"))
 
 
-#: What the queries with SQL read: PANEL asks for every fifth customer only.
-PANEL = " from customer where c_custkey % 5 = 0"
-fifth = lambda s, d: panels(s, d).where("drawing_id % 5 = 0")
+PANEL = " from customer"
 query("orc1_symmetry_analysis", lambda s, d: flows.Drawing(panels(s, d)).analyze().select("drawing_id", "n_loops", "n_pairs", "classification", "action", F.round("score", 2).alias("score")))
 query("orc2_full_report", lambda s, d: flows.Drawing(panels(s, d)).report().select("drawing_id", "n_loops", "symmetry_group", "verdict", F.round("quality", 2).alias("quality"), "n_constraints"))
 query("orc3_candidates", lambda s, d: flows.candidates(panels(s, d))[0].select("drawing_id", "candidate_id", "is_valid", "place", F.round("quality", 2).alias("quality"), F.round("change", 2).alias("change")))
 query("orc4_recommendation", lambda s, d: flows.recommend(panels(s, d))[0].select("drawing_id", "candidate_id", F.round("cost", 2).alias("cost")))
-query("orc5_applied_repair", lambda s, d: writers.dxf_text(flows.recommend(fifth(s, d))[1]).select("drawing_id", F.size(F.regexp_extract_all("text", F.lit("(?m)^LINE$"), F.lit(0))).alias("n")), f"select c_custkey as drawing_id, 24 as n{PANEL}")
-query("rep1_strategy_dispatch", lambda s, d: repair.union([flows.repaired(fifth(s, d), k).groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n")).withColumn("strategy", F.lit(k)) for k in ("4_quadrant", "mirror_left_to_right")]), f", k as (select c_custkey as drawing_id{PANEL}) select drawing_id, 24::bigint as n, s as strategy from k, (values ('4_quadrant'), ('mirror_left_to_right')) v(s)")
+query("orc5_applied_repair", lambda s, d: writers.dxf_text(flows.recommend(panels(s, d))[1]).select("drawing_id", F.size(F.regexp_extract_all("text", F.lit("(?m)^LINE$"), F.lit(0))).alias("n")), f"select c_custkey as drawing_id, 24 as n{PANEL}")
+query("rep1_strategy_dispatch", lambda s, d: repair.union([flows.repaired(panels(s, d), k).groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n")).withColumn("strategy", F.lit(k)) for k in ("4_quadrant", "mirror_left_to_right")]), f", k as (select c_custkey as drawing_id{PANEL}) select drawing_id, 24::bigint as n, s as strategy from k, (values ('4_quadrant'), ('mirror_left_to_right')) v(s)")
 
 
 def cand(s: SparkSession, d: str, k: str) -> DataFrame:
-    g = flows.Drawing(fifth(s, d))
+    g = flows.Drawing(panels(s, d))
     lines = repair.untagged(repair.candidate_lines(g.segments, g.loops, g.boxes, g.corner_size, candidates=(k,)), "bigint")
     return lines.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("x2"), 3).alias("x"))
 
 
 for _k, _name in (("a", "rep9_canonical_intent"), ("b", "rep10_quadrants_regularized"), ("c", "rep11_left_to_right"), ("d", "rep12_minimum_change")):
     query(_name, lambda s, d, k=_k: cand(s, d, k), f"select c_custkey as drawing_id, 24::bigint as n, 500e0 as x{PANEL}")
-query("joi20_local_symmetry", lambda s, d: (lambda g: clusters.local_symmetry(g.segments, clusters.motif_clusters(g.segments, g.loops, 45.0)))(flows.Drawing(fifth(s, d))).select("drawing_id", "cluster_id", F.round("score", 2).alias("score")), f", k as (select cast(c_custkey as varchar) as drawing_id{PANEL}) select drawing_id, cast(c as int) as cluster_id, 100e0 as score from k, range(1, 6) v(c)")
+query("joi20_local_symmetry", lambda s, d: (lambda g: clusters.local_symmetry(g.segments, clusters.motif_clusters(g.segments, g.loops, 45.0)))(flows.Drawing(panels(s, d))).select("drawing_id", "cluster_id", F.round("score", 2).alias("score")), f", k as (select cast(c_custkey as varchar) as drawing_id{PANEL}) select drawing_id, cast(c as int) as cluster_id, 100e0 as score from k, range(1, 6) v(c)")
 
 # streams
 CLOCK = "yyyy-MM-dd HH:mm:ss"
