@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plansheet.operators.tables import shared_folder
 from plansheet.shipping import ship
 
 #: One word: everything but ASCII white space.
@@ -31,19 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; one of our own only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = getattr(spark.sparkContext, "_plansheet_scratch", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="plansheet-")
-        spark.sparkContext._plansheet_scratch = at
-    return at.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

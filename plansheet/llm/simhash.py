@@ -168,10 +168,16 @@ def classes(df: DataFrame, radius: int = 4, shingle: int = 4, pivots: int = 16,
 
 
 def keep_one(df: DataFrame, **how) -> DataFrame:
-    """One row of df for each class, that with its smallest id. Rows without an id can't be told apart and stay."""
-    kept = classes(df.where("doc_id is not null"), **how).where("doc_id = component_id").select("doc_id").distinct()
-    one = df.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])  # a repeated id is one document
-    return one.select(*df.columns).unionByName(df.where("doc_id is null"))
+    """One row of df for each class: that with the smallest id (nulls last), and of rows with this id that with the smallest
+    hash of the text. Which row goes is decided by class, so rows with one id and texts of different classes all have theirs;
+    rows that are equal in id and text are one document."""
+    text = F.col("text").cast("string")
+    rows = df.select("doc_id", F.struct(F.col("doc_id").alias("i"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("h")).alias("_at"), text.alias("text"))
+    named = classes(rows, id_col="_at", **how)  # ids that tell rows of one id apart by their texts
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("_at.i").isNull().alias("n"), F.col("_at").alias("a"))).alias("m")).select(F.col("m.a.i").alias("_i"), F.col("m.a.h").alias("_h")).distinct()
+    here = df.withColumn("_h0", F.coalesce(F.xxhash64(text), F.lit(0)))
+    one = here.join(kept, here["doc_id"].eqNullSafe(kept["_i"]) & (here["_h0"] == kept["_h"]), "left_semi")
+    return one.withColumn("_i0", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).dropDuplicates(["_i0", "_h0"]).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

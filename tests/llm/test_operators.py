@@ -346,6 +346,11 @@ def test_simhash(spark, docs, empty, rows):
     assert all(g["fp"] % (1 << 64) == fps[g["doc_id"]] and g["component_id"] == want[g["doc_id"]] for g in got)
     kept = [r["doc_id"] for r in keep_one(docs).collect()]
     assert sorted(kept) == sorted(set(want.values()))
+    r = random.Random(18)
+    a, b, c = (prose(r, 60) for _ in range(3))
+    mixed = spark.createDataFrame([(1, a, "e"), (2, a, "e"), (2, b, "e"), (2, b, "e"), (None, c, "e"), (None, c, "e"), (None, b, "e")], "doc_id bigint, text string, _at string")
+    assert sorted(((x["doc_id"] or -1, x["text"]) for x in keep_one(mixed).collect())) == sorted([(1, a), (2, b), (-1, c)])
+    assert keep_one(empty).count() == 0
     assert classes(empty).count() == 0
 
 
