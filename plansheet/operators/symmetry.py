@@ -25,6 +25,23 @@ def boxes(pts: DataFrame) -> DataFrame:
     return pts.groupBy("drawing_id").agg(S.box(F.min("x"), F.min("y"), F.max("x"), F.max("y")).alias("b"), F.count(F.lit(1)).alias("n"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
 
 
+def nearest_distance(a: np.ndarray, b: np.ndarray, block: int = 512) -> np.ndarray:
+    """The distance of each point of a to the nearest of b: which is nearest comes from a product of matrices, its distance from the points."""
+    middle = b.mean(0)
+    c = b - middle
+    size, out = (c * c).sum(1), []
+    for i in range(0, len(a), block):
+        part = a[i : i + block]
+        off = part - b[(size - 2 * ((part - middle) @ c.T)).argmin(1)]
+        out.append(np.hypot(off[:, 0], off[:, 1]))
+    return np.concatenate(out) if out else np.empty(0)
+
+
+def mirrored(p: np.ndarray, o: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Points mirrored about the axis through o along d."""
+    return 2 * (o + ((p - o) @ d)[:, None] * d) - p
+
+
 def _mirror_kernel(left: pa.Table, right: pa.Table) -> pa.Table:
     """Deviations of one drawing's points (id, x, y) for each of its axes."""
     out = pa.schema([left.schema.field("drawing_id"), ("axis_id", pa.int64()), left.schema.field("id"), ("x", pa.float64()), ("y", pa.float64()), ("dev", pa.float64())])
@@ -33,10 +50,8 @@ def _mirror_kernel(left: pa.Table, right: pa.Table) -> pa.Table:
     p = np.column_stack([left.column(c).to_numpy() for c in "xy"])
     made = []
     for k, *a in zip(*(right.column(c).to_pylist() for c in ("axis_id", *AXIS))):
-        o, d = np.array(a[:2]), np.array(a[2:])
-        image = 2 * (o + ((p - o) @ d)[:, None] * d) - p
-        near = [np.sqrt(((image[i : i + 512, None, 0] - p[None, :, 0]) ** 2 + (image[i : i + 512, None, 1] - p[None, :, 1]) ** 2).min(1)) for i in range(0, len(p), 512)]
-        made.append(pa.Table.from_arrays([left.column("drawing_id"), pa.array(np.full(len(p), k)), left.column("id"), left.column("x"), left.column("y"), pa.array(np.concatenate(near))], schema=out))
+        near = nearest_distance(mirrored(p, np.array(a[:2]), np.array(a[2:])), p)
+        made.append(pa.Table.from_arrays([left.column("drawing_id"), pa.array(np.full(len(p), k)), left.column("id"), left.column("x"), left.column("y"), pa.array(near)], schema=out))
     return pa.concat_tables(made)
 
 
@@ -122,8 +137,7 @@ def ransac(pts: DataFrame, tol: float = 0.2, trials: int = 35, most: int = 150,
             if n < 15.0:
                 continue
             o, d = (p[i] + p[j]) / 2, np.array([-v[1], v[0]]) / n
-            image = 2 * (o + ((p - o) @ d)[:, None] * d) - p
-            dist = np.sqrt(((image[:, None, :] - p[None, :, :]) ** 2).sum(2).min(1))
+            dist = nearest_distance(mirrored(p, o, d), p)
             good = dist <= 1.5 * tol
             if good.sum() > 0.4 * len(p):
                 out.append((int(good.sum()), float(dist[good].mean()), float(o[0]), float(o[1]), math.atan2(d[1], d[0]) % math.pi))
@@ -190,9 +204,10 @@ def refine(pts: DataFrame, axes: DataFrame, most: int = 200) -> DataFrame:
 
                 def loss(v: np.ndarray) -> float:
                     d, at = np.array([math.cos(angle + v[1]), math.sin(angle + v[1])]), o + normal * v[0]  # noqa: B023
-                    image = 2 * (at + ((p - at) @ d)[:, None] * d) - p  # noqa: B023
-                    dist = np.sqrt(((image[:, None, :] - p[None, :, :]) ** 2).sum(2).min(1))  # noqa: B023
-                    kept = dist[dist <= max(2.0, float(np.percentile(dist, 90)))]
+                    dist = nearest_distance(mirrored(p, at, d), p)  # noqa: B023
+                    place = 0.9 * (len(dist) - 1)
+                    low, high = np.partition(dist, [int(place), min(int(place) + 1, len(dist) - 1)])[[int(place), min(int(place) + 1, len(dist) - 1)]]
+                    kept = dist[dist <= max(2.0, low + (place - int(place)) * (high - low))]  # the 90th percentile
                     return float((kept**2).mean())
 
                 shift, by = _nelder_mead(loss, np.zeros(2))

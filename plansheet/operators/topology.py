@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plansheet.functions import scalar as S
-from plansheet.operators.graph import components
+from plansheet.operators.graph import SMALL, components, labels
 from plansheet.operators.joins import range_join
 from plansheet.operators.tables import stored
 
@@ -80,27 +80,52 @@ def cycle_basis(edges: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def closed_loops(nodes: DataFrame, edges: DataFrame, buckets: int = 16) -> DataFrame:
+def _rings(drawing, nodes: dict[int, tuple[float, float]], u: np.ndarray, v: np.ndarray) -> list[tuple]:
+    """(drawing_id, part, k, pts) of a graph's fundamental cycles, by component."""
+    node, root = labels(u, v)
+    part = dict(zip(node.tolist(), root.tolist()))
+    found = [c for c in cycle_basis(list(zip(u.tolist(), v.tolist()))) if len(c) >= 3]
+    return [(drawing, part[c[0]], k, [{"x": nodes[n][0], "y": nodes[n][1]} for n in c]) for k, c in enumerate(found)]
+
+
+def _ring_table(rows: list[tuple], kind: pa.DataType) -> pa.Table:
+    fields = [("drawing_id", kind), ("part", pa.int64()), ("k", pa.int32()), ("pts", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))]
+    return pa.table([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)] if rows else [pa.array([], t) for _, t in fields], names=[n for n, _ in fields])
+
+
+def closed_loops(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(drawing_id, loop_id, pts, n, signed_area, area, perimeter, x, y, b, rank): rings of the graph, largest first.
 
-    A component whose nodes all have degree 2 is one ring; only components with branches need a cycle basis. Both are
-    ordered in a kernel that holds one of the buckets that a drawing's components are dealt to.
+    A drawing with `small` edges at most is one kernel. The components of a larger one are found first; each of
+    these is a kernel of its own, in which a cycle basis is ordered.
     """
-    simple = edges.where("u <> v").select("drawing_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    roots = components(simple)
-    named = simple.join(roots, (simple["drawing_id"] == roots["drawing_id"]) & (simple["u"] == roots["node"]), "left").select(simple["drawing_id"], "u", "v", F.coalesce("root", "u").alias("part"))
+    simple = stored(edges.where("u <> v").select("drawing_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "simple-edges")
     at = nodes.select("drawing_id", "node_id", "x", "y")
-    rows = named.join(at.toDF("drawing_id", "u", "ux", "uy"), ["drawing_id", "u"]).join(at.toDF("drawing_id", "v", "vx", "vy"), ["drawing_id", "v"])
-
-    def rings(pdf: pd.DataFrame) -> pd.DataFrame:
-        part_of = dict(zip(pdf.u, pdf.part)) | dict(zip(pdf.v, pdf.part))
-        xy = dict(zip(pdf.u, zip(pdf.ux, pdf.uy))) | dict(zip(pdf.v, zip(pdf.vx, pdf.vy)))
-        found = [c for c in cycle_basis(list(zip(pdf.u.tolist(), pdf.v.tolist()))) if len(c) >= 3]
-        pts = [[{"x": float(xy[k][0]), "y": float(xy[k][1])} for k in c] for c in found]
-        return pd.DataFrame({"drawing_id": pdf.drawing_id.iloc[:1].repeat(len(found)).to_numpy(), "part": [part_of[c[0]] for c in found], "k": range(len(found)), "pts": pd.Series(pts, dtype=object)})
-
-    kind = edges.schema["drawing_id"].dataType.simpleString()
-    out = rows.withColumn("_bucket", F.pmod(F.xxhash64("part"), F.lit(buckets))).groupBy("drawing_id", "_bucket").applyInPandas(rings, f"drawing_id {kind}, part bigint, k int, pts array<struct<x:double,y:double>>")
+    schema = f"drawing_id {edges.schema['drawing_id'].dataType.simpleString()}, part bigint, k int, pts array<struct<x:double,y:double>>"
+
+    def drawing(points: pa.Table, lines: pa.Table) -> pa.Table:
+        kind = points.schema.field("drawing_id").type
+        if not len(points) or not len(lines):
+            return _ring_table([], kind)
+        xy = dict(zip(points.column("node_id").to_pylist(), zip(points.column("x").to_pylist(), points.column("y").to_pylist())))
+        return _ring_table(_rings(points.column("drawing_id")[0].as_py(), xy, lines.column("u").to_numpy(), lines.column("v").to_numpy()), kind)
+
+    large = stored(simple.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select("drawing_id"), "large-drawings")
+    none = large.isEmpty()
+    few = (lambda df: df) if none else (lambda df: df.join(large, "drawing_id", "left_anti"))
+    out = few(at).groupBy("drawing_id").cogroup(few(simple).groupBy("drawing_id")).applyInArrow(drawing, schema)
+    if not none:
+        many = simple.join(large, "drawing_id", "left_semi")
+        roots = components(many)
+        named = many.join(roots, (many["drawing_id"] == roots["drawing_id"]) & (many["u"] == roots["node"]), "left").select(many["drawing_id"], "u", "v", F.coalesce("root", "u").alias("part"))
+        rows = named.join(at.toDF("drawing_id", "u", "ux", "uy"), ["drawing_id", "u"]).join(at.toDF("drawing_id", "v", "vx", "vy"), ["drawing_id", "v"])
+
+        def component(t: pa.Table) -> pa.Table:
+            c = {name: t.column(name).to_pylist() for name in ("u", "v", "ux", "uy", "vx", "vy")}
+            xy = dict(zip(c["u"], zip(c["ux"], c["uy"]))) | dict(zip(c["v"], zip(c["vx"], c["vy"])))
+            return _ring_table(_rings(t.column("drawing_id")[0].as_py(), xy, t.column("u").to_numpy(), t.column("v").to_numpy()), t.schema.field("drawing_id").type)
+
+        out = out.unionByName(rows.groupBy("drawing_id", "part").applyInArrow(component, schema))
     return ranked_loops(out.withColumn("loop_id", F.row_number().over(Window.partitionBy("drawing_id").orderBy("part", "k")).cast("bigint") - 1).drop("part", "k"))
 
 

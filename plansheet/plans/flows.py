@@ -6,27 +6,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plansheet.functions import scalar as S
-from plansheet.operators import features, generate, quality, repair, symmetry, topology
+from plansheet.operators import clusters, features, generate, quality, repair, symmetry, topology
 from plansheet.operators.tables import stored
 
 SEG = ("x1", "y1", "x2", "y2")
 
 
-def boxes(segments: DataFrame) -> DataFrame:
-    """(drawing_id, b) of the segments' ends."""
-    return segments.groupBy("drawing_id").agg(S.box(F.min(F.least("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("x1", "x2")), F.max(F.greatest("y1", "y2"))).alias("b"))
+def boxes(segments: DataFrame, arcs: DataFrame | None = None, circles: DataFrame | None = None) -> DataFrame:
+    """(drawing_id, b): the box of each drawing's segments, arcs and circles."""
+    rows = segments.select("drawing_id", S.box(F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2")).alias("b"))
+    if arcs is not None:
+        rows = rows.unionByName(arcs.select("drawing_id", S.arc_box(*(F.col(c) for c in ("cx", "cy", "r", "a0", "a1", "is_ccw"))).alias("b")))
+    if circles is not None:
+        rows = rows.unionByName(circles.select("drawing_id", S.box(F.col("cx") - F.col("r"), F.col("cy") - F.col("r"), F.col("cx") + F.col("r"), F.col("cy") + F.col("r")).alias("b")))
+    return rows.groupBy("drawing_id").agg(S.box(F.min("b.min_x"), F.min("b.min_y"), F.max("b.max_x"), F.max("b.max_y")).alias("b"))
 
 
-def sampled(segments: DataFrame, n: int) -> DataFrame:
-    """(drawing_id, id, x, y)."""
-    return generate.sample_segments(segments, n).select("drawing_id", (F.col("ent_id") * n + F.col("i")).alias("id"), "x", "y")
+def sampled(segments: DataFrame, n: int, arcs: DataFrame | None = None, circles: DataFrame | None = None) -> DataFrame:
+    """(drawing_id, id, x, y): n points a segment, 2n an arc, 3n a circle."""
+    kind = F.when(F.col("src") == "line", 0).when(F.col("src") == "arc", 1).otherwise(2)
+    return generate.sample_drawing(segments, arcs, circles, n).select("drawing_id", ((F.col("ent_id") * (3 * n) + F.col("i")) * 3 + kind).alias("id"), "x", "y")
 
 
 class Drawing:
-    """What the analyses share of a set of drawings, each part written once when first asked for."""
+    """What the analyses share of a set of drawings, each part written once when first asked for.
 
-    def __init__(self, segments: DataFrame, tol: float = 0.2, node_tol: float = 0.1, samples: int = 12):
-        self.segments, self.tol, self.node_tol, self.samples = segments, tol, node_tol, samples
+    Arcs and circles count for boxes and symmetry; graphs, loops and what comes from them are of segments.
+    """
+
+    def __init__(self, segments: DataFrame, tol: float = 0.2, node_tol: float = 0.1, samples: int = 12, arcs: DataFrame | None = None, circles: DataFrame | None = None):
+        self.segments, self.tol, self.node_tol, self.samples, self.arcs, self.circles = segments, tol, node_tol, samples, arcs, circles
         self._held: dict[str, DataFrame] = {}
 
     def _once(self, name: str, make) -> DataFrame:
@@ -40,7 +49,7 @@ class Drawing:
 
     @property
     def boxes(self) -> DataFrame:
-        return self._once("boxes", lambda: boxes(self.segments))
+        return self._once("boxes", lambda: boxes(self.segments, self.arcs, self.circles))
 
     def _graph(self, part: str) -> DataFrame:
         if part not in self._held:
@@ -62,7 +71,7 @@ class Drawing:
 
     @property
     def points(self) -> DataFrame:
-        return self._once("points", lambda: sampled(self.segments, self.samples))
+        return self._once("points", lambda: sampled(self.segments, self.samples, self.arcs, self.circles))
 
     @property
     def lines(self) -> DataFrame:
@@ -72,9 +81,33 @@ class Drawing:
     def loop_features(self) -> DataFrame:
         return self._once("loop-features", lambda: features.loop_features(self.loops, self.boxes.withColumnRenamed("b", "box")))
 
+    @property
+    def axes(self) -> DataFrame:
+        """What may be an axis: upright, level, principal and diagonal ones, bisectors of loops, and of random points that many agree with."""
+        seeds = symmetry.hypotheses(self.points, self.loops)
+        return self._once("axes", lambda: seeds.unionByName(symmetry.ransac(self.points, self.tol).drop("inliers")))
+
     @property
     def best(self) -> DataFrame:
-        return self._once("best", lambda: symmetry.best_axis(self.points, symmetry.hypotheses(self.points, self.loops), self.tol))
+        return self._once("best", lambda: symmetry.best_axis(self.points, self.axes, self.tol))
+
+    @property
+    def second(self) -> DataFrame:
+        """The profile of an axis square to the best one, where there is one to be trusted."""
+        return self._once("second", lambda: symmetry.secondary_axis(self.points, self.best, self.tol))
+
+    @property
+    def heat(self) -> DataFrame:
+        """(drawing_id, id, x, y, dev, band): each point's deviation about the best axis, and its colour band."""
+        return self._once("heat", lambda: symmetry.deviations(self.points, self.best.select("drawing_id", "axis_id", "a")).drop("axis_id").withColumn("band", S.heat_band(F.col("dev"))))
+
+    @property
+    def anchors(self) -> DataFrame:
+        return self._once("anchors", lambda: generate.anchors(self.boxes, self.loop_features))
+
+    @property
+    def clusters(self) -> DataFrame:
+        return self._once("clusters", lambda: clusters.motif_clusters(self.segments, self.loops))
 
     @property
     def pairs(self) -> DataFrame:
@@ -97,12 +130,14 @@ class Drawing:
         return self._once("deformed", lambda: quality.deformation(self.drawings, features.kinks(features.corners(self.nodes, self.edges)), self.segments, self.loops))
 
     def analyze(self) -> DataFrame:
-        """A row for each drawing: its best axis and profile, loops paired and not, classification and action."""
+        """A row for each drawing: its best axis and profile, the one square to it, loops paired and not, classification and action."""
+        second = self.second.select("drawing_id", F.col("a").alias("second_a"), F.col("score").alias("second_score"))
         count = self.pairs.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.max("dist").alias("worst_distance"), F.max("area_error").alias("worst_area"))
         n = self.loops.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n_loops"))
         out = self.best.drop("axis_id", "loop_area_error").join(count, "drawing_id", "left").join(n, "drawing_id", "left").na.fill(0)
         c = S.classify(F.col("score"), F.col("rms"), F.col("matched"), F.col("n_pairs"))
-        return out.withColumn("classification", c["classification"]).withColumn("action", c["action"])
+        out = out.withColumn("classification", c["classification"]).withColumn("action", c["action"])
+        return out.join(second, "drawing_id", "left")
 
     def quality(self) -> DataFrame:
         return quality.quality(self.drawings, self.best.select("drawing_id", "score"), self.lines, self.spacings, self.loop_features, self.bundles, self.deformed)
@@ -112,20 +147,26 @@ class Drawing:
         return quality.validate(self.drawings, summary, self.loops, quality.duplicate_pairs(self.segments), quality.crossings(self.segments), self.boxes, original)
 
     def report(self) -> DataFrame:
-        """Analysis, rotation, quality and counts of intent in one row for each drawing."""
+        """Analysis, rotation, quality, and counts of intent, anchors, clusters and points in the hottest band, a row for each drawing."""
         rotation = symmetry.rotational(self.points, 0.25, self.boxes.select("drawing_id", *(S.box_of(F.col("b"))[f"center_{k}"].alias(f"c{k}") for k in "xy")))
         intent = features.constraints(features.angle_clusters(self.lines), self.spacings, self.corner_size).groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n_constraints"))
         q = self.quality().select("drawing_id", "quality", "verdict", "deformation")
         out = self.analyze().join(rotation.select("drawing_id", "symmetry_group", "rot_order"), "drawing_id", "left").join(q, "drawing_id", "left").join(intent, "drawing_id", "left")
-        return out.na.fill({"n_constraints": 0})
+        more = (self.anchors.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n_anchors")), self.clusters.groupBy("drawing_id").agg(F.countDistinct("cluster_id").alias("n_clusters")), self.heat.groupBy("drawing_id").agg(F.count_if(F.col("band") == 4).alias("n_hot"), F.max("dev").alias("worst_deviation")))
+        for part in more:
+            out = out.join(part, "drawing_id", "left")
+        return out.na.fill({"n_constraints": 0, "n_anchors": 0, "n_clusters": 0, "n_hot": 0})
+
 
+def candidates(segments: DataFrame, zones: DataFrame | None = None, straighten: bool = True, arcs: DataFrame | None = None, circles: DataFrame | None = None, **how) -> tuple[DataFrame, DataFrame]:
+    """The four candidates ranked for each drawing, and their tagged lines; all are scored in one pass.
 
-def candidates(segments: DataFrame, zones: DataFrame | None = None, straighten: bool = True, **how) -> tuple[DataFrame, DataFrame]:
-    """The four candidates ranked for each drawing, and their tagged lines; all are scored in one pass."""
+    A repair moves lines; a drawing's arcs and circles stay as they are in every candidate, and count for its symmetry and size.
+    """
     kind = segments.schema["drawing_id"].dataType.simpleString()
-    old = Drawing(segments, **how)
+    old = Drawing(segments, arcs=arcs, circles=circles, **how)
     lines = stored(repair.candidate_lines(segments, old.loops, old.boxes, old.corner_size, straighten, zones), "candidate-lines")
-    new = Drawing(lines, **how)
+    new = Drawing(lines, arcs=None if arcs is None else repair.tagged(arcs), circles=None if circles is None else repair.tagged(circles), **how)
     rows = repair.tagged(old.drawings)
     parts = (new.quality().select("drawing_id", "quality", F.col("symmetry").alias("score")), new.validate(repair.tagged(old.boxes)).select("drawing_id", "is_valid"), repair.change_ratio(repair.tagged(segments), lines))
     for part in parts:

@@ -176,23 +176,50 @@ def panels(s: SparkSession, d: str) -> DataFrame:
     return out.select("drawing_id", (F.col("k") * 4 + F.col("i")).cast("bigint").alias("seg_id"), a["x"].alias("x1"), a["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"), F.when(F.col("k") == 0, "OUTER_FRAME").otherwise("CNC_CUTOUT").alias("layer"))
 
 
+def panel_arcs(s: SparkSession, d: str) -> DataFrame:
+    """Two half circles in the middle of each panel, one above the other."""
+    both = F.array(*(F.struct(F.lit(k).cast("bigint").alias("arc_id"), F.lit(250.0).alias("cx"), F.lit(y).alias("cy"), F.lit(30.0).alias("r"), F.radians(F.lit(t)).alias("a0"), F.radians(F.lit(t + 180.0)).alias("a1"), F.lit(True).alias("is_ccw"), F.lit("CNC_CUTOUT").alias("layer")) for k, (y, t) in enumerate(((120.0, 0.0), (380.0, 180.0)))))
+    return views._read(s, d, "customer").select(F.col("c_custkey").alias("drawing_id"), F.explode(both).alias("c")).select("drawing_id", "c.*")
+
+
+def panel_circles(s: SparkSession, d: str) -> DataFrame:
+    return views._read(s, d, "customer").select(F.col("c_custkey").alias("drawing_id"), F.lit(0).cast("bigint").alias("circle_id"), F.lit(250.0).alias("cx"), F.lit(250.0).alias("cy"), F.lit(20.0).alias("r"), F.lit("CNC_CUTOUT").alias("layer"))
+
+
+#: The panels' answers are planted: every fourth is exact, and a repair that mirrors or averages makes the others exact too.
 PANEL = " from customer"
-query("orc1_symmetry_analysis", lambda s, d: flows.Drawing(panels(s, d)).analyze().select("drawing_id", "n_loops", "n_pairs", "classification", "action", F.round("score", 2).alias("score")))
-query("orc2_full_report", lambda s, d: flows.Drawing(panels(s, d)).report().select("drawing_id", "n_loops", "symmetry_group", "verdict", F.round("quality", 2).alias("quality"), "n_constraints"))
-query("orc3_candidates", lambda s, d: flows.candidates(panels(s, d))[0].select("drawing_id", "candidate_id", "is_valid", "place", F.round("quality", 2).alias("quality"), F.round("change", 2).alias("change")))
-query("orc4_recommendation", lambda s, d: flows.recommend(panels(s, d))[0].select("drawing_id", "candidate_id", F.round("cost", 2).alias("cost")))
-query("orc5_applied_repair", lambda s, d: writers.dxf_text(flows.recommend(panels(s, d))[1]).select("drawing_id", F.size(F.regexp_extract_all("text", F.lit("(?m)^LINE$"), F.lit(0))).alias("n")), f"select c_custkey as drawing_id, 24 as n{PANEL}")
-query("rep1_strategy_dispatch", lambda s, d: repair.union([flows.repaired(panels(s, d), k).groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n")).withColumn("strategy", F.lit(k)) for k in ("4_quadrant", "mirror_left_to_right")]), f", k as (select c_custkey as drawing_id{PANEL}) select drawing_id, 24::bigint as n, s as strategy from k, (values ('4_quadrant'), ('mirror_left_to_right')) v(s)")
+EXACT = "c_custkey % 4 = 0"
+whole = lambda s, d: {"segments": panels(s, d), "arcs": panel_arcs(s, d), "circles": panel_circles(s, d)}
+exact = lambda c: F.when(F.col("drawing_id") % 4 == 0, c)
+SIDES = "unnest([{x: b.x+b.w/2, y: b.y}, {x: b.x+b.w, y: b.y+b.h/2}, {x: b.x+b.w/2, y: b.y+b.h}, {x: b.x, y: b.y+b.h/2}])"
+
+
+def panel_sides(off: str) -> str:
+    """Views pq and pl: the panels' boxes, the odd one off by so many of its millimetres, and the middles of their sides."""
+    some = ", ".join(f"{{x: {x}, y: {y}, w: {w}e0, h: {w}e0}}" for x, y, w in (("0e0", "0e0", 500), ("20e0", "20e0", 50), ("430e0", "20e0", 50), ("20e0", "430e0", 50), (f"430e0-{off}", f"430e0+{off}/2", 50), ("220e0", "220e0", 60)))
+    return f", pq as (select c_custkey as drawing_id, unnest([{some}]) as b{PANEL}), pl as (select drawing_id, {SIDES} as m from pq)"
+
+
+sides = lambda df, *more: df.select("drawing_id", *more, F.round((F.col("x1") + F.col("x2")) / 2, 3).alias("x"), F.round((F.col("y1") + F.col("y2")) / 2, 3).alias("y"))
+query("orc1_symmetry_analysis", lambda s, d: flows.Drawing(**whole(s, d)).analyze().select("drawing_id", "n_loops", (F.col("classification") == "PERFECT_SYMMETRIC").alias("is_perfect"), exact(F.col("n_pairs")).alias("n_pairs"), exact(F.col("action")).alias("action"), exact(F.round("score", 2)).alias("score"), exact(F.round("second_score", 2)).alias("second_score"), exact(F.abs(F.round(F.col("a.dx") * F.col("a.dy"), 3))).alias("slant")),
+      f", p as (select c_custkey as drawing_id, {EXACT} as ok{PANEL}) select drawing_id, 6::bigint as n_loops, ok as is_perfect, case when ok then 3::bigint end as n_pairs, case when ok then 'NO_REPAIR_NEEDED' end as action, case when ok then 100e0 end as score, case when ok then 100e0 end as second_score, case when ok then 0e0 end as slant from p")
+query("orc2_full_report", lambda s, d: flows.Drawing(**whole(s, d)).report().select("drawing_id", "n_loops", "n_anchors", (F.col("verdict") == "AUTO_ACCEPT").alias("is_sound"), exact(F.col("n_hot")).alias("n_hot"), exact(F.round("quality", 1)).alias("quality")),
+      f", p as (select c_custkey as drawing_id, {EXACT} as ok{PANEL}) select drawing_id, 6::bigint as n_loops, 14::bigint as n_anchors, ok as is_sound, case when ok then 0::bigint end as n_hot, case when ok then 98.5e0 end as quality from p")
+query("orc3_candidates", lambda s, d: flows.candidates(**whole(s, d))[0].select("drawing_id", "candidate_id", "is_valid", "place", (F.col("quality") > 98.0).alias("is_sound"), (F.round("change", 4) > 0).alias("is_changed")),
+      f", p as (select c_custkey as drawing_id, {EXACT} as ok{PANEL}) select drawing_id, 'candidate_' || c as candidate_id, true as is_valid, cast(k as int) as place, ok or c <> 'd' as is_sound, not ok and c <> 'd' as is_changed from p, (values (1, 'a'), (2, 'b'), (3, 'c'), (4, 'd')) v(k, c)")
+query("orc4_recommendation", lambda s, d: flows.recommend(**whole(s, d))[0].select("drawing_id", "candidate_id"), f"select c_custkey as drawing_id, 'candidate_a' as candidate_id{PANEL}")
+counted = lambda name: F.size(F.regexp_extract_all("text", F.lit(f"(?m)^{name}$"), F.lit(0))).alias(f"n_{name.lower()}")
+query("orc5_applied_repair", lambda s, d: (lambda w: writers.dxf_text(flows.recommend(**w)[1], w["arcs"], w["circles"]).select("drawing_id", *map(counted, ("LINE", "ARC", "CIRCLE")), F.col("text").contains("\n430.0\n").alias("has_exact_box")))(whole(s, d)), f"select c_custkey as drawing_id, 24 as n_line, 2 as n_arc, 1 as n_circle, true as has_exact_box{PANEL}")
+query("rep1_strategy_dispatch", lambda s, d: repair.union([sides(flows.repaired(panels(s, d), k).withColumn("strategy", F.lit(k)), "strategy") for k in ("4_quadrant", "mirror_left_to_right")]), panel_sides("0") + " select drawing_id, s as strategy, round(m.x,3) + 0e0 as x, round(m.y,3) + 0e0 as y from pl, (values ('4_quadrant'), ('mirror_left_to_right')) v(s)")
 
 
 def cand(s: SparkSession, d: str, k: str) -> DataFrame:
     g = flows.Drawing(panels(s, d))
-    lines = repair.untagged(repair.candidate_lines(g.segments, g.loops, g.boxes, g.corner_size, candidates=(k,)), "bigint")
-    return lines.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("x2"), 3).alias("x"))
+    return sides(repair.untagged(repair.candidate_lines(g.segments, g.loops, g.boxes, g.corner_size, candidates=(k,)), "bigint"))
 
 
-for _k, _name in (("a", "rep9_canonical_intent"), ("b", "rep10_quadrants_regularized"), ("c", "rep11_left_to_right"), ("d", "rep12_minimum_change")):
-    query(_name, lambda s, d, k=_k: cand(s, d, k), f"select c_custkey as drawing_id, 24::bigint as n, 500e0 as x{PANEL}")
+for _k, _name, _off in (("a", "rep9_canonical_intent", "0"), ("b", "rep10_quadrants_regularized", "0"), ("c", "rep11_left_to_right", "0"), ("d", "rep12_minimum_change", "c_custkey%4*1e0")):
+    query(_name, lambda s, d, k=_k: cand(s, d, k), panel_sides(_off) + " select drawing_id, round(m.x,3) + 0e0 as x, round(m.y,3) + 0e0 as y from pl")
 query("joi20_local_symmetry", lambda s, d: (lambda g: clusters.local_symmetry(g.segments, clusters.motif_clusters(g.segments, g.loops, 45.0)))(flows.Drawing(panels(s, d))).select("drawing_id", "cluster_id", F.round("score", 2).alias("score")), f", k as (select cast(c_custkey as varchar) as drawing_id{PANEL}) select drawing_id, cast(c as int) as cluster_id, 100e0 as score from k, range(1, 6) v(c)")
 
 # streams
