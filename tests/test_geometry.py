@@ -244,8 +244,8 @@ def test_reports_and_candidates_read_every_panel(spark, customers, monkeypatch):
     class Stop(Exception):
         pass
 
-    def read(segments):
-        ids.append({r[0] for r in segments.select("drawing_id").distinct().collect()})
+    def read(segments, arcs, circles):
+        ids.extend({r[0] for r in df.select("drawing_id").distinct().collect()} for df in (segments, arcs, circles))
         raise Stop
 
     for name in ("candidates", "recommend", "Drawing"):
@@ -254,7 +254,46 @@ def test_reports_and_candidates_read_every_panel(spark, customers, monkeypatch):
         ids = []
         with pytest.raises(Stop):
             work.QUERIES[name](spark, customers)
-        assert ids == [set(range(1, 8))]
+        assert ids == [set(range(1, 8))] * 3
+
+
+def test_components_and_loops_of_small_and_large_drawings(spark):
+    import random
+
+    from plansheet.operators.graph import components
+    from plansheet.operators.topology import build_graph, closed_loops
+
+    r = random.Random(4)
+    edges = [(d, r.randrange(40), r.randrange(40)) for d in (1, 2) for _ in range(25)]
+    df = spark.createDataFrame(edges, "drawing_id bigint, u bigint, v bigint")
+    want = {}
+    for d in (1, 2):
+        low = {n: n for e in edges if e[0] == d for n in e[1:]}
+        for _ in low:
+            for _, u, v in (e for e in edges if e[0] == d):
+                low[u] = low[v] = min(low[u], low[v])
+        want |= {(d, n): m for n, m in low.items() if n != m}
+    for small in (4096, 0):
+        assert {(x["drawing_id"], x["node"]): x["root"] for x in components(df, small=small).collect()} == want
+    boxes = [(0, 0, 10), (20, 0, 5), (10, 10, 4)]  # the third meets a corner of the first
+    lines = [(1, 4 * k + i, *map(float, a), *map(float, b), "0") for k, (x, y, w) in enumerate(boxes) for i, (a, b) in enumerate((((x, y), (x + w, y)), ((x + w, y), (x + w, y + w)), ((x + w, y + w), (x, y + w)), ((x, y + w), (x, y))))]
+    graph = build_graph(spark.createDataFrame(lines, "drawing_id bigint, seg_id bigint, x1 double, y1 double, x2 double, y2 double, layer string"))
+    one, two = ([(x["rank"], round(x["area"], 6), x["n"]) for x in closed_loops(*graph, small=k).orderBy("rank").collect()] for k in (4096, 0))
+    assert one == two == [(0, 100.0, 4), (1, 25.0, 4), (2, 16.0, 4)]
+
+
+def test_arcs_and_circles_count_for_symmetry_and_size(spark):
+    from plansheet.plans.flows import Drawing
+
+    square = [(d, i, *p, "0") for d in (1, 2) for i, p in enumerate(((0.0, 0.0, 100.0, 0.0), (100.0, 0.0, 100.0, 100.0), (100.0, 100.0, 0.0, 100.0), (0.0, 100.0, 0.0, 0.0)))]
+    segments = spark.createDataFrame(square, "drawing_id bigint, seg_id bigint, x1 double, y1 double, x2 double, y2 double, layer string")
+    arcs = spark.createDataFrame([(1, 0, 50.0, 100.0, 20.0, 0.0, 3.141592653589793, True, "0"), (2, 0, 80.0, 100.0, 20.0, 0.0, 2.0, True, "0")], "drawing_id bigint, arc_id bigint, cx double, cy double, r double, a0 double, a1 double, is_ccw boolean, layer string")
+    circles = spark.createDataFrame([(1, 0, 50.0, 30.0, 10.0, "0"), (2, 0, 20.0, 30.0, 10.0, "0")], "drawing_id bigint, circle_id bigint, cx double, cy double, r double, layer string")
+    g = Drawing(segments, arcs=arcs, circles=circles)
+    got = {x["drawing_id"]: x for x in g.analyze().collect()}
+    assert got[1]["score"] > 99.9 and abs(abs(got[1]["a"]["dy"]) - 1) < 1e-6 and abs(got[1]["a"]["ox"] - 50) < 1e-3
+    assert got[2]["score"] < 90
+    assert {x["drawing_id"]: round(x["b"]["max_y"], 6) for x in g.boxes.collect()}[1] >= 119.9
 
 
 def test_curve_pieces_cover_every_arc(spark, tmp_path):
