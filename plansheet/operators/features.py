@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plansheet.functions import scalar as S
+from plansheet.operators.tables import dealt, grouped_rows
 
 SEG = ("x1", "y1", "x2", "y2")
 
@@ -119,19 +120,19 @@ def collinear_pairs(lines: DataFrame, tol: float = 2.0, off: float = 0.5) -> Dat
 def collinear_bundles(lines: DataFrame) -> DataFrame:
     """(drawing_id, seed, members): each line not yet in a bundle, in order, takes those in its line that aren't either; two at least."""
 
-    def bundle(pdf: pd.DataFrame) -> pd.DataFrame:
+    def bundle(t: pa.Table) -> pa.Table:
         near: dict[int, list[int]] = {}
-        for a, b in zip(pdf.seg_a.tolist(), pdf.seg_b.tolist()):
+        for a, b in zip(t.column("seg_a").to_pylist(), t.column("seg_b").to_pylist()):
             near.setdefault(a, []).append(b)
         used, out = set(), []
         for a in sorted(near):
             if a not in used and (members := [b for b in sorted(near[a]) if b not in used]):
                 used |= {a, *members}
-                out.append((pdf.drawing_id.iloc[0], a, [a, *members]))
-        return pd.DataFrame(out, columns=["drawing_id", "seed", "members"], dtype=object)
+                out.append((a, [a, *members]))
+        return grouped_rows(t, out, [("seed", pa.int64()), ("members", pa.list_(pa.int64()))])
 
     kind = lines.schema["drawing_id"].dataType.simpleString()
-    return collinear_pairs(lines).groupBy("drawing_id").applyInPandas(bundle, f"drawing_id {kind}, seed bigint, members array<bigint>")
+    return dealt(collinear_pairs(lines), "drawing_id").groupBy("drawing_id").applyInArrow(bundle, f"drawing_id {kind}, seed bigint, members array<bigint>")
 
 
 def corner_motifs(loops: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from plansheet.functions import scalar as S
 from plansheet.operators.generate import ring_edges
 from plansheet.operators.joins import nearest_segment, range_join
 from plansheet.operators.quality import duplicate_pairs
-from plansheet.operators.tables import stored
+from plansheet.operators.tables import dealt, grouped_rows, stored
 from plansheet.operators.topology import endpoints, ranked_loops
 
 SEG = ("x1", "y1", "x2", "y2")
@@ -221,15 +222,15 @@ def repair_rings(loops: DataFrame, boxes: DataFrame, strategy: str, axes: DataFr
 def deduplicate(segments: DataFrame, tol: float = 0.05) -> DataFrame:
     """Each line whose ends are those of an earlier line that stays is dropped."""
 
-    def drop(pdf: pd.DataFrame) -> pd.DataFrame:
+    def drop(t: pa.Table) -> pa.Table:
         gone: set[int] = set()
-        for a, b in sorted(zip(pdf.seg_a.tolist(), pdf.seg_b.tolist()), key=lambda p: (p[1], p[0])):
+        for b, a in sorted(zip(t.column("seg_b").to_pylist(), t.column("seg_a").to_pylist())):
             if a not in gone:
                 gone.add(b)
-        return pd.DataFrame({"drawing_id": pdf.drawing_id.iloc[0], "seg_id": sorted(gone)})
+        return grouped_rows(t, [(k,) for k in sorted(gone)], [("seg_id", t.schema.field("seg_b").type)])
 
     kind, sid = (segments.schema[k].dataType.simpleString() for k in ("drawing_id", "seg_id"))
-    gone = duplicate_pairs(segments, tol).groupBy("drawing_id").applyInPandas(drop, f"drawing_id {kind}, seg_id {sid}")
+    gone = duplicate_pairs(segments, tol).groupBy("drawing_id").applyInArrow(drop, f"drawing_id {kind}, seg_id {sid}")
     return segments.join(gone, ["drawing_id", "seg_id"], "left_anti")
 
 
@@ -281,10 +282,11 @@ def weld(segments: DataFrame, radius: float = 0.05, keep_tabs: bool = True) -> D
     right = e.select("drawing_id", F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("_held").alias("_rheld"))
     near = range_join(e.select("drawing_id", "id", "x", "y"), right, radius).where("not _rheld").select("drawing_id", "id", "rid", "rx", "ry")
 
-    def balls(pdf: pd.DataFrame) -> pd.DataFrame:
+    def balls(t: pa.Table) -> pa.Table:
         groups: dict[int, list[int]] = {}
-        at = dict(zip(pdf.rid.tolist(), zip(pdf.rx, pdf.ry)))
-        for a, b in zip(pdf.id.tolist(), pdf.rid.tolist()):
+        ends, others, *xy = (t.column(c).to_pylist() for c in ("id", "rid", "rx", "ry"))
+        at = dict(zip(others, zip(*xy)))
+        for a, b in zip(ends, others):
             groups.setdefault(a, []).append(b)
         seen, to = set(), {}
         for a in sorted(groups):
@@ -295,10 +297,10 @@ def weld(segments: DataFrame, radius: float = 0.05, keep_tabs: bool = True) -> D
             if len(ball) > 1:
                 mean = [sum(at[k][d] for k in ball) / len(ball) for d in (0, 1)]
                 to |= dict.fromkeys(ball, mean)
-        return pd.DataFrame([(pdf.drawing_id.iloc[0], k, *v) for k, v in to.items()], columns=["drawing_id", "id", "wx", "wy"])
+        return grouped_rows(t, [(k, *v) for k, v in to.items()], [("id", pa.int64()), ("wx", pa.float64()), ("wy", pa.float64())])
 
     kind = segments.schema["drawing_id"].dataType.simpleString()
-    moved = near.groupBy("drawing_id").applyInPandas(balls, f"drawing_id {kind}, id bigint, wx double, wy double")
+    moved = dealt(near, "drawing_id").groupBy("drawing_id").applyInArrow(balls, f"drawing_id {kind}, id bigint, wx double, wy double")
     new = e.join(moved, ["drawing_id", "id"], "left").select("drawing_id", "seg_id", (F.col("id") % 2).alias("_e"), F.coalesce("wx", "x").alias("x"), F.coalesce("wy", "y").alias("y"))
     ends = new.groupBy("drawing_id", "seg_id").agg(*(F.min_by(c, "_e").alias(f"{c}1") for c in "xy"), *(F.max_by(c, "_e").alias(f"{c}2") for c in "xy"))
     out = ends.join(segments.drop(*SEG), ["drawing_id", "seg_id"]).where(S.distance(*(F.col(c) for c in SEG)) > 1e-4)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plansheet.functions import scalar as S
 from plansheet.operators.joins import nearest
-from plansheet.operators.tables import stored
+from plansheet.operators.tables import dealt, grouped_rows, stored
 
 ORDERS = (2, 3, 4, 5, 6, 8, 10, 12, 16)
 AXIS = ("ox", "oy", "dx", "dy")
@@ -25,16 +25,28 @@ def boxes(pts: DataFrame) -> DataFrame:
     return pts.groupBy("drawing_id").agg(S.box(F.min("x"), F.min("y"), F.max("x"), F.max("y")).alias("b"), F.count(F.lit(1)).alias("n"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
 
 
-def nearest_distance(a: np.ndarray, b: np.ndarray, block: int = 512) -> np.ndarray:
-    """The distance of each point of a to the nearest of b: which is nearest comes from a product of matrices, its distance from the points."""
-    middle = b.mean(0)
-    c = b - middle
-    size, out = (c * c).sum(1), []
-    for i in range(0, len(a), block):
-        part = a[i : i + block]
-        off = part - b[(size - 2 * ((part - middle) @ c.T)).argmin(1)]
-        out.append(np.hypot(off[:, 0], off[:, 1]))
-    return np.concatenate(out) if out else np.empty(0)
+class Nearest:
+    """Distances to the nearest of some points: which is nearest comes from products of matrices small enough for a core's cache, its distance from the points."""
+
+    def __init__(self, points: np.ndarray, cells: int = 1 << 14):
+        self.all = points
+        self.middle = points.mean(0)
+        self.turned = np.ascontiguousarray((points - self.middle).T)
+        self.size, self.block = (self.turned * self.turned).sum(0), max(1, cells // len(points))
+
+    def distance(self, a: np.ndarray) -> np.ndarray:
+        m, near = -2.0 * (a - self.middle), np.empty(len(a), np.intp)
+        for i in range(0, len(a), self.block):
+            d2 = m[i : i + self.block] @ self.turned
+            d2 += self.size
+            near[i : i + self.block] = d2.argmin(1)
+        off = a - self.all[near]
+        return np.sqrt(off[:, 0] ** 2 + off[:, 1] ** 2)
+
+
+def nearest_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distance of each point of a to the nearest of b."""
+    return Nearest(b).distance(a)
 
 
 def mirrored(p: np.ndarray, o: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -85,10 +97,14 @@ def profile(devs: DataFrame, tol: float = 0.2, area_error: DataFrame | None = No
         F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean"), F.sqrt(F.avg(d * d)).alias("rms"), F.percentile(d, F.lit(0.5)).alias("median"), F.max(d).alias("max"),
         F.percentile(d, F.lit(0.9)).alias("p90"), F.avg(F.when(d <= tol, 1.0).otherwise(0.0)).alias("matched"),
     )
-    if area_error is None:
-        out = out.withColumn("loop_area_error", F.lit(0.0))
-    else:
+    if area_error is not None:
         out = out.join(area_error, ["drawing_id", "axis_id"], "left").withColumn("loop_area_error", F.coalesce("loop_area_error", F.lit(0.0)))
+    return scored(out, tol)
+
+
+def scored(profiles: DataFrame, tol: float = 0.2) -> DataFrame:
+    """Profiles with score and confidence."""
+    out = profiles if "loop_area_error" in profiles.columns else profiles.withColumn("loop_area_error", F.lit(0.0))
     out = out.withColumn("score", S.symmetry_score(F.col("rms"), F.col("matched"), F.col("loop_area_error"), tol))
     return out.withColumn("confidence", S.symmetry_confidence(F.col("score"), F.col("matched")))
 
@@ -123,29 +139,41 @@ def hypotheses(pts: DataFrame, loops: DataFrame | None = None, diagonals: bool =
     return out.unionByName(pair.select("drawing_id", (100 + F.col("p._k") * 100 + F.col("q._k")).cast("bigint").alias("axis_id"), F.lit("bisector").alias("seed"), bisector.alias("a")))
 
 
-def ransac(pts: DataFrame, tol: float = 0.2, trials: int = 35, most: int = 150, seed: int = 42) -> DataFrame:
-    """(drawing_id, axis_id, seed, a, inliers): up to three bisectors of random point pairs that map over 40 % of a sample of at most 2 * most points onto others."""
+#: Random axes are tried on a sample of at most twice so many points.
+RANSAC_POINTS = 150
+
+
+def bisectors(p: np.ndarray, tol: float = 0.2, trials: int = 35, seed: int = 42) -> list[tuple[int, float, float, float, float]]:
+    """(inliers, their mean distance, x, y, angle): up to three bisectors of random pairs that map over 40 % of the points onto others, best first."""
+    rng, out = np.random.default_rng(seed), []
+    near, most = Nearest(p) if len(p) else None, 0.4 * len(p)
+    part = len(p) - int(most) // 2  # of the rest too few are left for a trial without a fifth
+    for _ in range(trials if len(p) >= 12 else 0):
+        i, j = rng.choice(len(p), 2, replace=False)
+        v = p[j] - p[i]
+        n = math.hypot(*v)
+        if n < 15.0:
+            continue
+        o, d = (p[i] + p[j]) / 2, np.array([-v[1], v[0]]) / n
+        image = mirrored(p, o, d)
+        dist = near.distance(image[:part])
+        if (dist <= 1.5 * tol).sum() + len(p) - part <= most:
+            continue
+        dist = np.concatenate([dist, near.distance(image[part:])])
+        good = dist <= 1.5 * tol
+        if good.sum() > most:
+            out.append((int(good.sum()), float(dist[good].mean()), float(o[0]), float(o[1]), math.atan2(d[1], d[0]) % math.pi))
+    return sorted(out, key=lambda r: (-r[0], r[1]))[:3]
+
+
+def ransac(pts: DataFrame, tol: float = 0.2, trials: int = 35, most: int = RANSAC_POINTS, seed: int = 42) -> DataFrame:
+    """(drawing_id, axis_id, seed, a, inliers): the bisectors of each drawing, tried on a sample of at most 2 * most points."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        p = pdf[["x", "y"]].to_numpy(float)
-        rng, out = np.random.default_rng(seed), []
-        for _ in range(trials if len(p) >= 12 else 0):
-            i, j = rng.choice(len(p), 2, replace=False)
-            v = p[j] - p[i]
-            n = math.hypot(*v)
-            if n < 15.0:
-                continue
-            o, d = (p[i] + p[j]) / 2, np.array([-v[1], v[0]]) / n
-            dist = nearest_distance(mirrored(p, o, d), p)
-            good = dist <= 1.5 * tol
-            if good.sum() > 0.4 * len(p):
-                out.append((int(good.sum()), float(dist[good].mean()), float(o[0]), float(o[1]), math.atan2(d[1], d[0]) % math.pi))
-        out = sorted(out, key=lambda r: (-r[0], r[1]))[:3]
+        out = bisectors(pdf.sort_values("id")[["x", "y"]].to_numpy(float), tol, trials, seed)
         key = pdf.drawing_id.iloc[0]
         return pd.DataFrame([(key, 1000 + k, r[0], *r[2:]) for k, r in enumerate(out)], columns=["drawing_id", "axis_id", "inliers", "ox", "oy", "angle"])
 
-    w = Window.partitionBy("drawing_id")
     some = strided(pts, most)
     kind = pts.schema["drawing_id"].dataType.simpleString()
     out = some.select("drawing_id", "id", "x", "y").groupBy("drawing_id").applyInPandas(fit, f"drawing_id {kind}, axis_id bigint, inliers bigint, ox double, oy double, angle double")
@@ -187,6 +215,29 @@ def _nelder_mead(loss, x: np.ndarray, iterations: int = 60, tol: float = 1e-3) -
     return simplex[int(np.argmin(value))]
 
 
+def simplex_axis(p: np.ndarray, o: np.ndarray, angle: float, distance) -> tuple[float, float, float]:
+    """(x, y, angle) of the axis through o at angle, moved along its normal and turned to the least trimmed mean square of distance(mirrored points)."""
+    normal = np.array([-math.sin(angle), math.cos(angle)])
+
+    def loss(v: np.ndarray) -> float:
+        dist = distance(mirrored(p, o + normal * v[0], np.array([math.cos(angle + v[1]), math.sin(angle + v[1])])))
+        place = 0.9 * (len(dist) - 1)
+        low, high = np.partition(dist, [int(place), min(int(place) + 1, len(dist) - 1)])[[int(place), min(int(place) + 1, len(dist) - 1)]]
+        kept = dist[dist <= max(2.0, low + (place - int(place)) * (high - low))]  # the 90th percentile
+        return float((kept**2).mean())
+
+    shift, by = _nelder_mead(loss, np.zeros(2))
+    return (*(o + normal * shift), (angle + by) % math.pi)
+
+
+def snapped(ox: float, oy: float, angle: float, tol_deg: float = 2.5) -> tuple[float, float, float, float]:
+    """S.snap_axis of numbers."""
+    tol = math.radians(tol_deg)
+    if abs(angle - math.pi / 2) < tol:
+        return ox, 0.0, 0.0, 1.0
+    return (0.0, oy, 1.0, 0.0) if angle < tol or abs(angle - math.pi) < tol else (ox, oy, math.cos(angle), math.sin(angle))
+
+
 def refine(pts: DataFrame, axes: DataFrame, most: int = 200) -> DataFrame:
     """axes (drawing_id, axis_id, a) moved along their normal and turned to the least trimmed mean square, then made upright or level if nearly so.
 
@@ -199,19 +250,8 @@ def refine(pts: DataFrame, axes: DataFrame, most: int = 200) -> DataFrame:
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                p, o, angle = np.column_stack([r.xs, r.ys]), np.array([r.ox, r.oy]), math.atan2(r.dy, r.dx) % math.pi
-                normal = np.array([-math.sin(angle), math.cos(angle)])
-
-                def loss(v: np.ndarray) -> float:
-                    d, at = np.array([math.cos(angle + v[1]), math.sin(angle + v[1])]), o + normal * v[0]  # noqa: B023
-                    dist = nearest_distance(mirrored(p, at, d), p)  # noqa: B023
-                    place = 0.9 * (len(dist) - 1)
-                    low, high = np.partition(dist, [int(place), min(int(place) + 1, len(dist) - 1)])[[int(place), min(int(place) + 1, len(dist) - 1)]]
-                    kept = dist[dist <= max(2.0, low + (place - int(place)) * (high - low))]  # the 90th percentile
-                    return float((kept**2).mean())
-
-                shift, by = _nelder_mead(loss, np.zeros(2))
-                out.append((r.drawing_id, r.axis_id, *(o + normal * shift), (angle + by) % math.pi))
+                p = np.column_stack([r.xs, r.ys])
+                out.append((r.drawing_id, r.axis_id, *simplex_axis(p, np.array([r.ox, r.oy]), math.atan2(r.dy, r.dx) % math.pi, lambda m: nearest_distance(m, p))))  # noqa: B023
             yield pd.DataFrame(out, columns=["drawing_id", "axis_id", "ox", "oy", "angle"])
 
     kind = pts.schema["drawing_id"].dataType.simpleString()
@@ -221,14 +261,14 @@ def refine(pts: DataFrame, axes: DataFrame, most: int = 200) -> DataFrame:
 
 def best_axis(pts: DataFrame, axes: DataFrame, tol: float = 0.2, keep: int = 4, refined: bool = True, area_error=None) -> DataFrame:
     """The axis with the least RMS of each drawing, after refining the `keep` best, with its profile."""
-    rank = lambda df: df.withColumn("_k", F.row_number().over(Window.partitionBy("drawing_id").orderBy("rms", "axis_id")))
+    rank = lambda df: df.withColumn("_k", F.row_number().over(Window.partitionBy("drawing_id").orderBy(F.round("rms", 9), "axis_id")))
     first = stored(rank(profile(deviations(pts, axes), tol)).where(F.col("_k") <= (keep if refined else 1)).drop("_k").join(axes.select("drawing_id", "axis_id", "a"), ["drawing_id", "axis_id"]), "best-axes")
     if not refined:
         return first
     moved = stored(refine(pts, first.select("drawing_id", "axis_id", "a")), "refined-axes")
     again = profile(deviations(pts, moved), tol).join(moved, ["drawing_id", "axis_id"]).withColumn("_refined", F.lit(1))
     both = first.withColumn("_refined", F.lit(0)).unionByName(again)
-    w = Window.partitionBy("drawing_id").orderBy("rms", "_refined", "axis_id")
+    w = Window.partitionBy("drawing_id").orderBy(F.round("rms", 9), "_refined", "axis_id")
     return both.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_refined")
 
 
@@ -259,12 +299,12 @@ def mirror_pairs(loops: DataFrame, axes: DataFrame, area_limit: float = 0.35, fa
     The order matters, so a drawing's loops (some numbers each, not their points) are paired in one kernel.
     """
 
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        ids, x, y, area = pdf.loop_id.tolist(), pdf.x.to_numpy(), pdf.y.to_numpy(), pdf.area.to_numpy()
-        ox, oy, dx, dy = (float(pdf[k].iloc[0]) for k in AXIS)
-        t = (x - ox) * dx + (y - oy) * dy
-        mx, my, off = 2 * (ox + t * dx) - x, 2 * (oy + t * dy) - y, np.abs((x - ox) * dy - (y - oy) * dx)
+    def pair(t: pa.Table) -> pa.Table:
+        t = t.sort_by("rank")
+        ids, (x, y, area) = t.column("loop_id").to_pylist(), (t.column(c).to_numpy() for c in ("x", "y", "area"))
+        ox, oy, dx, dy = (t.column(k)[0].as_py() for k in AXIS)
+        along = (x - ox) * dx + (y - oy) * dy
+        mx, my, off = 2 * (ox + along * dx) - x, 2 * (oy + along * dy) - y, np.abs((x - ox) * dy - (y - oy) * dx)
         free, out = np.ones(len(ids), bool), []
         for i in range(len(ids)):
             if not free[i]:
@@ -281,13 +321,11 @@ def mirror_pairs(loops: DataFrame, axes: DataFrame, area_limit: float = 0.35, fa
             elif off[i] < near:
                 free[i] = False
                 out.append((ids[i], ids[i], float(off[i]), 0.0))
-        got = pd.DataFrame(out, columns=["loop_left", "loop_right", "dist", "area_error"])
-        got.insert(0, "drawing_id", pdf.drawing_id.iloc[0])
-        return got
+        return grouped_rows(t, out, [("loop_left", t.schema.field("loop_id").type), ("loop_right", t.schema.field("loop_id").type), ("dist", pa.float64()), ("area_error", pa.float64())])
 
     rows = loops.join(axes.select("drawing_id", *(F.col("a")[k].alias(k) for k in AXIS)), "drawing_id").select("drawing_id", "loop_id", "rank", "x", "y", "area", *AXIS)
     kind, lid = (loops.schema[k].dataType.simpleString() for k in ("drawing_id", "loop_id"))
-    return rows.groupBy("drawing_id").applyInPandas(pair, f"drawing_id {kind}, loop_left {lid}, loop_right {lid}, dist double, area_error double")
+    return dealt(rows, "drawing_id").groupBy("drawing_id").applyInArrow(pair, f"drawing_id {kind}, loop_left {lid}, loop_right {lid}, dist double, area_error double")
 
 
 # rotation

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from plansheet.shipping import ship
@@ -29,3 +30,16 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys over as many tasks as shuffles have, however few bytes it is: for groups that cost more than their bytes say."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
+def grouped_rows(group: pa.Table, rows: list[tuple], fields: list[tuple[str, pa.DataType]], key: str = "drawing_id") -> pa.Table:
+    """rows as an Arrow table behind the key of the group that they come from."""
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    schema = pa.schema([group.schema.field(key), *fields])
+    return pa.Table.from_arrays([group.column(key).slice(0, 1).take(pa.array([0] * len(rows), pa.int64())), *(pa.array(c, kind) for c, (_, kind) in zip(columns, fields))], schema=schema)

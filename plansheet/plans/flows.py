@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plansheet.functions import scalar as S
-from plansheet.operators import clusters, features, generate, quality, repair, symmetry, topology
+from plansheet.operators import clusters, features, generate, quality, repair, small, symmetry, topology
 from plansheet.operators.tables import stored
 
 SEG = ("x1", "y1", "x2", "y2")
@@ -31,12 +34,13 @@ def sampled(segments: DataFrame, n: int, arcs: DataFrame | None = None, circles:
 class Drawing:
     """What the analyses share of a set of drawings, each part written once when first asked for.
 
-    Arcs and circles count for boxes and symmetry; graphs, loops and what comes from them are of segments.
+    Arcs and circles count for boxes and symmetry; graphs, loops and what comes from them are of segments. Drawings with
+    `small` points at most go through operators.small, larger ones through the grids and stars of the other operators.
     """
 
-    def __init__(self, segments: DataFrame, tol: float = 0.2, node_tol: float = 0.1, samples: int = 12, arcs: DataFrame | None = None, circles: DataFrame | None = None):
-        self.segments, self.tol, self.node_tol, self.samples, self.arcs, self.circles = segments, tol, node_tol, samples, arcs, circles
-        self._held: dict[str, DataFrame] = {}
+    def __init__(self, segments: DataFrame, tol: float = 0.2, node_tol: float = 0.1, samples: int = 12, arcs: DataFrame | None = None, circles: DataFrame | None = None, small: int = symmetry.SMALL):
+        self.segments, self.tol, self.node_tol, self.samples, self.arcs, self.circles, self.small = segments, tol, node_tol, samples, arcs, circles, small
+        self._held: dict = {}
 
     def _once(self, name: str, make) -> DataFrame:
         if name not in self._held:
@@ -51,23 +55,42 @@ class Drawing:
     def boxes(self) -> DataFrame:
         return self._once("boxes", lambda: boxes(self.segments, self.arcs, self.circles))
 
-    def _graph(self, part: str) -> DataFrame:
-        if part not in self._held:
-            for name, df in zip(("nodes", "edges"), topology.build_graph(self.segments, self.node_tol)):
-                self._held[name] = stored(df, name)
-        return self._held[part]
+    @property
+    def large(self) -> DataFrame | None:
+        """(drawing_id) of drawings with more points than one kernel takes; none, if no drawing is."""
+        if "large" not in self._held:
+            n = reduce(DataFrame.unionByName, (df.select("drawing_id", F.lit(k * self.samples).alias("n")) for df, k in ((self.segments, 1), (self.arcs, 2), (self.circles, 3)) if df is not None))
+            large = stored(n.groupBy("drawing_id").agg(F.sum("n").alias("n")).where(F.col("n") > self.small).select("drawing_id"), "large-drawings")
+            self._held["large"] = None if large.isEmpty() else large
+        return self._held["large"]
+
+    def _split(self, few: Callable, many: Callable) -> DataFrame:
+        """few(part) for small drawings and many(part) for large ones, where part cuts a table down to these."""
+        if self.large is None:
+            return few(lambda df: df)
+        return few(lambda df: df.join(self.large, "drawing_id", "left_anti")).unionByName(many(lambda df: df.join(self.large, "drawing_id", "left_semi")))
+
+    @property
+    def graphs(self) -> DataFrame:
+        """Nodes, edges and rings of small drawings, a row each."""
+        return self._once("graphs", lambda: small.graphs(self.segments if self.large is None else self.segments.join(self.large, "drawing_id", "left_anti"), self.node_tol))
+
+    def _built(self, part: int) -> DataFrame:
+        if "built" not in self._held:
+            self._held["built"] = [stored(df, "graph") for df in topology.build_graph(self.segments.join(self.large, "drawing_id", "left_semi"), self.node_tol)]
+        return self._held["built"][part]
 
     @property
     def nodes(self) -> DataFrame:
-        return self._graph("nodes")
+        return self._split(lambda part: small.nodes(self.graphs), lambda part: self._built(0))
 
     @property
     def edges(self) -> DataFrame:
-        return self._graph("edges")
+        return self._once("edges", lambda: self._split(lambda part: small.edges(self.graphs, part(self.segments)), lambda part: self._built(1)))
 
     @property
     def loops(self) -> DataFrame:
-        return self._once("loops", lambda: topology.closed_loops(self.nodes, self.edges))
+        return self._once("loops", lambda: self._split(lambda part: topology.ranked_loops(small.rings(self.graphs)), lambda part: topology.closed_loops(self._built(0), self._built(1))))
 
     @property
     def points(self) -> DataFrame:
@@ -83,18 +106,30 @@ class Drawing:
 
     @property
     def axes(self) -> DataFrame:
-        """What may be an axis: upright, level, principal and diagonal ones, bisectors of loops, and of random points that many agree with."""
-        seeds = symmetry.hypotheses(self.points, self.loops)
-        return self._once("axes", lambda: seeds.unionByName(symmetry.ransac(self.points, self.tol).drop("inliers")))
+        """What may be an axis: upright, level, principal and diagonal ones, and bisectors of loops. Those of random points are tried besides."""
+        return self._once("axes", lambda: symmetry.hypotheses(self.points, self.loops))
+
+    @property
+    def found(self) -> DataFrame:
+        """The best axis of each drawing (which 0) and the better of those square to it (which 1), with their profiles."""
+
+        def many(part: Callable) -> DataFrame:
+            pts = stored(part(self.points), "large-points")
+            tried = stored(part(self.axes).unionByName(symmetry.ransac(pts, self.tol).drop("inliers")), "large-axes")
+            best = stored(symmetry.best_axis(pts, tried, self.tol), "large-best")
+            square = symmetry.secondary_axis(pts, best, self.tol, -1.0)
+            return best.withColumn("which", F.lit(0)).unionByName(square.withColumn("which", F.lit(1)))
+
+        return self._once("found", lambda: self._split(lambda part: small.best_axes(part(self.points), part(self.axes), self.tol), many))
 
     @property
     def best(self) -> DataFrame:
-        return self._once("best", lambda: symmetry.best_axis(self.points, self.axes, self.tol))
+        return self.found.where("which = 0").drop("which")
 
     @property
     def second(self) -> DataFrame:
         """The profile of an axis square to the best one, where there is one to be trusted."""
-        return self._once("second", lambda: symmetry.secondary_axis(self.points, self.best, self.tol))
+        return self.found.where("which = 1 and confidence > 0.4").drop("which")
 
     @property
     def heat(self) -> DataFrame:
@@ -158,13 +193,14 @@ class Drawing:
         return out.na.fill({"n_constraints": 0, "n_anchors": 0, "n_clusters": 0, "n_hot": 0})
 
 
-def candidates(segments: DataFrame, zones: DataFrame | None = None, straighten: bool = True, arcs: DataFrame | None = None, circles: DataFrame | None = None, **how) -> tuple[DataFrame, DataFrame]:
+def candidates(segments: DataFrame, zones: DataFrame | None = None, straighten: bool = True, arcs: DataFrame | None = None, circles: DataFrame | None = None, old: Drawing | None = None, **how) -> tuple[DataFrame, DataFrame]:
     """The four candidates ranked for each drawing, and their tagged lines; all are scored in one pass.
 
     A repair moves lines; a drawing's arcs and circles stay as they are in every candidate, and count for its symmetry and size.
+    old is the analysis of these drawings, if there is one already.
     """
     kind = segments.schema["drawing_id"].dataType.simpleString()
-    old = Drawing(segments, arcs=arcs, circles=circles, **how)
+    old = old or Drawing(segments, arcs=arcs, circles=circles, **how)
     lines = stored(repair.candidate_lines(segments, old.loops, old.boxes, old.corner_size, straighten, zones), "candidate-lines")
     new = Drawing(lines, arcs=None if arcs is None else repair.tagged(arcs), circles=None if circles is None else repair.tagged(circles), **how)
     rows = repair.tagged(old.drawings)
@@ -175,10 +211,11 @@ def candidates(segments: DataFrame, zones: DataFrame | None = None, straighten:
     return stored(repair.rank_candidates(repair.untagged(rows, kind)), "candidates"), lines
 
 
-def recommend(segments: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
+def recommend(segments: DataFrame, zones: DataFrame | None = None, straighten: bool = True, **how) -> tuple[DataFrame, DataFrame]:
     """The recommended candidate of each drawing and its lines."""
-    ranked, lines = candidates(segments, **how)
-    best = stored(repair.recommended(ranked, Drawing(segments, **how).quality().select("drawing_id", "quality")), "recommended")
+    old = Drawing(segments, **how)
+    ranked, lines = candidates(segments, zones, straighten, old=old, **how)
+    best = stored(repair.recommended(ranked, old.quality().select("drawing_id", "quality")), "recommended")
     own = repair.untagged(lines, segments.schema["drawing_id"].dataType.simpleString())
     return best, own.join(best.select("drawing_id", "candidate_id"), ["drawing_id", "candidate_id"], "left_semi").drop("candidate_id")
 
