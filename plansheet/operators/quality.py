@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plansheet.functions import scalar as S
-from plansheet.operators.joins import box_pairs
+from plansheet.operators.joins import box_pairs, cell, overlapped
 
 SEG = ("x1", "y1", "x2", "y2")
 
@@ -51,12 +51,12 @@ def quality(drawings: DataFrame, symmetry: DataFrame, lines: DataFrame, spacings
 
 def duplicate_pairs(segments: DataFrame, tol: float = 0.05) -> DataFrame:
     """(drawing_id, seg_a, seg_b): coincident segments, a before b, met by cells of their midpoints."""
-    size = 4 * tol
+    size, reach = 4 * tol, tol * (1 + 1e-9) + 1e-9
     mid = lambda k: (F.col(f"{k}1") + F.col(f"{k}2")) / 2
-    at = segments.select("drawing_id", "seg_id", *SEG, F.floor(mid("x") / size).alias("_cx"), F.floor(mid("y") / size).alias("_cy"))
-    near = F.array(*(F.struct((F.col("_cx") + i).alias("i"), (F.col("_cy") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    a = at.select("drawing_id", F.col("seg_id").alias("seg_a"), *(F.col(c).alias(f"{c}_a") for c in SEG), F.explode(near).alias("_n")).withColumn("_cx", F.col("_n.i")).withColumn("_cy", F.col("_n.j")).drop("_n")
-    b = at.select("drawing_id", F.col("seg_id").alias("seg_b"), *(F.col(c).alias(f"{c}_b") for c in SEG), "_cx", "_cy")
+    at = segments.select("drawing_id", "seg_id", *SEG, mid("x").alias("_mx"), mid("y").alias("_my"))
+    ends = lambda c: (F.col(c) - reach, F.col(c) + reach)
+    a = overlapped(at, ends("_mx"), ends("_my"), size).select("drawing_id", "_cx", "_cy", F.col("seg_id").alias("seg_a"), *(F.col(c).alias(f"{c}_a") for c in SEG))
+    b = at.select("drawing_id", F.col("seg_id").alias("seg_b"), *(F.col(c).alias(f"{c}_b") for c in SEG), cell(F.col("_mx"), size).alias("_cx"), cell(F.col("_my"), size).alias("_cy"))
     same = S.coincident(tuple(F.col(f"{c}_a") for c in SEG), tuple(F.col(f"{c}_b") for c in SEG), tol)
     return a.join(b, ["drawing_id", "_cx", "_cy"]).where((F.col("seg_a") < F.col("seg_b")) & same).select("drawing_id", "seg_a", "seg_b")
 
