@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plansheet.functions import scalar as S
-from plansheet.operators.tables import dealt, grouped_rows
+from plansheet.operators.joins import PAIRS, bounds, cell, meeting_boxes, split
+from plansheet.operators.tables import dealt, grouped_rows, stored
 
 SEG = ("x1", "y1", "x2", "y2")
 
@@ -67,26 +71,56 @@ def angle_clusters(lines: DataFrame, tol: float = 6.0) -> DataFrame:
     return out.withColumn("confidence", sure).drop("_all")
 
 
-def parallel_pairs(lines: DataFrame, tol: float = 3.0, low: float = 4.0, high: float = 35.0) -> DataFrame:
-    """(drawing_id, seg_a, seg_b, gap): lines a before b within tol of parallel, low to high apart, whose projections overlap.
+def _bands(tol: float) -> tuple[int, Callable]:
+    """Bands of angles tol wide at least, and an angle's band."""
+    n = int(180 // tol)
+    return n, lambda a: F.least(F.lit(n - 1), F.floor(a / (180.0 / n))).cast("int")
+
 
-    Lines meet by angle bands of width tol (each looks into its own and the two beside it, around the half turn).
+def _paired(lines: DataFrame, tol: float, ok: Column, near: Callable, pairs: int) -> DataFrame:
+    """Pairs (seg_id_a before seg_id_b, and both lines' columns) within tol of parallel for which ok holds.
+
+    Lines meet by angle bands (each looks into its own and the two beside it, around the half turn). In drawings with more
+    than so many pairs near(a, b) says which lines of a band come together at all.
     """
-    bands = int(180 // tol)
-    band = lambda a: F.least(F.lit(bands - 1), F.floor(a / (180.0 / bands))).cast("int")
+    n, band = _bands(tol)
     cols = ["seg_id", *SEG, "angle", "length"]
-    a = lines.select("drawing_id", *(F.col(c).alias(f"{c}_a") for c in cols)).withColumn("_band", F.explode(F.array(*(F.pmod(band(F.col("angle_a")) + k, F.lit(bands)) for k in (-1, 0, 1)))))
-    b = lines.select("drawing_id", *(F.col(c).alias(f"{c}_b") for c in cols)).withColumn("_band", band(F.col("angle_b")))
-    pair = a.join(b, ["drawing_id", "_band"]).where("seg_id_a < seg_id_b")
+    side = lambda df, s: df.select("drawing_id", *(F.col(c).alias(f"{c}_{s}") for c in cols))
+    a = lambda df: side(df, "a").withColumn("_band", F.explode(F.array(*(F.pmod(band(F.col("angle_a")) + k, F.lit(n)) for k in (-1, 0, 1)))))
+    b = lambda df: side(df, "b").withColumn("_band", band(F.col("angle_b")))
     turn = F.abs(F.col("angle_a") - F.col("angle_b"))
-    turn = F.when(turn > 90.0, 180.0 - turn).otherwise(turn)
+    both = split(lines, lines, "drawing_id", pairs, lambda x, y: a(x).join(b(y), ["drawing_id", "_band"]), lambda x, y: near(_turned(a(x), "a", n), _turned(b(y), "b", n)))
+    return both.where((F.col("seg_id_a") < F.col("seg_id_b")) & (F.when(turn > 90.0, 180.0 - turn).otherwise(turn) <= tol) & ok)
+
+
+def _turned(df: DataFrame, s: str, n: int) -> DataFrame:
+    """df with its lines' ends as (_u1, _v1, _u2, _v2), turned so that the middle of their band is level."""
+    t = F.radians((F.col("_band") + 0.5) * (180.0 / n))
+    spin = lambda k: {f"_u{k}": F.col(f"x{k}_{s}") * F.cos(t) + F.col(f"y{k}_{s}") * F.sin(t), f"_v{k}": F.col(f"y{k}_{s}") * F.cos(t) - F.col(f"x{k}_{s}") * F.sin(t)}
+    return df.withColumns(spin(1) | spin(2))
+
+
+UV = ("_u1", "_v1", "_u2", "_v2")
+
+
+def parallel_pairs(lines: DataFrame, tol: float = 3.0, low: float = 4.0, high: float = 35.0, pairs: int = PAIRS) -> DataFrame:
+    """(drawing_id, seg_a, seg_b, gap): lines a before b within tol of parallel, low to high apart, whose projections overlap.
+
+    In a large drawing, bands are turned level, where lines are all but level and their boxes thin: a's box, widened by
+    what the gap can be where they overlap, meets b's on a hierarchy of grids.
+    """
     dx, dy = F.col("x2_b") - F.col("x1_b"), F.col("y2_b") - F.col("y1_b")
     gap = F.abs(S.cross(dx, dy, (F.col("x1_a") + F.col("x2_a")) / 2 - F.col("x1_b"), (F.col("y1_a") + F.col("y2_a")) / 2 - F.col("y1_b"))) / F.greatest(F.col("length_b"), F.lit(1e-9))
     ux, uy = (F.col("x2_a") - F.col("x1_a")), (F.col("y2_a") - F.col("y1_a"))
     along = lambda x, y: S.dot(F.col(x) - F.col("x1_a"), F.col(y) - F.col("y1_a"), ux, uy) / F.greatest(F.col("length_a"), F.lit(1e-9))
     t1, t2 = along("x1_b", "y1_b"), along("x2_b", "y2_b")
     overlap = F.least(F.col("length_a"), F.greatest(t1, t2)) > F.greatest(F.lit(0.0), F.least(t1, t2))
-    return pair.withColumn("gap", gap).where((turn <= tol) & F.col("gap").between(low, high) & overlap).select("drawing_id", F.col("seg_id_a").alias("seg_a"), F.col("seg_id_b").alias("seg_b"), "gap")
+
+    def near(a: DataFrame, b: DataFrame) -> DataFrame:
+        pad = (high + F.col("length_a") / 2 * math.tan(math.radians(tol))) / math.cos(math.radians(tol)) + 1e-6
+        return meeting_boxes(a.select("*", *bounds("a", UV, pad)).drop(*UV), b.select("*", *bounds("b", UV)).drop(*UV), ["drawing_id", "_band"], 2 * high)
+
+    return _paired(lines, tol, gap.between(low, high) & overlap, near, pairs).select("drawing_id", F.col("seg_id_a").alias("seg_a"), F.col("seg_id_b").alias("seg_b"), gap.alias("gap"))
 
 
 def spacing_clusters(pairs: DataFrame, bins: int = 23, least: int = 3, keep: int = 4) -> DataFrame:
@@ -103,18 +137,31 @@ def spacing_clusters(pairs: DataFrame, bins: int = 23, least: int = 3, keep: int
     return out.withColumn("_k", F.row_number().over(w.orderBy(F.desc("n"), "bin"))).where(F.col("_k") <= keep).drop("_k")
 
 
-def collinear_pairs(lines: DataFrame, tol: float = 2.0, off: float = 0.5) -> DataFrame:
-    """(drawing_id, seg_a, seg_b): b's ends are within off of a's line and its angle within tol, a before b."""
-    bands = int(180 // tol)
-    band = lambda a: F.least(F.lit(bands - 1), F.floor(a / (180.0 / bands))).cast("int")
-    cols = ["seg_id", *SEG, "angle", "length"]
-    a = lines.select("drawing_id", *(F.col(c).alias(f"{c}_a") for c in cols)).withColumn("_band", F.explode(F.array(*(F.pmod(band(F.col("angle_a")) + k, F.lit(bands)) for k in (-1, 0, 1)))))
-    b = lines.select("drawing_id", *(F.col(c).alias(f"{c}_b") for c in cols)).withColumn("_band", band(F.col("angle_b")))
-    turn = F.abs(F.col("angle_a") - F.col("angle_b"))
-    turn = F.when(turn > 90.0, 180.0 - turn).otherwise(turn)
+def collinear_pairs(lines: DataFrame, tol: float = 2.0, off: float = 0.5, pairs: int = PAIRS, columns: int = 32) -> DataFrame:
+    """(drawing_id, seg_a, seg_b): b's ends are within off of a's line and its angle within tol, a before b.
+
+    In a large drawing, a's whole line walks through cells of its band turned level, `columns` along and sixteen times as
+    fine across, and b's middle is in one of these.
+    """
     away = lambda x, y: F.abs(S.cross(F.col("x2_a") - F.col("x1_a"), F.col("y2_a") - F.col("y1_a"), F.col(x) - F.col("x1_a"), F.col(y) - F.col("y1_a"))) / F.greatest(F.col("length_a"), F.lit(1e-9))
-    ok = (F.col("seg_id_a") < F.col("seg_id_b")) & (turn <= tol) & (away("x1_b", "y1_b") <= off) & (away("x2_b", "y2_b") <= off)
-    return a.join(b, ["drawing_id", "_band"]).where(ok).select("drawing_id", F.col("seg_id_a").alias("seg_a"), F.col("seg_id_b").alias("seg_b"))
+
+    def near(a: DataFrame, b: DataFrame) -> DataFrame:
+        mid = lambda k: (F.col(f"_{k}1") + F.col(f"_{k}2")) / 2
+        span = stored(b.groupBy("drawing_id", "_band").agg(*(f(mid("u")).alias(n) for f, n in ((F.min, "_low"), (F.max, "_high")))).withColumn("_size", F.greatest((F.col("_high") - F.col("_low")) / columns, F.lit(32 * off))), "bands")
+        cell_of = lambda u, v: (cell(u, F.col("_size")).alias("_cu"), cell(v, F.col("_size") / 16).alias("_cv"))
+        spots = b.join(span.select("drawing_id", "_band", "_size"), ["drawing_id", "_band"]).select("drawing_id", "_band", *(c for c in b.columns if c.endswith("_b")), *cell_of(mid("u"), mid("v")))
+        # steep lines in a neighbouring band, or ones without length, are no line to walk along: their slope is what a band allows
+        slope = (F.col("_v2") - F.col("_v1")) / (F.col("_u2") - F.col("_u1"))
+        at = lambda u: F.col("_v1") + (u - F.col("_u1")) * slope
+        walk = a.where(F.col("length_a") > 1e-9).join(span, ["drawing_id", "_band"]).withColumn("_cu", F.explode(F.sequence(cell(F.col("_low"), F.col("_size")), cell(F.col("_high"), F.col("_size")))))
+        v1, v2 = at(F.col("_cu") * F.col("_size")), at((F.col("_cu") + 1) * F.col("_size"))
+        walk = walk.withColumn("_cv", F.explode(F.sequence(cell(F.least(v1, v2) - 2 * off, F.col("_size") / 16), cell(F.greatest(v1, v2) + 2 * off, F.col("_size") / 16))))
+        some = walk.select("drawing_id", "_band", *(c for c in a.columns if c.endswith("_a")), "_cu", "_cv").join(spots, ["drawing_id", "_band", "_cu", "_cv"]).drop("_cu", "_cv")
+        points = a.where(F.col("length_a") <= 1e-9).drop(*UV).join(b.drop(*UV), ["drawing_id", "_band"])  # every b lies on a line without length
+        return some.unionByName(points)
+
+    ok = (away("x1_b", "y1_b") <= off) & (away("x2_b", "y2_b") <= off)
+    return _paired(lines, tol, ok, near, pairs).select("drawing_id", F.col("seg_id_a").alias("seg_a"), F.col("seg_id_b").alias("seg_b"))
 
 
 def collinear_bundles(lines: DataFrame) -> DataFrame:

@@ -78,11 +78,17 @@ def kernel(left: DataFrame, right: DataFrame, key: str, columns: list[str], run)
             at, others = np.empty(0, np.int64), [pa.array([], t) for t in run.kinds(b)]
         else:
             at, others = run(a, b)
-        return pa.Table.from_arrays([*(a.column(c).take(pa.array(at)) for c in (key, "id")), *others], names=[key, "id", *(c.split()[0] for c in columns)])
+        held = (a.column(c).take(pa.array(at)) for c in (key, "id"))
+        return pa.Table.from_arrays([*(c.cast(_nullable(c.type)) for c in (*held, *others))], names=[key, "id", *(c.split()[0] for c in columns)])
 
     return dealt(left, key).groupBy(key).cogroup(dealt(right.withColumnRenamed(key, "_key"), "_key").groupBy("_key")).applyInArrow(both, schema)
 
 
+def _nullable(kind: pa.DataType) -> pa.DataType:
+    """kind with all fields nullable, as a schema written as text has them."""
+    return pa.struct([pa.field(f.name, _nullable(f.type)) for f in kind]) if pa.types.is_struct(kind) else kind
+
+
 def _spans(right: DataFrame, key: str, x: tuple[str, str], y: tuple[str, str], per_cell: float, levels: int, more: Column | None = None) -> DataFrame:
     """(key, _size, _wide, _x0, _x1, _y0, _y1): the box of each drawing and a first cell that holds about per_cell rows."""
     low, high = (lambda c: F.least(*c) if len(set(c)) > 1 else F.col(c[0])), (lambda c: F.greatest(*c) if len(set(c)) > 1 else F.col(c[0]))
@@ -289,3 +295,8 @@ def nearest_segment(pts: DataFrame, segments: DataFrame, key: str = "drawing_id"
     kinds = [f"{c} {segments.schema[c].dataType.simpleString()}" for c in ("seg_id", "layer")]
     out = split(pts.select(key, "id", "x", "y"), segments, key, pairs, lambda a, b: kernel(a, b, key, [*kinds, "dist double"], _NearestSegment()), grid)
     return out.where(F.col("dist") < cap) if cap else out
+
+
+def nearest_one(left: DataFrame, right: DataFrame, key: str = "drawing_id") -> DataFrame:
+    """nearest() where a kernel takes the small drawings; points without any right point are left out."""
+    return k_nearest(left, right, 1, key).drop("rank")

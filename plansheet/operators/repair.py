@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from plansheet.functions import scalar as S
 from plansheet.operators.generate import ring_edges
-from plansheet.operators.joins import nearest_segment, range_join
+from plansheet.operators.joins import nearest_one, nearest_segment, range_join
 from plansheet.operators.quality import duplicate_pairs
 from plansheet.operators.tables import dealt, grouped_rows, stored
 from plansheet.operators.topology import endpoints, ranked_loops
@@ -338,9 +338,8 @@ def change_ratio(original: DataFrame, repaired: DataFrame) -> DataFrame:
     a, b = middle(original), middle(repaired)
 
     def mean(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
-        held = right.groupBy("drawing_id").agg(F.collect_list(S.point(F.col("x"), F.col("y"))).alias("_all"))
-        d2 = F.array_min(F.transform("_all", lambda q: S.distance_squared(F.col("x"), F.col("y"), q["x"], q["y"])))
-        return left.join(held, "drawing_id", "left").groupBy("drawing_id").agg(F.count(F.lit(1)).alias(f"n_{name}"), F.avg(F.sqrt(d2)).alias(name))
+        near = nearest_one(left, right.toDF("drawing_id", "rid", "rx", "ry")).select("drawing_id", "id", "dist")
+        return left.join(near, ["drawing_id", "id"], "left").groupBy("drawing_id").agg(F.count(F.lit(1)).alias(f"n_{name}"), F.avg("dist").alias(name))
 
     both = mean(a, b, "old").join(mean(b, a, "new"), "drawing_id", "full").na.fill(0, ["n_old", "n_new"])
     count = F.abs(F.col("n_old") - F.col("n_new")) / F.greatest(F.col("n_old"), F.lit(1))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plansheet.functions import scalar as S
-from plansheet.operators.joins import nearest
+from plansheet.operators.joins import nearest, nearest_one
 from plansheet.operators.tables import dealt, grouped_rows, stored
 
 ORDERS = (2, 3, 4, 5, 6, 8, 10, 12, 16)
@@ -285,12 +285,12 @@ def secondary_axis(pts: DataFrame, best: DataFrame, tol: float = 0.2, least: flo
 def loop_errors(loops: DataFrame, axes: DataFrame) -> DataFrame:
     """(drawing_id, axis_id, loop_id, partner, dist, area_error): each loop's counterpart, the loop nearest to its mirrored centroid."""
     c = S.reflect(F.col("a"), F.col("x"), F.col("y"))
-    left = loops.where("rank > 0").join(axes, "drawing_id").select("drawing_id", "axis_id", "loop_id", "area", c["x"].alias("mx"), c["y"].alias("my"))
-    right = loops.where("rank > 0").select("drawing_id", F.col("loop_id").alias("partner"), F.col("area").alias("_area"), "x", "y")
-    d = S.distance(*(F.col(k) for k in ("mx", "my", "x", "y")))
-    best = left.join(right, "drawing_id").groupBy("drawing_id", "axis_id", "loop_id", "area").agg(F.min(F.struct(d.alias("dist"), F.col("partner"), F.col("_area"))).alias("p"))
-    top = F.greatest("area", "p._area")
-    return best.select("drawing_id", "axis_id", "loop_id", "p.partner", "p.dist", F.when(top > 1e-9, F.abs(F.col("area") - F.col("p._area")) / top).otherwise(0.0).alias("area_error"))
+    inner = loops.where("rank > 0")
+    left = inner.join(axes, "drawing_id").select("drawing_id", F.struct("axis_id", "loop_id", "area").alias("id"), c["x"].alias("x"), c["y"].alias("y"))
+    right = inner.select("drawing_id", F.struct(F.col("loop_id").alias("partner"), F.col("area").alias("area")).alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+    best = nearest_one(left, right).select("drawing_id", "id.axis_id", "id.loop_id", "id.area", "rid.partner", F.col("rid.area").alias("_area"), "dist")
+    top = F.greatest("area", "_area")
+    return best.select("drawing_id", "axis_id", "loop_id", "partner", "dist", F.when(top > 1e-9, F.abs(F.col("area") - F.col("_area")) / top).otherwise(0.0).alias("area_error"))
 
 
 def mirror_pairs(loops: DataFrame, axes: DataFrame, area_limit: float = 0.35, far: float = 30.0, near: float = 15.0) -> DataFrame:
@@ -362,10 +362,10 @@ def fourier(smooth: DataFrame, bins: int = 180) -> DataFrame:
 
 
 def _within(moved: DataFrame, rel: DataFrame, by: list[str]) -> DataFrame:
-    """Distances of moved points (drawing_id, *by, mx, my) to the nearest active point."""
-    held = rel.where("active").groupBy("drawing_id").agg(F.collect_list(S.point(F.col("x"), F.col("y"))).alias("_all"))
-    d2 = F.array_min(F.transform("_all", lambda q: (q["x"] - F.col("mx")) * (q["x"] - F.col("mx")) + (q["y"] - F.col("my")) * (q["y"] - F.col("my"))))
-    return moved.join(held, "drawing_id").select("drawing_id", *by, F.sqrt(d2).alias("dev"))
+    """Distances of moved points (drawing_id, *by, id, mx, my) to the nearest active point."""
+    right = rel.where("active").select("drawing_id", F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+    left = moved.select("drawing_id", F.struct(*by, "id").alias("id"), F.col("mx").alias("x"), F.col("my").alias("y"))
+    return nearest_one(left, right).select("drawing_id", *(F.col(f"id.{c}").alias(c) for c in by), F.col("dist").alias("dev"))
 
 
 def order_matches(rel: DataFrame, tol: float = 0.2) -> DataFrame:

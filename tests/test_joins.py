@@ -132,3 +132,53 @@ def test_clusters_of_ends():
     ids, xy = np.array([7, 3, 9, 4, 12]), np.array([[0, 0], [0, 0.08], [5, 5], [0, 0.16], [5, 5]])
     assert small.clustered(ids, xy.astype(float), 0.1).tolist() == [3, 3, 9, 3, 9]
     assert topology.cycle_basis([]) == [] and small.graph_of(np.array([0]), np.array([[0.0, 0, 1, 0]]), 0.1)[2] == []
+
+
+# lines of like directions, rings in rings
+
+
+@pytest.fixture(scope="module")
+def slats(spark):
+    """Slats of some angles, spaced and in line, leaning by a degree or two; some across the half turn, one without length."""
+    r, out = random.Random(8), []
+    for d in (1, 2):
+        for k in range(120):
+            t, s, n = math.radians(r.choice([0.2, 179.5, 30, 31.5, 90, 135]) + r.choice([0.05, 1.4]) * r.uniform(-1, 1)), r.choice([0, 300, 610]), r.choice([40, 200])
+            across = r.choice([0, 0.1, 8, 25, 60, 300])
+            x, y = s * math.cos(t) - across * math.sin(t), s * math.sin(t) + across * math.cos(t)
+            out.append((d, k, x, y, x + n * math.cos(t), y + n * math.sin(t), "0"))
+        out.append((d, 500, 5.0, 5.0, 5.0, 5.0, "0"))
+    return spark.createDataFrame(out, SEG)
+
+
+def test_like_directions_of_large_drawings(slats):
+    from plansheet.operators import features
+
+    lines = features.line_features(slats)
+    rows = lambda df: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
+    for make in (features.parallel_pairs, features.collinear_pairs):
+        want = rows(make(lines))
+        assert len(want) > 100 and rows(make(lines, pairs=0)) == want
+
+
+def test_slats_of_one_angle_meet_their_neighbours_alone(spark):
+    from plansheet.operators import features, joins
+
+    k = F.col("id")
+    df = spark.range(3000).select(F.lit(1).cast("bigint").alias("drawing_id"), k.alias("seg_id"), (-7.0 * k).alias("x1"), (7.0 * k).alias("y1"), (-7.0 * k + 900).alias("x2"), (7.0 * k + 900).alias("y2"), F.lit("0").alias("layer"))
+    gap = 7 * math.sqrt(2)
+    assert features.parallel_pairs(features.line_features(df)).count() == sum(3000 - j for j in range(1, 10) if 4 <= j * gap <= 35)
+
+
+def test_depths_of_rings(spark):
+    r, rings = random.Random(6), []
+    for d in (1, 2):
+        for k in range(60):
+            x, y, w = r.uniform(0, 500), r.uniform(0, 500), r.choice([2, 10, 60, 300, 5000])
+            rings.append((d, k, [{"x": x, "y": y}, {"x": x + w, "y": y}, {"x": x + w * 1.1, "y": y + w}, {"x": x, "y": y + w}]))
+    loops = topology.ranked_loops(spark.createDataFrame(rings, "drawing_id bigint, loop_id bigint, pts array<struct<x:double,y:double>>")).cache()
+    rows, want = loops.collect(), {}
+    held = lambda p, x, y: sum((a.y > y) != (b.y > y) and x < (b.x - a.x) * (y - a.y) / (b.y - a.y) + a.x for a, b in zip(p, [*p[1:], p[0]])) % 2 == 1
+    for a in rows:
+        want[a.drawing_id, a.loop_id] = sum(b.drawing_id == a.drawing_id and b["rank"] < a["rank"] and held(b.pts, a.x, a.y) for b in rows)
+    assert {(g.drawing_id, g.loop_id): g.depth for g in topology.containment(loops).collect()} == want and max(want.values()) > 5
