@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plansheet.functions import scalar as S
 from plansheet.operators.joins import PAIRS, bounds, cell, meeting_boxes, split
-from plansheet.operators.tables import dealt, grouped_rows, stored
+from plansheet.operators.tables import each_group, grouped_rows, stored
 
 SEG = ("x1", "y1", "x2", "y2")
 
@@ -179,7 +179,7 @@ def collinear_bundles(lines: DataFrame) -> DataFrame:
         return grouped_rows(t, out, [("seed", pa.int64()), ("members", pa.list_(pa.int64()))])
 
     kind = lines.schema["drawing_id"].dataType.simpleString()
-    return dealt(collinear_pairs(lines), "drawing_id").groupBy("drawing_id").applyInArrow(bundle, f"drawing_id {kind}, seed bigint, members array<bigint>")
+    return each_group(collinear_pairs(lines), bundle, f"drawing_id {kind}, seed bigint, members array<bigint>")
 
 
 def corner_motifs(loops: DataFrame) -> DataFrame:

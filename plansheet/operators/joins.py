@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plansheet.functions import scalar as S
-from plansheet.operators.tables import dealt, stored
+from plansheet.operators.tables import each_pair, stored
 
 NINE = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 #: Pairs of rows of a drawing that one kernel compares.
@@ -73,15 +73,15 @@ def kernel(left: DataFrame, right: DataFrame, key: str, columns: list[str], run)
     """run(left, right) of each key's rows as Arrow tables, giving (places in left, other columns); a row of (key, columns of left, others)."""
     schema = ", ".join([f"`{c}` {left.schema[c].dataType.simpleString()}" for c in (key, "id")] + columns)
 
+    names = [f"_r{k}" for k, c in enumerate(right.columns) if c != key]
+    own = [c for c in right.columns if c != key]
+
     def both(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not len(a) or not len(b):
-            at, others = np.empty(0, np.int64), [pa.array([], t) for t in run.kinds(b)]
-        else:
-            at, others = run(a, b)
+        at, others = run(a, b.rename_columns([key, *own]))
         held = (a.column(c).take(pa.array(at)) for c in (key, "id"))
-        return pa.Table.from_arrays([*(c.cast(_nullable(c.type)) for c in (*held, *others))], names=[key, "id", *(c.split()[0] for c in columns)])
+        return pa.Table.from_arrays([c.cast(_nullable(c.type)) for c in (*held, *others)], names=[key, "id", *(c.split()[0] for c in columns)])
 
-    return dealt(left, key).groupBy(key).cogroup(dealt(right.withColumnRenamed(key, "_key"), "_key").groupBy("_key")).applyInArrow(both, schema)
+    return each_pair(left, right.select(key, *(F.col(c).alias(n) for c, n in zip(own, names))), both, schema, key)
 
 
 def _nullable(kind: pa.DataType) -> pa.DataType:
@@ -152,9 +152,6 @@ class _KNearest:
     def __init__(self, k: int):
         self.k = k
 
-    def kinds(self, b: pa.Table) -> list[pa.DataType]:
-        return [pa.int32(), b.schema.field("rid").type, pa.float64()]
-
     def __call__(self, a: pa.Table, b: pa.Table):
         b = b.sort_by("rid")
         p, q = (np.column_stack([t.column(c).to_numpy() for c in names]) for t, names in ((a, "xy"), (b, ("rx", "ry"))))
@@ -243,9 +240,6 @@ def box_pairs(segments: DataFrame, size: float, key: str = "drawing_id", tol: fl
 class _NearestSegment:
     """The nearest of a drawing's segments for each of its points, in blocks."""
 
-    def kinds(self, b: pa.Table) -> list[pa.DataType]:
-        return [b.schema.field(c).type for c in ("seg_id", "layer")] + [pa.float64()]
-
     def __call__(self, a: pa.Table, b: pa.Table):
         b = b.sort_by("seg_id")
         x, y = (a.column(c).to_numpy()[:, None] for c in "xy")

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from plansheet.functions import scalar as S
 from plansheet.operators.generate import ring_edges
-from plansheet.operators.joins import nearest_one, nearest_segment, range_join
+from plansheet.operators import small
+from plansheet.operators.joins import large_keys, nearest_one, nearest_segment, range_join
 from plansheet.operators.quality import duplicate_pairs
-from plansheet.operators.tables import dealt, grouped_rows, stored
+from plansheet.operators.tables import each_group, grouped_rows, stored, together
 from plansheet.operators.topology import endpoints, ranked_loops
 
 SEG = ("x1", "y1", "x2", "y2")
@@ -230,14 +231,14 @@ def deduplicate(segments: DataFrame, tol: float = 0.05) -> DataFrame:
         return grouped_rows(t, [(k,) for k in sorted(gone)], [("seg_id", t.schema.field("seg_b").type)])
 
     kind, sid = (segments.schema[k].dataType.simpleString() for k in ("drawing_id", "seg_id"))
-    gone = duplicate_pairs(segments, tol).groupBy("drawing_id").applyInArrow(drop, f"drawing_id {kind}, seg_id {sid}")
+    gone = each_group(duplicate_pairs(segments, tol), drop, f"drawing_id {kind}, seg_id {sid}")
     return segments.join(gone, ["drawing_id", "seg_id"], "left_anti")
 
 
 def rings_to_lines(rings: DataFrame, original: DataFrame | None = None) -> DataFrame:
     """Segments of rings, with the layer of the original line nearest to each middle, deduplicated."""
     order = Window.partitionBy("drawing_id").orderBy("loop_id", "i")
-    out = ring_edges(rings).withColumn("seg_id", F.row_number().over(order).cast("bigint") - 1).drop("loop_id", "i")
+    out = stored(ring_edges(rings).withColumn("seg_id", F.row_number().over(order).cast("bigint") - 1).drop("loop_id", "i"), "ring-edges")
     if original is None:
         out = out.withColumn("layer", F.lit("0"))
     else:
@@ -263,15 +264,30 @@ def apply_zones(repaired: DataFrame, original: DataFrame, zones: DataFrame) -> D
     return kept.unionByName(back.select("drawing_id", "seg_id", *SEG, "layer"))
 
 
-def holding_tabs(segments: DataFrame, low: float = 0.5, high: float = 2.0) -> DataFrame:
+#: How far apart the ends of lines are that a holding tab keeps apart.
+TAB = (0.5, 2.0)
+
+
+def holding_tabs(segments: DataFrame, low: float = TAB[0], high: float = TAB[1]) -> DataFrame:
     """(drawing_id, id, rid, x, y, rx, ry, dist): ends of different lines low to high apart."""
     e = endpoints(segments)
     right = e.select("drawing_id", F.col("id").alias("rid"), F.col("seg_id").alias("_other"), F.col("x").alias("rx"), F.col("y").alias("ry"))
     return range_join(e, right, high).where((F.col("id") < F.col("rid")) & (F.col("seg_id") != F.col("_other")) & (F.col("dist") >= low)).drop("seg_id", "_other")
 
 
-def weld(segments: DataFrame, radius: float = 0.05, keep_tabs: bool = True) -> DataFrame:
-    """Lines with ends within radius moved to their mean, in order of ends, those of holding tabs left alone; lines next to nothing dropped."""
+def weld(segments: DataFrame, radius: float = 0.05, keep_tabs: bool = True, pairs: int = 1 << 18) -> DataFrame:
+    """Lines with ends within radius moved to their mean, in order of ends, those of holding tabs left alone; lines next to nothing dropped.
+
+    Drawings with so many pairs of lines at most are one array kernel each.
+    """
+    large = large_keys(segments, segments, "drawing_id", pairs)
+    if large is None:
+        return small.welded(segments, radius, keep_tabs, *TAB)
+    few, many = (segments.join(large, "drawing_id", how) for how in ("left_anti", "left_semi"))
+    return small.welded(few, radius, keep_tabs, *TAB).select(*segments.columns).unionByName(_weld(many.select(*segments.columns), radius, keep_tabs))
+
+
+def _weld(segments: DataFrame, radius: float, keep_tabs: bool) -> DataFrame:
     e = endpoints(segments)
     if keep_tabs:
         tabs = holding_tabs(segments)
@@ -300,7 +316,7 @@ def weld(segments: DataFrame, radius: float = 0.05, keep_tabs: bool = True) -> D
         return grouped_rows(t, [(k, *v) for k, v in to.items()], [("id", pa.int64()), ("wx", pa.float64()), ("wy", pa.float64())])
 
     kind = segments.schema["drawing_id"].dataType.simpleString()
-    moved = dealt(near, "drawing_id").groupBy("drawing_id").applyInArrow(balls, f"drawing_id {kind}, id bigint, wx double, wy double")
+    moved = each_group(near, balls, f"drawing_id {kind}, id bigint, wx double, wy double")
     new = e.join(moved, ["drawing_id", "id"], "left").select("drawing_id", "seg_id", (F.col("id") % 2).alias("_e"), F.coalesce("wx", "x").alias("x"), F.coalesce("wy", "y").alias("y"))
     ends = new.groupBy("drawing_id", "seg_id").agg(*(F.min_by(c, "_e").alias(f"{c}1") for c in "xy"), *(F.max_by(c, "_e").alias(f"{c}2") for c in "xy"))
     out = ends.join(segments.drop(*SEG), ["drawing_id", "seg_id"]).where(S.distance(*(F.col(c) for c in SEG)) > 1e-4)
@@ -365,11 +381,11 @@ def untagged(df: DataFrame, kind: str) -> DataFrame:
 def candidate_lines(segments: DataFrame, loops: DataFrame, boxes: DataFrame, corner_size: DataFrame, straighten: bool = True, zones: DataFrame | None = None, candidates=CANDIDATES) -> DataFrame:
     """Tagged lines of the candidates: quadrants with equal corners, quadrants, left to right, and the least change; each squared and welded."""
     square = lambda rings: stored(regularized(rings).select("drawing_id", "loop_id", "pts"), "squared-rings")
-    quads = square(repair_rings(loops, boxes, "4_quadrant", straighten=straighten)) if {"a", "b"} & set(candidates) else None
-    made = {
-        "a": lambda: equalize_corners(ranked_loops(quads), boxes, corner_size), "b": lambda: quads,
-        "c": lambda: square(repair_rings(loops, boxes, "mirror_left_to_right", straighten=straighten)), "d": lambda: square(loops),
-    }
+    some = set(candidates)
+    kinds = {"quads": bool({"a", "b"} & some) and (lambda: repair_rings(loops, boxes, "4_quadrant", straighten=straighten)), "c": "c" in some and (lambda: repair_rings(loops, boxes, "mirror_left_to_right", straighten=straighten)), "d": "d" in some and (lambda: loops)}
+    asked = {k: make for k, make in kinds.items() if make}
+    held = dict(zip(asked, together(*((lambda make=make: square(make())) for make in asked.values()))))
+    made = {"a": lambda: equalize_corners(ranked_loops(held["quads"]), boxes, corner_size), "b": lambda: held["quads"], "c": lambda: held["c"], "d": lambda: held["d"]}
     rings = union([tagged(made[k]().select("drawing_id", "loop_id", "pts"), (k,)) for k in candidates])
     out = stored(rings_to_lines(rings, tagged(segments, candidates)), "ring-lines")
     if "d" in candidates:

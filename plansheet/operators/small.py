@@ -25,7 +25,7 @@ from plansheet.functions import scalar as S
 from plansheet.operators import symmetry
 from plansheet.operators.graph import labels
 from plansheet.operators.symmetry import AXIS, Nearest, mirrored
-from plansheet.operators.tables import dealt
+from plansheet.operators.tables import each_group, each_pair
 from plansheet.operators.topology import cycle_basis
 
 SEG = ("x1", "y1", "x2", "y2")
@@ -85,7 +85,35 @@ def graphs(segments: DataFrame, tol: float = 0.1) -> DataFrame:
         return pa.table([t.column("drawing_id").slice(0, 1).combine_chunks(), *(pa.array([m], k) for m, k in zip(made, (_NODES, _EDGES, pa.list_(pa.list_(_XY)))))], names=["drawing_id", "nodes", "edges", "rings"])
 
     rows = segments.select("drawing_id", F.col("seg_id").cast("bigint").alias("seg_id"), *(F.col(c).cast("double").alias(c) for c in SEG))
-    return dealt(rows, "drawing_id").groupBy("drawing_id").applyInArrow(run, f"drawing_id {segments.schema['drawing_id'].dataType.simpleString()}, {_GRAPH}")
+    return each_group(rows, run, f"drawing_id {segments.schema['drawing_id'].dataType.simpleString()}, {_GRAPH}")
+
+
+def welded(segments: DataFrame, radius: float, keep_tabs: bool, low: float, high: float) -> DataFrame:
+    """Segments with their ends as repair.weld moves them."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("seg_id")
+        seg, ends = t.column("seg_id").to_numpy(), np.column_stack([t.column(c).to_numpy() for c in SEG])
+        xy = ends.reshape(-1, 2)  # in order of 2 * seg_id and 2 * seg_id + 1
+        d = np.sqrt((xy[:, None, 0] - xy[None, :, 0]) ** 2 + (xy[:, None, 1] - xy[None, :, 1]) ** 2)
+        near, held = d <= radius, np.zeros(len(xy), bool)
+        if keep_tabs:
+            own = np.repeat(seg, 2)
+            held = ((d >= low) & (d <= high) & (own[:, None] != own[None, :])).any(1)
+        near &= ~held[None, :]
+        seen, moved = np.zeros(len(xy), bool), xy.copy()
+        for a in np.nonzero(near.sum(1) > 1)[0]:
+            if not seen[a]:
+                ball = np.nonzero(near[a])[0]
+                seen[ball] = True
+                moved[ball] = xy[ball].sum(0) / len(ball)
+        for k, c in enumerate(SEG):
+            t = t.set_column(t.column_names.index(c), c, pa.array(moved.reshape(-1, 4)[:, k]))
+        return t
+
+    df = segments.withColumns({c: F.col(c).cast("double") for c in SEG})
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return each_group(df, run, schema).where(S.distance(*(F.col(c) for c in SEG)) > 1e-4)
 
 
 # axes
@@ -167,8 +195,8 @@ def best_of(p: np.ndarray, near: Nearest, axes: Iterable[tuple[int, np.ndarray]]
 _FOUND = pa.schema([("which", pa.int32()), ("axis_id", pa.int64()), *((c, pa.float64()) for c in AXIS), ("n", pa.int64()), *((c, pa.float64()) for c in ("mean", "rms", "median", "max", "p90", "matched"))])
 
 
-def axes_of(ids: np.ndarray, p: np.ndarray, axes: list[tuple[int, np.ndarray]], tol: float, keep: int, trials: int, most: int) -> list[dict]:
-    """The best axis (which 0) and the better of those square to it (which 1) of one drawing's points."""
+def axes_of(ids: np.ndarray, p: np.ndarray, axes: list[tuple[int, np.ndarray]], tol: float, keep: int, trials: int, most: int, square: bool) -> list[dict]:
+    """The best axis (which 0) and, if square, the better of those square to it (which 1) of one drawing's points."""
     p = p[np.argsort(ids, kind="stable")]
     near, step = Nearest(np.unique(p, axis=0)), max(1, len(p) // most)
 
@@ -180,29 +208,29 @@ def axes_of(ids: np.ndarray, p: np.ndarray, axes: list[tuple[int, np.ndarray]],
 
     k, a, found = best_of(p, near, tried(), tol, keep, step)
     out = [{"which": 0, "axis_id": k, **dict(zip(AXIS, a.tolist())), **found}]
+    if not square:
+        return out
     turned = (math.atan2(a[3], a[2]) + math.pi / 2) % math.pi
-    square = ((k, np.array([x, y, math.cos(turned), math.sin(turned)])) for k, (x, y) in enumerate((p.mean(0), (p.min(0) + p.max(0)) / 2)))
-    k, a, found = best_of(p, near, square, tol, 2, step)
+    two = ((k, np.array([x, y, math.cos(turned), math.sin(turned)])) for k, (x, y) in enumerate((p.mean(0), (p.min(0) + p.max(0)) / 2)))
+    k, a, found = best_of(p, near, two, tol, 2, step)
     return [*out, {"which": 1, "axis_id": k, **dict(zip(AXIS, a.tolist())), **found}]
 
 
-def best_axes(pts: DataFrame, axes: DataFrame, tol: float = 0.2, keep: int = 4, trials: int = 35, most: int = 200) -> DataFrame:
+def best_axes(pts: DataFrame, axes: DataFrame, tol: float = 0.2, keep: int = 4, trials: int = 35, most: int = 200, square: bool = True) -> DataFrame:
     """(drawing_id, which, axis_id, the profile's columns, a) of each drawing with points (id, x, y) and axes (axis_id, a)."""
     kind = pts.schema["drawing_id"].dataType.simpleString()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("drawing_id", left.schema.field("drawing_id").type), *_FOUND])
-        if not len(left) or not len(right):
-            return schema.empty_table()
         right = right.sort_by("axis_id")
         own = list(zip(right.column("axis_id").to_pylist(), np.column_stack([right.column(c).to_numpy() for c in AXIS])))
-        rows = axes_of(left.column("id").to_numpy(), np.column_stack([left.column(c).to_numpy() for c in "xy"]), own, tol, keep, trials, most)
+        rows = axes_of(left.column("id").to_numpy(), np.column_stack([left.column(c).to_numpy() for c in "xy"]), own, tol, keep, trials, most, square)
         name = left.column("drawing_id")[0].as_py()
         return pa.Table.from_pylist([{"drawing_id": name, **r} for r in rows], schema=schema)
 
     points = pts.select("drawing_id", F.col("id").cast("bigint").alias("id"), *(F.col(c).cast("double").alias(c) for c in "xy"))
-    flat = axes.select(F.col("drawing_id").alias("_drawing"), F.col("axis_id").cast("bigint").alias("axis_id"), *(F.col("a")[k].alias(k) for k in AXIS))
-    out = dealt(points, "drawing_id").groupBy("drawing_id").cogroup(dealt(flat, "_drawing").groupBy("_drawing")).applyInArrow(run, f"drawing_id {kind}, which int, axis_id bigint, ox double, oy double, dx double, dy double, n bigint, mean double, rms double, median double, max double, p90 double, matched double")
+    flat = axes.select("drawing_id", F.col("axis_id").cast("bigint").alias("axis_id"), *(F.col("a")[k].alias(k) for k in AXIS))
+    out = each_pair(points, flat, run, f"drawing_id {kind}, which int, axis_id bigint, ox double, oy double, dx double, dy double, n bigint, mean double, rms double, median double, max double, p90 double, matched double")
     return symmetry.scored(out.withColumn("a", F.struct(*AXIS)).drop(*AXIS), tol)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plansheet.functions import scalar as S
 from plansheet.operators.joins import nearest, nearest_one
-from plansheet.operators.tables import dealt, grouped_rows, stored
+from plansheet.operators.tables import each_group, each_pair, grouped_rows, stored
 
 ORDERS = (2, 3, 4, 5, 6, 8, 10, 12, 16)
 AXIS = ("ox", "oy", "dx", "dy")
@@ -57,8 +57,6 @@ def mirrored(p: np.ndarray, o: np.ndarray, d: np.ndarray) -> np.ndarray:
 def _mirror_kernel(left: pa.Table, right: pa.Table) -> pa.Table:
     """Deviations of one drawing's points (id, x, y) for each of its axes."""
     out = pa.schema([left.schema.field("drawing_id"), ("axis_id", pa.int64()), left.schema.field("id"), ("x", pa.float64()), ("y", pa.float64()), ("dev", pa.float64())])
-    if not len(left) or not len(right):
-        return out.empty_table()
     p = np.column_stack([left.column(c).to_numpy() for c in "xy"])
     made = []
     for k, *a in zip(*(right.column(c).to_pylist() for c in ("axis_id", *AXIS))):
@@ -77,10 +75,10 @@ def deviations(pts: DataFrame, axes: DataFrame) -> DataFrame:
     size = pts.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("_n"))
     large = stored(size.where(F.col("_n") > SMALL).select("drawing_id"), "large-drawings")
     none = large.isEmpty()
-    flat = axes.select("drawing_id", F.col("drawing_id").alias("_drawing"), F.col("axis_id").cast("bigint").alias("axis_id"), *(F.col("a")[k].alias(k) for k in AXIS))
+    flat = axes.select("drawing_id", F.col("axis_id").cast("bigint").alias("axis_id"), *(F.col("a")[k].alias(k) for k in AXIS))
     few = (lambda df: df) if none else (lambda df: df.join(large, "drawing_id", "left_anti"))
     kinds = {c: pts.schema[c].dataType.simpleString() for c in ("drawing_id", "id")}
-    near = few(pts).groupBy("drawing_id").cogroup(few(flat).drop("drawing_id").groupBy("_drawing")).applyInArrow(_mirror_kernel, f"drawing_id {kinds['drawing_id']}, axis_id bigint, id {kinds['id']}, x double, y double, dev double")
+    near = each_pair(few(pts), few(flat), _mirror_kernel, f"drawing_id {kinds['drawing_id']}, axis_id bigint, id {kinds['id']}, x double, y double, dev double")
     if none:
         return near
     image = S.reflect(F.col("a"), F.col("x"), F.col("y"))
@@ -325,7 +323,7 @@ def mirror_pairs(loops: DataFrame, axes: DataFrame, area_limit: float = 0.35, fa
 
     rows = loops.join(axes.select("drawing_id", *(F.col("a")[k].alias(k) for k in AXIS)), "drawing_id").select("drawing_id", "loop_id", "rank", "x", "y", "area", *AXIS)
     kind, lid = (loops.schema[k].dataType.simpleString() for k in ("drawing_id", "loop_id"))
-    return dealt(rows, "drawing_id").groupBy("drawing_id").applyInArrow(pair, f"drawing_id {kind}, loop_left {lid}, loop_right {lid}, dist double, area_error double")
+    return each_group(rows, pair, f"drawing_id {kind}, loop_left {lid}, loop_right {lid}, dist double, area_error double")
 
 
 # rotation

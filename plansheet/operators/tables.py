@@ -4,13 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plansheet.shipping import ship
 
 
+#: The least bytes of a shuffle's task. At Spark's own a table of a megabyte is one file, and whatever reads it one task;
+#: where the session has the default it is set lower, so that small tables of many drawings keep all cores busy.
+LEAST = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """What spark.checkpoint.dir names in the session or the context's settings. Where it is unset, a folder of this machine's in
     local mode alone; executors elsewhere wouldn't see that one."""
@@ -27,6 +38,8 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: its lineage ends here and it outlives executors."""
     spark = df.sparkSession
     ship(spark)
+    if spark.conf.get(LEAST).lower() in ("1mb", "1m", "1048576", "1048576b"):
+        spark.conf.set(LEAST, "128k")
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -38,8 +51,65 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
 
 
+def _starts(keys: pa.ChunkedArray) -> list[int]:
+    """Where each run of equal keys begins, and the end."""
+    if not len(keys):
+        return [0]
+    a, b = keys.slice(1), keys.slice(0, len(keys) - 1)
+    new = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.not_equal(pc.is_null(a), pc.is_null(b)))
+    return [0, *(np.nonzero(new.to_numpy())[0] + 1).tolist(), len(keys)]
+
+
+def each_group(df: DataFrame, run: Callable[[pa.Table], pa.Table], schema: str, key: str = "drawing_id") -> DataFrame:
+    """run(rows) of each key's rows as an Arrow table. Groups come one after another in a task's batches, so many small ones cost no stream each; a task holds a batch and one group."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            at = _starts(t.column(key))
+            rest = t.slice(at[-2]) if len(at) > 1 else None
+            made = [run(t.slice(x, y - x)) for x, y in zip(at[:-2], at[1:-1])]
+            if made:
+                yield from pa.concat_tables(made).combine_chunks().to_batches()
+        if rest is not None:
+            yield from run(rest).combine_chunks().to_batches()
+
+    return dealt(df, key).sortWithinPartitions(key).mapInArrow(stream, schema)
+
+
+def each_pair(left: DataFrame, right: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, key: str = "drawing_id") -> DataFrame:
+    """run(left rows, right rows) of each key that both have; beside the key they share no column."""
+    names = [[c for c in df.columns if c != key] for df in (left, right)]
+    both = left.withColumn("_side", F.lit(0)).unionByName(right.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    empty = _empty(schema)
+
+    def one(t: pa.Table) -> pa.Table:
+        side = t.column("_side").to_numpy()
+        a, b = (t.filter(pa.array(side == k)).select([key, *names[k]]) for k in (0, 1))
+        return run(a, b) if len(a) and len(b) else empty(t.schema.field(key).type)
+
+    return each_group(both, one, schema, key)
+
+
+def _empty(schema: str) -> Callable[[pa.DataType], pa.Table]:
+    """An empty table of a schema given as text, made when first asked for."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    return lambda kind: kinds.empty_table()
+
+
 def grouped_rows(group: pa.Table, rows: list[tuple], fields: list[tuple[str, pa.DataType]], key: str = "drawing_id") -> pa.Table:
     """rows as an Arrow table behind the key of the group that they come from."""
     columns = list(zip(*rows)) if rows else [()] * len(fields)
     schema = pa.schema([group.schema.field(key), *fields])
     return pa.Table.from_arrays([group.column(key).slice(0, 1).take(pa.array([0] * len(rows), pa.int64())), *(pa.array(c, kind) for c, (_, kind) in zip(columns, fields))], schema=schema)
+
+
+def together(*makes: Callable) -> list:
+    """What each of makes returns, their jobs submitted from threads of their own: small jobs spend more time on starting than on rows."""
+    with ThreadPoolExecutor(len(makes)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(m)) for m in makes]]

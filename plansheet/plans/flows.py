@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from threading import RLock
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plansheet.functions import scalar as S
 from plansheet.operators import clusters, features, generate, quality, repair, small, symmetry, topology
-from plansheet.operators.tables import stored
+from plansheet.operators.tables import stored, together
 
 SEG = ("x1", "y1", "x2", "y2")
 
@@ -41,12 +42,22 @@ class Drawing:
     def __init__(self, segments: DataFrame, tol: float = 0.2, node_tol: float = 0.1, samples: int = 12, arcs: DataFrame | None = None, circles: DataFrame | None = None, small: int = symmetry.SMALL):
         self.segments, self.tol, self.node_tol, self.samples, self.arcs, self.circles, self.small = segments, tol, node_tol, samples, arcs, circles, small
         self._held: dict = {}
+        self._locks: dict = {}
 
-    def _once(self, name: str, make) -> DataFrame:
-        if name not in self._held:
-            self._held[name] = stored(make(), name)
+    def _made(self, name: str, make: Callable):
+        """What make returns, made once, also when several threads ask for it."""
+        with self._locks.setdefault(name, RLock()):
+            if name not in self._held:
+                self._held[name] = make()
         return self._held[name]
 
+    def _once(self, name: str, make: Callable) -> DataFrame:
+        return self._made(name, lambda: stored(make(), name))
+
+    def ready(self, *names: str) -> None:
+        """Makes these parts at the same time, as far as they don't need each other."""
+        together(*((lambda n=n: getattr(self, n)) for n in names))
+
     @property
     def drawings(self) -> DataFrame:
         return self.segments.select("drawing_id").distinct()
@@ -58,11 +69,13 @@ class Drawing:
     @property
     def large(self) -> DataFrame | None:
         """(drawing_id) of drawings with more points than one kernel takes; none, if no drawing is."""
-        if "large" not in self._held:
+
+        def make() -> DataFrame | None:
             n = reduce(DataFrame.unionByName, (df.select("drawing_id", F.lit(k * self.samples).alias("n")) for df, k in ((self.segments, 1), (self.arcs, 2), (self.circles, 3)) if df is not None))
             large = stored(n.groupBy("drawing_id").agg(F.sum("n").alias("n")).where(F.col("n") > self.small).select("drawing_id"), "large-drawings")
-            self._held["large"] = None if large.isEmpty() else large
-        return self._held["large"]
+            return None if large.isEmpty() else large
+
+        return self._made("large", make)
 
     def _split(self, few: Callable, many: Callable) -> DataFrame:
         """few(part) for small drawings and many(part) for large ones, where part cuts a table down to these."""
@@ -76,9 +89,7 @@ class Drawing:
         return self._once("graphs", lambda: small.graphs(self.segments if self.large is None else self.segments.join(self.large, "drawing_id", "left_anti"), self.node_tol))
 
     def _built(self, part: int) -> DataFrame:
-        if "built" not in self._held:
-            self._held["built"] = [stored(df, "graph") for df in topology.build_graph(self.segments.join(self.large, "drawing_id", "left_semi"), self.node_tol)]
-        return self._held["built"][part]
+        return self._made("built", lambda: [stored(df, "graph") for df in topology.build_graph(self.segments.join(self.large, "drawing_id", "left_semi"), self.node_tol)])[part]
 
     @property
     def nodes(self) -> DataFrame:
@@ -109,22 +120,26 @@ class Drawing:
         """What may be an axis: upright, level, principal and diagonal ones, and bisectors of loops. Those of random points are tried besides."""
         return self._once("axes", lambda: symmetry.hypotheses(self.points, self.loops))
 
-    @property
-    def found(self) -> DataFrame:
-        """The best axis of each drawing (which 0) and the better of those square to it (which 1), with their profiles."""
-
+    def _found(self, square: bool) -> DataFrame:
         def many(part: Callable) -> DataFrame:
             pts = stored(part(self.points), "large-points")
             tried = stored(part(self.axes).unionByName(symmetry.ransac(pts, self.tol).drop("inliers")), "large-axes")
             best = stored(symmetry.best_axis(pts, tried, self.tol), "large-best")
-            square = symmetry.secondary_axis(pts, best, self.tol, -1.0)
-            return best.withColumn("which", F.lit(0)).unionByName(square.withColumn("which", F.lit(1)))
+            out = best.withColumn("which", F.lit(0))
+            return out.unionByName(symmetry.secondary_axis(pts, best, self.tol, -1.0).withColumn("which", F.lit(1))) if square else out
 
-        return self._once("found", lambda: self._split(lambda part: small.best_axes(part(self.points), part(self.axes), self.tol), many))
+        return self._split(lambda part: small.best_axes(part(self.points), part(self.axes), self.tol, square=square), many)
+
+    @property
+    def found(self) -> DataFrame:
+        """The best axis of each drawing (which 0) and the better of those square to it (which 1), with their profiles."""
+        return self._once("found", lambda: self._found(True))
 
     @property
     def best(self) -> DataFrame:
-        return self.found.where("which = 0").drop("which")
+        if "found" in self._held or "found" in self._locks:
+            return self.found.where("which = 0").drop("which")
+        return self._once("best", lambda: self._found(False)).drop("which")
 
     @property
     def second(self) -> DataFrame:
@@ -164,8 +179,17 @@ class Drawing:
     def deformed(self) -> DataFrame:
         return self._once("deformed", lambda: quality.deformation(self.drawings, features.kinks(features.corners(self.nodes, self.edges)), self.segments, self.loops))
 
+    @property
+    def doubled(self) -> DataFrame:
+        return self._once("doubled", lambda: quality.duplicate_pairs(self.segments))
+
+    @property
+    def crossed(self) -> DataFrame:
+        return self._once("crossed", lambda: quality.crossings(self.segments).select("drawing_id", "seg_a", "seg_b"))
+
     def analyze(self) -> DataFrame:
         """A row for each drawing: its best axis and profile, the one square to it, loops paired and not, classification and action."""
+        self.ready("found", "loops")
         second = self.second.select("drawing_id", F.col("a").alias("second_a"), F.col("score").alias("second_score"))
         count = self.pairs.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.max("dist").alias("worst_distance"), F.max("area_error").alias("worst_area"))
         n = self.loops.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n_loops"))
@@ -175,14 +199,17 @@ class Drawing:
         return out.join(second, "drawing_id", "left")
 
     def quality(self) -> DataFrame:
+        self.ready("best", "spacings", "loop_features", "bundles", "deformed")
         return quality.quality(self.drawings, self.best.select("drawing_id", "score"), self.lines, self.spacings, self.loop_features, self.bundles, self.deformed)
 
     def validate(self, original: DataFrame | None = None) -> DataFrame:
+        self.ready("edges", "loops", "doubled", "crossed", "boxes")
         summary = topology.graph_summary(self.nodes, self.edges)
-        return quality.validate(self.drawings, summary, self.loops, quality.duplicate_pairs(self.segments), quality.crossings(self.segments), self.boxes, original)
+        return quality.validate(self.drawings, summary, self.loops, self.doubled, self.crossed, self.boxes, original)
 
     def report(self) -> DataFrame:
         """Analysis, rotation, quality, and counts of intent, anchors, clusters and points in the hottest band, a row for each drawing."""
+        self.ready("found", "spacings", "loop_features", "bundles", "deformed", "anchors", "clusters")
         rotation = symmetry.rotational(self.points, 0.25, self.boxes.select("drawing_id", *(S.box_of(F.col("b"))[f"center_{k}"].alias(f"c{k}") for k in "xy")))
         intent = features.constraints(features.angle_clusters(self.lines), self.spacings, self.corner_size).groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n_constraints"))
         q = self.quality().select("drawing_id", "quality", "verdict", "deformation")
@@ -201,10 +228,14 @@ def candidates(segments: DataFrame, zones: DataFrame | None = None, straighten:
     """
     kind = segments.schema["drawing_id"].dataType.simpleString()
     old = old or Drawing(segments, arcs=arcs, circles=circles, **how)
+    old.ready("boxes", "corner_size")
     lines = stored(repair.candidate_lines(segments, old.loops, old.boxes, old.corner_size, straighten, zones), "candidate-lines")
     new = Drawing(lines, arcs=None if arcs is None else repair.tagged(arcs), circles=None if circles is None else repair.tagged(circles), **how)
     rows = repair.tagged(old.drawings)
-    parts = (new.quality().select("drawing_id", "quality", F.col("symmetry").alias("score")), new.validate(repair.tagged(old.boxes)).select("drawing_id", "is_valid"), repair.change_ratio(repair.tagged(segments), lines))
+    parts = together(
+        lambda: stored(new.quality().select("drawing_id", "quality", F.col("symmetry").alias("score")), "quality"), lambda: stored(new.validate(repair.tagged(old.boxes)).select("drawing_id", "is_valid"), "valid"),
+        lambda: stored(repair.change_ratio(repair.tagged(segments), lines), "change"),
+    )
     for part in parts:
         rows = rows.join(part, "drawing_id", "left")
     rows = rows.withColumn("has_lines", F.col("is_valid").isNotNull()).na.fill({"quality": 0.0, "score": 0.0, "is_valid": False, "change": 100.0})
@@ -214,8 +245,8 @@ def candidates(segments: DataFrame, zones: DataFrame | None = None, straighten:
 def recommend(segments: DataFrame, zones: DataFrame | None = None, straighten: bool = True, **how) -> tuple[DataFrame, DataFrame]:
     """The recommended candidate of each drawing and its lines."""
     old = Drawing(segments, **how)
-    ranked, lines = candidates(segments, zones, straighten, old=old, **how)
-    best = stored(repair.recommended(ranked, old.quality().select("drawing_id", "quality")), "recommended")
+    (ranked, lines), own = together(lambda: candidates(segments, zones, straighten, old=old, **how), lambda: stored(old.quality().select("drawing_id", "quality"), "quality"))
+    best = stored(repair.recommended(ranked, own), "recommended")
     own = repair.untagged(lines, segments.schema["drawing_id"].dataType.simpleString())
     return best, own.join(best.select("drawing_id", "candidate_id"), ["drawing_id", "candidate_id"], "left_semi").drop("candidate_id")
 
