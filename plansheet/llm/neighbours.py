@@ -8,7 +8,7 @@ projection is stored as a sorted array: the values in order and the rows they be
 Search: a window opens around the query's value in each sorted array and widens by virtual rehashing, `base` deviations
 of the projections at a time. A step walks each array outwards from the window's two ends over the new entries alone,
 which collide with the query at this step and all that follow, and a vector's collisions are summed over the steps: one
-that is near collides early and in many projections. Steps end when `enough` vectors collide in `threshold` of the
+that is near collides early and in many projections. A step that would add nothing goes on to the next entry. Steps end when `enough` vectors collide in `threshold` of the
 projections, where `enough` is `share` of the shard, or `least` in a small one; the sum that as many reach is the
 collision threshold, and the vectors that exceed or reach it are verified: their exact inner products, in double precision, on the
 original vectors. A shard gives its k best, and these are ranked over all shards.
@@ -23,7 +23,6 @@ repeated query is asked once. Ties go to the smaller id. Other columns are ignor
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,36 +77,51 @@ class Shard:
         kinds = ("<i8", "<i8", "<f8", "<u2" if len(self.ids) <= 1 << 16 else "<u4", "<f4")
         return [x.astype(k).tobytes() for x, k in zip((self.ids, self.copies, self.v, self.order, self.value), kinds)]
 
-    def windows(self, p: np.ndarray, base: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each step the windows' ends, (queries, projections) each, as far as any is to be widened."""
-        spread = float(np.sqrt(np.mean(np.var(self.value, axis=1)))) or 1.0
-        step = 0
-        while True:
-            step += 1
-            width = np.float32(step * base * spread)
-            yield tuple(np.stack([np.searchsorted(x, q + sign * width, side) for x, q in zip(self.value, p)], 1) for sign, side in ((-1, "left"), (1, "right")))
+    def ends(self, p: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows' ends, (queries, projections) each, for queries' projections p and a width for each query."""
+        return tuple(np.stack([np.searchsorted(x, q + sign * width, side) for x, q in zip(self.value, p)], 1) for sign, side in ((-1, "left"), (1, "right")))
+
+    def gap(self, p: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """How far each query's next entry is, beyond windows with these ends."""
+        n, row = len(self.ids), np.arange(len(self.value))
+        low = np.where(left > 0, p.T - self.value[row, np.maximum(left - 1, 0)], np.inf)
+        high = np.where(right < n, self.value[row, np.minimum(right, n - 1)] - p.T, np.inf)
+        return np.minimum(low, high).min(1)
 
     def found(self, p: np.ndarray, enough: int, threshold: float, base: float) -> Iterator[np.ndarray]:
-        """For each query (a column of p) the rows that exceed the collision threshold."""
+        """For each query (a column of p) the rows that exceed the collision threshold.
+
+        Each step widens the windows of all queries that go on. Where a query's windows have met nothing new they go on to
+        the next entry at once, so every step adds an entry, however far the query is and however close the entries are.
+        """
         n, m = len(self.ids), len(self.value)
+        step = max(base * (float(np.sqrt(np.mean(np.var(self.value, axis=1)))) or 1.0), 1e-6)  # what single precision tells apart
         flat, starts = self.order.ravel(), np.arange(m) * n
-        steps: list[tuple[np.ndarray, np.ndarray]] = []
-        more = self.windows(p, base)
-        centre = np.stack([np.searchsorted(x, q) for x, q in zip(self.value, p)], 1)
-        for r in range(p.shape[1]):
-            count, total = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            lo = hi = (starts + centre[r]).tolist()
-            for step in itertools.count():
-                if step == len(steps):
-                    steps.append(next(more))
-                left, right = ((starts + x[r]).tolist() for x in steps[step])
-                new = [flat[a:b] for a, b in zip(left, lo)] + [flat[a:b] for a, b in zip(hi, right)]
-                count += np.bincount(np.concatenate(new), minlength=n)
-                total += count
-                lo, hi = left, right
-                if np.count_nonzero(count >= threshold * m) >= enough:
-                    break
-            yield np.nonzero(total >= np.partition(total, n - enough)[n - enough])[0]
+        low = high = np.stack([np.searchsorted(x, q) for x, q in zip(self.value, p)], 1)
+        low, high = low.copy(), high.copy()
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * p.shape[1]
+        count, total = (np.zeros((p.shape[1], n), np.int32) for _ in range(2))
+        width, active = np.zeros(p.shape[1], np.float32), np.arange(p.shape[1])
+        while len(active):
+            width[active] += np.float32(step)
+            left, right = self.ends(p[:, active], width[active])
+            still = ((left == low[active]) & (right == high[active])).all(1)
+            if still.any():
+                stuck = active[still]
+                width[stuck] = np.maximum(width[stuck], self.gap(p[:, stuck], low[stuck], high[stuck]) * np.float32(1 + 1e-5))
+                left[still], right[still] = self.ends(p[:, stuck], width[stuck])
+            go = np.ones(len(active), bool)
+            for i, r in enumerate(active):
+                a, b, c, d = ((starts + x).tolist() for x in (left[i], low[r], high[r], right[i]))
+                new = [flat[x:y] for x, y in zip(a, b)] + [flat[x:y] for x, y in zip(c, d)]
+                count[r] += np.bincount(np.concatenate(new), minlength=n).astype(np.int32)
+                total[r] += count[r]
+                if np.count_nonzero(count[r] >= threshold * m) >= enough:
+                    go[i] = False
+                    out[r] = np.nonzero(total[r] >= np.partition(total[r], n - enough)[n - enough])[0]
+            low[active], high[active] = left, right
+            active = active[go]
+        yield from out
 
     def search(self, qids: np.ndarray, q: np.ndarray, k: int, share: float, least: int, threshold: float, base: float, together: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query's row, ids, scores) of each query's k best here."""

@@ -586,3 +586,23 @@ def test_substrings(spark, docs, empty, rows):
     for size in (300, 1 << 20):
         assert sorted(map(tuple, remove_repeats(df, chunk_bytes=size).collect()), key=str) == sorted(want, key=str)
     assert remove_repeats(empty).count() == 0
+
+
+def test_search_ends_on_tight_clusters_and_far_queries():
+    """Equal and all but equal vectors, and queries at a right angle or opposite: a step adds an entry at least, and the best are found."""
+    import time
+
+    from plansheet.llm.neighbours import Shard
+
+    r = np.random.default_rng(1)
+    centre = np.eye(32)[0]
+    for spread in (0.0, 1e-12, 1e-6, 1e-4):
+        v = centre + spread * r.normal(size=(2000, 32))
+        shard = Shard.built(np.arange(2000), np.ones(2000, np.int64), v)
+        q = np.stack([np.eye(32)[1], -centre, centre, np.eye(32)[1] + 1e-3 * centre])
+        began = time.time()
+        got = list(shard.search(np.array([-1, -2, -3, -4]), q, 20, 0.05, 160, 0.95, 0.64))
+        assert time.time() - began < 2 and [g[0] for g in got] == [0, 1, 2, 3]
+        for row, ids, scores in got:
+            exact = v @ q[row]
+            assert len(ids) == 20 and np.abs(scores - exact[ids]).max() < 1e-9
