@@ -111,5 +111,7 @@ def grouped_rows(group: pa.Table, rows: list[tuple], fields: list[tuple[str, pa.
 
 def together(*makes: Callable) -> list:
     """What each of makes returns, their jobs submitted from threads of their own: small jobs spend more time on starting than on rows."""
+    session = SparkSession.getActiveSession()
+    own = inheritable_thread_target(session) if session is not None else lambda make: make
     with ThreadPoolExecutor(len(makes)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(m)) for m in makes]]
+        return [f.result() for f in [pool.submit(own(m)) for m in makes]]

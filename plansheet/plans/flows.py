@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from plansheet.functions import scalar as S
 from plansheet.operators import clusters, features, generate, quality, repair, small, symmetry, topology
 from plansheet.operators.tables import stored, together
+from plansheet.plans.cache import Results
 
 SEG = ("x1", "y1", "x2", "y2")
 
@@ -251,6 +252,28 @@ def recommend(segments: DataFrame, zones: DataFrame | None = None, straighten: b
     return best, own.join(best.select("drawing_id", "candidate_id"), ["drawing_id", "candidate_id"], "left_semi").drop("candidate_id")
 
 
+def cached_candidates(kept: Results, segments: DataFrame, arcs: DataFrame | None = None, circles: DataFrame | None = None, zones: DataFrame | None = None, straighten: bool = True, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """candidates() of drawings whose entities, zones or options have changed, what is kept of all others; and the recommended one of each.
+
+    Returned are the ranked candidates, the recommended ones and the lines of all candidates (with candidate_id), each with `cached`.
+    """
+    own = {"segments": segments, "arcs": arcs, "circles": circles, "zones": zones}
+
+    def make(some: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        whole = {k: some.get(k) for k in ("arcs", "circles")}
+        old = Drawing(some["segments"], **whole, **how)
+        (ranked, lines), quality_ = together(lambda: candidates(some["segments"], some.get("zones"), straighten, old=old, **whole, **how), lambda: stored(old.quality().select("drawing_id", "quality"), "quality"))
+        return {"ranked": ranked, "recommended": repair.recommended(ranked, quality_), "lines": repair.untagged(lines, segments.schema["drawing_id"].dataType.simpleString())}
+
+    got = kept.get("candidates", {k: df for k, df in own.items() if df is not None}, make, repr((straighten, sorted(how.items()))))
+    return got["ranked"], got["recommended"], got["lines"]
+
+
+def applied(recommended: DataFrame, lines: DataFrame) -> DataFrame:
+    """The lines of each drawing's recommended candidate, from what is kept."""
+    return lines.join(recommended.select("drawing_id", "candidate_id"), ["drawing_id", "candidate_id"], "left_semi").drop("candidate_id", "cached")
+
+
 def repaired(segments: DataFrame, strategy: str, zones: DataFrame | None = None, straighten: bool = True, **how) -> DataFrame:
     """The lines of a repair by one strategy, welded; drawings without loops stay as they are."""
     d = Drawing(segments, **how)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,10 +11,11 @@ from plansheet.functions import scalar as S
 from plansheet.operators import clusters, curves, features, generate, quality, repair, symmetry, topology
 from plansheet.operators.tables import shared_folder
 from plansheet.plans import flows, geometry, views
+from plansheet.plans.cache import Results
 from plansheet.plans.geometry import BOX, DEG, FEAT, GAPS, LA, LEN, LINES, R, RANKED, RBOX, SEG, SPQ, TWICE, middle_axes, query, ranked, seg_boxes, seg_points, twice
 from plansheet.sinks import writers
 from plansheet.sources import drawings
-from plansheet.streaming import inbox
+from plansheet.streaming import edits, inbox
 
 QUERIES, ORACLE_SQL = geometry.QUERIES, geometry.ORACLE_SQL
 side = views.rectangle_segments
@@ -114,8 +117,8 @@ query("stf2_ring_regularization", lambda s, d: topology.measured(views.segments(
 TA = f"list_min([{', '.join(f'{{d: abs({LA}-{t}), t: {t % 180}e0}}' for t in (0, 45, 90, 135, 180))}])"
 query("stf3_line_regularization", lambda s, d: places(repair.regularize_lines(views.segments(s, d))).select("drawing_id", "x1", "y2"), f", w as (select *, {TA} as nt from geo_seg where {LEN} >= 1e-4) select drawing_id, round(case when nt.d <= 4 and nt.d > 1e-3 then (x1+x2)/2-{LEN}/2*cos(radians(nt.t)) else x1 end,4) + 0e0 as x1, round(case when nt.d <= 4 and nt.d > 1e-3 then (y1+y2)/2+{LEN}/2*sin(radians(nt.t)) else y2 end,4) + 0e0 as y2 from w")
 query("stf4_greedy_dedupe", lambda s, d: repair.deduplicate(twice(s, d)).select("drawing_id", "seg_id"), "select drawing_id, seg_id from geo_side")
-edits = lambda s, d: views.segments(s, d).where("seg_id % 10 = 0").select(F.when(F.col("seg_id") % 20 == 0, 1).otherwise(2).alias("version"), F.lit("remove").alias("op"), "drawing_id", "seg_id", *SEG, "layer")
-query("stf5_edit_versions", lambda s, d: repair.edit_versions(views.segments(s, d), edits(s, d)).groupBy("drawing_id", "version").agg(F.count(F.lit(1)).alias("n")), "select drawing_id, cast(v as int) as version, count(*) filter (v = 0 or (v = 1 and seg_id % 20 > 0) or (v = 2 and seg_id % 10 > 0)) as n from geo_seg, (values (0),(1),(2)) t(v) group by 1, 2")
+removals = lambda s, d: views.segments(s, d).where("seg_id % 10 = 0").select(F.when(F.col("seg_id") % 20 == 0, 1).otherwise(2).alias("version"), F.lit("remove").alias("op"), "drawing_id", "seg_id", *SEG, "layer")
+query("stf5_edit_versions", lambda s, d: repair.edit_versions(views.segments(s, d), removals(s, d)).groupBy("drawing_id", "version").agg(F.count(F.lit(1)).alias("n")), "select drawing_id, cast(v as int) as version, count(*) filter (v = 0 or (v = 1 and seg_id % 20 > 0) or (v = 2 and seg_id % 10 > 0)) as n from geo_seg, (values (0),(1),(2)) t(v) group by 1, 2")
 query("stf6_axis_refinement", lambda s, d: symmetry.refine(seg_points(s, d), middle_axes(s, d)).select("drawing_id", "axis_id", F.round(F.col("a.ox"), 3).alias("ox"), F.round(F.col("a.dx"), 6).alias("dx")))
 
 # deformation, quality, validation
@@ -222,6 +225,26 @@ for _k, _name, _off in (("a", "rep9_canonical_intent", "0"), ("b", "rep10_quadra
     query(_name, lambda s, d, k=_k: cand(s, d, k), panel_sides(_off) + " select drawing_id, round(m.x,3) + 0e0 as x, round(m.y,3) + 0e0 as y from pl")
 query("joi20_local_symmetry", lambda s, d: (lambda g: clusters.local_symmetry(g.segments, clusters.motif_clusters(g.segments, g.loops, 45.0)))(flows.Drawing(panels(s, d))).select("drawing_id", "cluster_id", F.round("score", 2).alias("score")), f", k as (select cast(c_custkey as varchar) as drawing_id{PANEL}) select drawing_id, cast(c as int) as cluster_id, 100e0 as score from k, range(1, 6) v(c)")
 
+# what is kept of drawings
+
+
+def kept_boxes(s: SparkSession, d: str) -> DataFrame:
+    """Boxes of all drawings asked for twice, with a fifth of the drawings' lines moved in between: only these are computed again."""
+    kept = Results(s, f"{shared_folder(s)}/kept-{uuid.uuid4().hex}")
+    make = lambda own: {"boxes": flows.boxes(own["segments"])}
+    before = views.segments(s, d)
+    kept.get("boxes", {"segments": before}, make)
+    moved = before.withColumn("x1", F.when(F.col("drawing_id") % 5 == 0, F.col("x1") - 1000.0).otherwise(F.col("x1")))
+    return kept.get("boxes", {"segments": moved}, make)["boxes"].select("drawing_id", "cached", F.col("b.min_x").alias("min_x"), F.col("b.max_y").alias("max_y"))
+
+
+query("orc4_kept_results", kept_boxes, f", t as (select *, case when drawing_id % 5 = 0 then x1-1000 else x1 end as m1 from geo_seg) select drawing_id, drawing_id % 5 <> 0 as cached, {R('least(min(m1),min(x2))')} as min_x, {R('greatest(max(y1),max(y2))')} as max_y from t group by 1")
+
+# undo and redo: every segment is an edit, the fourth of five an undo, the fifth a redo
+history = lambda s, d: views.segments(s, d).select("drawing_id", F.col("seg_id").alias("seq"), F.when(F.col("seg_id") % 5 == 3, "undo").when(F.col("seg_id") % 5 == 4, "redo").otherwise("add").alias("op"), F.col("seg_id").alias("seg_id"), *SEG, "layer")
+KEPT = "list_reduce(list_prepend({h: []::bigint[], p: 0::bigint}, list({h: [seg_id], p: 0::bigint} order by seg_id)), lambda a, x: case x.h[1] % 5 when 3 then {h: a.h, p: greatest(0, a.p-1)} when 4 then {h: a.h, p: least(len(a.h), a.p+1)} else {h: list_append(a.h[1:a.p], x.h[1]), p: a.p+1} end)"
+query("stf5_undo_redo", lambda s, d: edits.replayed(history(s, d)).select("drawing_id", F.size("history").alias("n_history"), F.col("place").alias("n_applied"), F.aggregate(F.slice("history", 1, F.col("place").cast("int")), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("applied")), f", k as (select drawing_id, {KEPT} as k from geo_seg group by 1) select drawing_id, cast(len(k.h) as int) as n_history, k.p as n_applied, coalesce(list_sum(k.h[1:k.p]), 0)::bigint as applied from k")
+
 # streams
 CLOCK = "yyyy-MM-dd HH:mm:ss"
 SES = ", w as (select user_id, ts, value, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as new from events), g as (select *, sum(new) over (partition by user_id order by ts, value rows unbounded preceding) as k from w)"

@@ -25,27 +25,49 @@ def analyse(parsed: DataFrame, work: Callable[[DataFrame, int], None], checkpoin
 
 
 class Progress(StreamingQueryListener):
-    """Snapshots of a query's progress, the last few hundred."""
+    """Snapshots of queries' progress: the last few hundred here, and all in a table below folder, if one is given, where they outlive the driver."""
 
-    def __init__(self, keep: int = 300):
+    def __init__(self, keep: int = 300, folder: str | None = None, spark: SparkSession | None = None):
         self.rows: list[dict] = []
-        self.keep = keep
+        self.keep, self.folder, self.spark = keep, folder, spark
 
     def _add(self, **row) -> None:
+        row = {"error": None} | row
         self.rows = [*self.rows[-self.keep + 1 :], row]
+        if self.folder is not None:
+            write_snapshot(self.spark, self.folder, row)
 
     def onQueryStarted(self, event) -> None:  # noqa: N802
-        self._add(id=str(event.id), status="running", batch=-1, rows=0)
+        self._add(id=str(event.id), run=str(event.runId), name=event.name, status="running", batch=-1, rows=0)
 
     def onQueryProgress(self, event) -> None:  # noqa: N802
         p = event.progress
-        self._add(id=str(p.id), status="running", batch=p.batchId, rows=p.numInputRows)
+        self._add(id=str(p.id), run=str(p.runId), name=p.name, status="running", batch=p.batchId, rows=p.numInputRows)
 
     def onQueryIdle(self, event) -> None:  # noqa: N802
-        self._add(id=str(event.id), status="idle", batch=-1, rows=0)
+        self._add(id=str(event.id), run=str(event.runId), name=None, status="idle", batch=-1, rows=0)
 
     def onQueryTerminated(self, event) -> None:  # noqa: N802
-        self._add(id=str(event.id), status="failed" if event.exception else "completed", batch=-1, rows=0)
+        self._add(id=str(event.id), run=str(event.runId), name=None, status="failed" if event.exception else "completed", batch=-1, rows=0, error=event.exception)
+
+
+SNAPSHOT = "id string, run string, name string, status string, batch bigint, rows bigint, error string, at timestamp"
+
+
+def write_snapshot(spark: SparkSession, folder: str, row: dict) -> None:
+    """Appends a snapshot to the table; a row is a file of its own, so jobs don't wait for each other."""
+    df = spark.createDataFrame([tuple(row[c] for c in ("id", "run", "name", "status", "batch", "rows", "error"))], SNAPSHOT.rpartition(",")[0])
+    df.withColumn("at", F.current_timestamp()).write.mode("append").parquet(folder)
+
+
+def job_status(spark: SparkSession, folder: str, job: str | None = None) -> DataFrame:
+    """(id, run, name, status, batches, rows, error, at) of each run in the table, or of one job's: its last status and what it has read so far."""
+    rows = spark.read.schema(SNAPSHOT).parquet(folder)
+    rows = rows if job is None else rows.where(F.col("id") == job)
+    ended = F.col("status").isin("completed", "failed")
+    last = F.max_by(F.struct("status", "error"), F.struct(ended.cast("int").alias("ended"), "at", "batch"))
+    out = rows.groupBy("id", "run").agg(F.max("name").alias("name"), last.alias("l"), F.countDistinct(F.when(F.col("batch") >= 0, F.col("batch"))).alias("batches"), F.sum("rows").alias("rows"), F.max("at").alias("at"))
+    return out.select("id", "run", "name", "l.status", "batches", "rows", "l.error", "at")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:

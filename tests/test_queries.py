@@ -9,9 +9,6 @@ from plansheet.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Whole analyses, each some dozens of jobs; test_geometry covers their parts.
-LONG = {"orc2_full_report", "orc3_candidates", "orc4_recommendation", "orc5_applied_repair", "rep1_strategy_dispatch", "rep9_canonical_intent", "rep10_quadrants_regularized", "rep12_minimum_change", "joi20_local_symmetry"}
-
 
 def key(v):
     if isinstance(v, float):
@@ -27,7 +24,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - LONG))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
