@@ -74,7 +74,8 @@ query("gen11_ransac_axes", lambda s, d: symmetry.ransac(seg_points(s, d), 25.0).
 query("gen12_anchors", lambda s, d: generate.anchors(seg_boxes(s, d)), BOX + f", a as (select drawing_id, unnest([{{x: (x0+x9)/2, y: (y0+y9)/2, k: 'CENTER', i: 'FIXED', c: 1e0}}, {', '.join(f'{{x: {x}, y: {y}, k: {chr(39)}CORNER{chr(39)}, i: {chr(39)}FIXED{chr(39)}, c: 1e0}}' for y in ('y0', 'y9') for x in ('x0', 'x9'))}, {', '.join(f'{{x: {x}, y: {y}, k: {chr(39)}MIDPOINT{chr(39)}, i: {chr(39)}MAJOR{chr(39)}, c: 0.98e0}}' for x, y in (('(x0+x9)/2', 'y0'), ('(x0+x9)/2', 'y9'), ('x0', '(y0+y9)/2'), ('x9', '(y0+y9)/2')))}]) as a from b) select drawing_id, {R('a.x')} as x, {R('a.y')} as y, a.k as kind, a.i as importance, a.c as confidence from a")
 
 # filters
-query("fil1_degenerate_segments", lambda s, d: views.segments(s, d).where(S.distance(*(F.col(c) for c in SEG)) > 40.0).select("drawing_id", "seg_id"), f"select drawing_id, seg_id from geo_seg where {LEN} > 40")
+shrunk = lambda s, d: views.segments(s, d).withColumn("x2", F.when(F.col("seg_id") % 4 < 2, F.col("x1") + F.col("seg_id") % 4 * 5e-5).otherwise(F.col("x2"))).withColumn("y2", F.when(F.col("seg_id") % 4 < 2, F.col("y1")).otherwise(F.col("y2")))
+query("fil1_degenerate_segments", lambda s, d: shrunk(s, d).select("drawing_id", "seg_id", *((S.distance(*(F.col(c) for c in SEG)) > t).alias(n) for n, t in (("is_read", 1e-9), ("is_healed", 1e-4)))), f"select drawing_id, seg_id, seg_id % 4 = 1 or (seg_id % 4 > 1 and {LEN} > 1e-9) as is_read, seg_id % 4 > 1 and {LEN} > 1e-4 as is_healed from geo_seg")
 query("fil3_radius_mask", lambda s, d: symmetry.centred(seg_points(s, d), 50.0).where("active").select("drawing_id", "id", "radius"), f", c as (select drawing_id, avg(x1) as cx, avg(y1) as cy from geo_seg group by 1), q as (select g.drawing_id, seg_id, sqrt((x1-cx)*(x1-cx)+(y1-cy)*(y1-cy)) as radius from geo_seg g join c on g.drawing_id = c.drawing_id) select drawing_id, seg_id as id, {R('radius')} as radius from q where radius > 100")
 query("fil4_micro_segments", lambda s, d: views.rectangle_segments(s, d).where(S.distance(*(F.col(c) for c in SEG)) < 1.5).groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n")), f"select drawing_id, count(*) as n from geo_side where {LEN} < 1.5 group by 1")
 query("fil5_straddling", lambda s, d: topology.measured(views.loops(s, d)).where((F.col("b.min_x") < 2519.0) & (F.col("b.max_x") > 2521.0)).select("drawing_id", "loop_id"), "select drawing_id, rect_id as loop_id from geo_rect where x0 < 2519 and x0+w > 2521")
@@ -114,8 +115,17 @@ MID = lambda s, d: views.loops(s, d).select("drawing_id").distinct().select("dra
 RANKED = f", lp as (select *, x0+w/2 as x, y0+h/2 as y, w*h as area, row_number() over (partition by drawing_id order by round(w*h,6) desc, loop_id) - 1 as rank from {RECT})"
 ranked = lambda s, d: topology.ranked_loops(views.loops(s, d))
 query("joi11_loop_counterparts", lambda s, d: symmetry.loop_errors(ranked(s, d), MID(s, d)).select("drawing_id", "loop_id", F.round("dist", 4).alias("dist")), RANKED + ", m as (select a.drawing_id, a.loop_id, min(sqrt((4960-a.x-b.x)*(4960-a.x-b.x)+(a.y-b.y)*(a.y-b.y))) as dist from lp a join lp b on a.drawing_id = b.drawing_id and a.rank > 0 and b.rank > 0 group by 1, 2) select drawing_id, loop_id, round(dist,4) + 0e0 as dist from m")
-query("joi12_mirror_pairs", lambda s, d: symmetry.mirror_pairs(ranked(s, d), MID(s, d)).select("drawing_id", "loop_left", "loop_right", F.round("dist", 4).alias("dist")))
-query("joi13_side_pairs", lambda s, d: repair.side_pairs(ranked(s, d), MID(s, d)))
+
+
+def mirrored_loops(s: SparkSession, d: str) -> DataFrame:
+    """Rectangles and their images about x = 2480, two millimetres higher, numbered from a million on."""
+    own = views.loops(s, d)
+    image = F.transform("pts", lambda p: S.point(4960.0 - p["x"], p["y"] + 2.0))
+    return topology.ranked_loops(own.unionByName(own.select("drawing_id", (F.col("loop_id") + 1_000_000).alias("loop_id"), image.alias("pts"))))
+
+
+query("joi12_mirror_pairs", lambda s, d: symmetry.mirror_pairs(mirrored_loops(s, d), MID(s, d)).select("drawing_id", "loop_left", "loop_right", F.round("dist", 4).alias("dist"), F.round("area_error", 6).alias("area_error")), "select drawing_id, rect_id as loop_left, rect_id + 1000000 as loop_right, 2e0 as dist, 0e0 as area_error from geo_rect")
+query("joi13_side_pairs", lambda s, d: repair.side_pairs(mirrored_loops(s, d), MID(s, d)), RANKED + " select drawing_id, case when x < 2480 then case when rank > 0 then loop_id end else loop_id + 1000000 end as loop_left, case when x < 2480 then loop_id + 1000000 when rank > 0 then loop_id end as loop_right from lp")
 TURN = "(case when abs(p.a-q.a) > 90 then 180-abs(p.a-q.a) else abs(p.a-q.a) end)"
 GAP = "(abs((q.x2-q.x1)*((p.y1+p.y2)/2-q.y1)-(q.y2-q.y1)*((p.x1+p.x2)/2-q.x1))/greatest(q.l,1e-9))"
 ALONG = lambda k: f"(((q.x{k}-p.x1)*(p.x2-p.x1)+(q.y{k}-p.y1)*(p.y2-p.y1))/greatest(p.l,1e-9))"
@@ -124,6 +134,8 @@ query("joi14_parallel_pairs", lambda s, d: features.parallel_pairs(LINES(s, d)),
 AWAY = lambda k: f"abs((p.x2-p.x1)*(q.y{k}-p.y1)-(p.y2-p.y1)*(q.x{k}-p.x1))/greatest(p.l,1e-9)"
 query("joi15_collinear_pairs", lambda s, d: features.collinear_pairs(features.line_features(views.rectangle_segments(s, d))), FEAT.replace("geo_seg", "geo_side") + f" select p.drawing_id, p.seg_id as seg_a, q.seg_id as seg_b from f p join f q on p.drawing_id = q.drawing_id and p.seg_id < q.seg_id and {TURN} <= 2 and {AWAY(1)} <= 0.5 and {AWAY(2)} <= 0.5")
 query("joi15_collinear_bundles", lambda s, d: features.collinear_bundles(features.line_features(views.rectangle_segments(s, d))).select("drawing_id", "seed", F.size("members").alias("n")))
+MORE = "list_transform(list_filter(ps, lambda x: x.a = seeds[i] and not list_contains(used, x.b)), lambda x: x.b)"
+ORACLE_SQL["joi15_collinear_bundles"] = RECUR + FEAT.replace("geo_seg", "geo_side") + f", cp as (select p.drawing_id, p.seg_id as a, q.seg_id as b from f p join f q on p.drawing_id = q.drawing_id and p.seg_id < q.seg_id and {TURN} <= 2 and {AWAY(1)} <= 0.5 and {AWAY(2)} <= 0.5), ps as (select drawing_id, list({{a: a, b: b}} order by a, b) as ps, list_sort(list_distinct(list(a))) as seeds from cp group by 1), gr as (select drawing_id, 1 as i, []::bigint[] as used, null::bigint as seed, 0 as n from ps union all select gr.drawing_id, i+1, case when list_contains(used, seeds[i]) or len({MORE}) = 0 then used else list_concat(used, list_prepend(seeds[i], {MORE})) end, seeds[i], case when list_contains(used, seeds[i]) or len({MORE}) = 0 then 0 else cast(len({MORE}) + 1 as int) end from gr join ps on gr.drawing_id = ps.drawing_id where i <= len(seeds)) select drawing_id, seed, n from gr where n > 0"
 CO = lambda p, q, t: f"sqrt((a.x{p}-b.x{q})*(a.x{p}-b.x{q})+(a.y{p}-b.y{q})*(a.y{p}-b.y{q})) <= {t}"
 twice = lambda s, d: views.rectangle_segments(s, d).unionByName(views.rectangle_segments(s, d).where("seg_id % 9 = 0").select("drawing_id", (F.col("seg_id") + 10_000_000).alias("seg_id"), F.col("x2").alias("x1"), F.col("y2").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2"), "layer"))
 TWICE = ", t as (select * from geo_side union all select drawing_id, seg_id + 10000000, x2, y2, x1, y1, layer from geo_side where seg_id % 9 = 0)"
@@ -187,7 +199,17 @@ FOQ = SMQ + ", fo as (select drawing_id, o as rot_order, sqrt(pow(sum(s*cos(bin*
 query("agg13_fourier_orders", lambda s, d: symmetry.fourier(symmetry.smoothed(symmetry.angle_histogram(REL(s, d)))), FOQ + f" select drawing_id, rot_order, {R('power', 4)} as power from fo", 4)
 OMQ = RELQ + ", mo as (select a.drawing_id, o as rot_order, a.id, min(sqrt(pow(a.x*cos(2*pi()/o)-a.y*sin(2*pi()/o)-q.x,2)+pow(a.x*sin(2*pi()/o)+a.y*cos(2*pi()/o)-q.y,2))) as dev from ac a join ac q on a.drawing_id = q.drawing_id, (values (2),(3),(4),(5),(6),(8),(10),(12),(16)) v(o) group by 1, 2, 3)"
 query("agg14_order_matches", lambda s, d: symmetry.order_matches(REL(s, d), 5.0).select("drawing_id", "rot_order", "matched", "rms", "max"), OMQ + f" select drawing_id, rot_order, {R('avg(case when dev <= 5 then 1e0 else 0e0 end)')} as matched, {R('sqrt(avg(dev*dev))')} as rms, {R('max(dev)')} as max from mo group by 1, 2")
-query("agg15_rotation_group", lambda s, d: symmetry.rotational(seg_points(s, d), 30.0).select("drawing_id", "rot_order", "symmetry_group", "n_axes", "confidence"))
+
+
+def polygons(s: SparkSession, d: str) -> DataFrame:
+    """Points of a star for each customer, with three to six arms: tips, and dents half as far out between them."""
+    c = views._read(s, d, "customer").select(F.col("c_custkey").alias("drawing_id"), (F.col("c_custkey") % 4 + 3).alias("n"))
+    p = c.withColumn("id", F.explode(F.sequence(F.lit(0).cast("bigint"), 2 * F.col("n") - 1)))
+    r, t = F.when(F.col("id") % 2 == 0, 100.0).otherwise(50.0), F.col("id") * math.pi / F.col("n")
+    return p.select("drawing_id", "id", (300.0 + r * F.cos(t)).alias("x"), (200.0 + r * F.sin(t)).alias("y"))
+
+
+query("agg15_rotation_group", lambda s, d: symmetry.rotational(polygons(s, d), 0.25).select("drawing_id", "rot_order", "symmetry_group", "n_axes", F.round("confidence", 6).alias("confidence")), ", k as (select c_custkey as drawing_id, cast(c_custkey % 4 + 3 as int) as n from customer) select drawing_id, n as rot_order, 'D' || n as symmetry_group, n::bigint as n_axes, 1e0 as confidence from k")
 TGT = "(case when a > 174 then a-180 else a end)"
 NEARQ = f"list_min([{', '.join(f'{{d: abs({TGT}-{t}), t: {t}e0}}' for t in (0, 45, 90, 135))}])"
 query("agg16_angle_clusters", lambda s, d: features.angle_clusters(LINES(s, d)), FEAT + f", c as (select drawing_id, {TGT} as w, {NEARQ} as t, count(*) over (partition by drawing_id) as al from f) select drawing_id, t.t as target, count(*) as n, {R('avg(w)')} as mean, {R('stddev_pop(w)')} as std, {R('0.5*greatest(0,1-stddev_pop(w)/6)+0.5*least(1,count(*)/(0.15*max(al)))')} as confidence from c where t.d <= 6 group by drawing_id, t.t")

@@ -119,7 +119,10 @@ query("stf3_line_regularization", lambda s, d: places(repair.regularize_lines(vi
 query("stf4_greedy_dedupe", lambda s, d: repair.deduplicate(twice(s, d)).select("drawing_id", "seg_id"), "select drawing_id, seg_id from geo_side")
 removals = lambda s, d: views.segments(s, d).where("seg_id % 10 = 0").select(F.when(F.col("seg_id") % 20 == 0, 1).otherwise(2).alias("version"), F.lit("remove").alias("op"), "drawing_id", "seg_id", *SEG, "layer")
 query("stf5_edit_versions", lambda s, d: repair.edit_versions(views.segments(s, d), removals(s, d)).groupBy("drawing_id", "version").agg(F.count(F.lit(1)).alias("n")), "select drawing_id, cast(v as int) as version, count(*) filter (v = 0 or (v = 1 and seg_id % 20 > 0) or (v = 2 and seg_id % 10 > 0)) as n from geo_seg, (values (0),(1),(2)) t(v) group by 1, 2")
-query("stf6_axis_refinement", lambda s, d: symmetry.refine(seg_points(s, d), middle_axes(s, d)).select("drawing_id", "axis_id", F.round(F.col("a.ox"), 3).alias("ox"), F.round(F.col("a.dx"), 6).alias("dx")))
+#: Points and their images about x = 250, and an axis that leans and stands a millimetre and a half off.
+doubled = lambda s, d: seg_points(s, d).unionByName(seg_points(s, d).select("drawing_id", (F.col("id") + 100_000_000).alias("id"), (500.0 - F.col("x")).alias("x"), "y"))
+leaning = lambda s, d: plain(s, d).select("drawing_id", F.lit(0).cast("bigint").alias("axis_id"), S.axis(F.lit(251.5), F.lit(250.0), F.lit(1.5702)).alias("a"))
+query("stf6_axis_refinement", lambda s, d: symmetry.refine(doubled(s, d), leaning(s, d)).select("drawing_id", "axis_id", (F.abs(F.col("a.ox") - 250.0) < 1.5001).alias("is_no_worse"), F.round(F.col("a.dx"), 2).alias("dx")), "select distinct drawing_id, 0::bigint as axis_id, true as is_no_worse, 0e0 as dx from geo_seg")
 
 # deformation, quality, validation
 DEFQ = FEAT + f", m as (select drawing_id, count(*) filter ({LEN} < 25) as n_micro from geo_seg group by 1)"

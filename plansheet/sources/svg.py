@@ -11,7 +11,9 @@ from plansheet.sources.entities import Sheet, Unreadable
 
 MM = 25.4 / 96
 UNITS = {"": 1.0, "px": 1.0, "mm": 96 / 25.4, "cm": 960 / 25.4, "in": 96.0, "pt": 96 / 72, "pc": 16.0}
+# Elements whose outlines a reader of contours must not guess, pixels to millimetres at 96 an inch, and the longest chord of a curve.
 REFUSED = {"text", "image", "use", "clipPath", "mask", "filter", "style", "script", "foreignObject"}
+CHORD = 0.5
 _NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 #: Coordinates that each path command takes at a time.
 TAKES = {"M": 2, "L": 2, "H": 1, "V": 1, "C": 6, "S": 4, "Q": 4, "T": 2, "A": 7, "Z": 0}
@@ -173,7 +175,7 @@ def read(text: str) -> Sheet:
                 long = sum(map(math.dist, probes, probes[1:]))
                 if not math.isfinite(long) or long > 50_000:
                     raise Unreadable("stroke too long")
-                n = 1 if straight else max(8, math.ceil(long / 0.5))
+                n = 1 if straight else max(8, math.ceil(long / CHORD))
                 points = [place(curve(k / n)) for k in range(n + 1)]
                 for a, b in zip(points, points[1:]):
                     sheet.line(a, b, e.get("id") or "SVG")

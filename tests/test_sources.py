@@ -126,14 +126,24 @@ def test_dxf_entities_off_the_plane_are_left_out():
 
 
 def test_dxf_blocks():
-    pairs = [(0, "SECTION"), (2, "BLOCKS"), (0, "BLOCK"), (2, "IN"), (10, 0), (20, 0), (0, "LINE"), (8, 0), (10, 0), (20, 0), (11, 10), (21, 0), (0, "ENDBLK"), (0, "BLOCK"), (2, "OUT"), (10, 0), (20, 0), (0, "INSERT"), (2, "IN"), (8, 0), (10, 5), (20, 0), (0, "ENDBLK"), (0, "ENDSEC"), (0, "SECTION"), (2, "ENTITIES"), (0, "INSERT"), (2, "OUT"), (8, "A"), (10, 10), (20, 20), (50, 90), (0, "TEXT"), (10, 1), (0, "ENDSEC"), (0, "EOF")]
+    """A bar in a frame in a row of two, scaled, turned by 30 degrees and with a base point off the origin; a hatch and a point are counted."""
+    bar = [(0, "BLOCK"), (2, "BAR"), (10, 1), (20, 2), (0, "LINE"), (8, "0"), (10, 1), (20, 2), (11, 1), (21, 6), (0, "ENDBLK")]
+    frame = [(0, "BLOCK"), (2, "FRAME"), (10, 0), (20, 0), (0, "INSERT"), (2, "BAR"), (8, "0"), (10, 0), (20, -3), (41, 2), (42, 2), (0, "ENDBLK")]
+    drawn = [(0, "INSERT"), (2, "FRAME"), (8, "CUT"), (10, 100), (20, -40), (50, 30), (0, "HATCH"), (8, "0"), (0, "POINT"), (10, 1), (20, 1)]
+    pairs = [(0, "SECTION"), (2, "BLOCKS"), *bar, *frame, (0, "ENDSEC"), (0, "SECTION"), (2, "ENTITIES"), *drawn, (0, "ENDSEC"), (0, "EOF")]
     rows, error, skipped = read(".dxf", "\n".join(f"{a}\n{b}" for a, b in pairs))
-    assert error is None and skipped == {"TEXT": 1} and rows[0][-1] == "A"
-    assert rows[0][2:6] == pytest.approx((10, 25, 10, 35))
+    assert error is None and skipped == {"HATCH": 1, "POINT": 1} and rows[0][-1] == "CUT" and len(rows) == 1
+    at = lambda x, y: (100 + x * math.cos(math.pi / 6) - y * math.sin(math.pi / 6), -40 + x * math.sin(math.pi / 6) + y * math.cos(math.pi / 6))
+    assert rows[0][2:6] == pytest.approx((*at(0, -3), *at(0, 5)))
 
 
-def test_dwg_and_unknown():
-    assert read(".dwg", b"AC1032dummy")[1] == "converter unavailable" and read(".dwg", b"not dwg")[1] == "bad signature" and read(".abc", b"")[1]
+@pytest.mark.parametrize("content, error", [(b"AC1018" + bytes(40), "converter unavailable"), (b"AC1027", "converter unavailable"), (b"PK\x03\x04", "bad signature"), (b"", "bad signature")])
+def test_dwg_needs_a_converter(content, error):
+    assert read(".dwg", content)[1] == error
+
+
+def test_unknown_extension():
+    assert read(".stp", b"ISO-10303-21;")[1]
 
 
 def test_dxf_round_trip(spark):
