@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from plansheet.functions import scalar as S
 from plansheet.operators.generate import sample_segments
-from plansheet.operators.symmetry import best_axis, hypotheses
+from plansheet.operators.small import best_axis
+from plansheet.operators.symmetry import hypotheses
+from plansheet.operators.tables import stored
 from plansheet.operators.topology import cluster
 
 SEG = ("x1", "y1", "x2", "y2")
@@ -47,7 +49,7 @@ def local_symmetry(segments: DataFrame, named: DataFrame, tol: float = 0.25, lea
     size = named.where("cluster_id > 0").groupBy("drawing_id", "cluster_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
     own = segments.join(named.join(size, ["drawing_id", "cluster_id"]), ["drawing_id", "seg_id"])
     own = own.withColumn("drawing_id", F.concat_ws("/", F.col("drawing_id").cast("string"), F.col("cluster_id").cast("string")))
-    pts = sample_segments(own, n).select("drawing_id", (F.col("ent_id") * n + F.col("i")).alias("id"), "x", "y")
+    pts = stored(sample_segments(own, n).select("drawing_id", (F.col("ent_id") * n + F.col("i")).alias("id"), "x", "y"), "cluster-points")
     best = best_axis(pts, hypotheses(pts), tol)
     part = F.split("drawing_id", "/")
     return best.select(F.get(part, F.lit(0)).alias("drawing_id"), F.get(part, F.lit(1)).cast("int").alias("cluster_id"), "score")

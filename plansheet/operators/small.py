@@ -25,7 +25,7 @@ from plansheet.functions import scalar as S
 from plansheet.operators import symmetry
 from plansheet.operators.graph import labels
 from plansheet.operators.symmetry import AXIS, Nearest, mirrored
-from plansheet.operators.tables import each_group, each_pair
+from plansheet.operators.tables import each_group, each_pair, stored
 from plansheet.operators.topology import cycle_basis
 
 SEG = ("x1", "y1", "x2", "y2")
@@ -234,6 +234,16 @@ def best_axes(pts: DataFrame, axes: DataFrame, tol: float = 0.2, keep: int = 4,
     return symmetry.scored(out.withColumn("a", F.struct(*AXIS)).drop(*AXIS), tol)
 
 
+def best_axis(pts: DataFrame, axes: DataFrame, tol: float = 0.2) -> DataFrame:
+    """symmetry.best_axis, in a kernel for all but large drawings."""
+    large = stored(pts.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > symmetry.SMALL).select("drawing_id"), "large-drawings")
+    few = lambda p, a: best_axes(p, a, tol, trials=0, square=False).drop("which")
+    if large.isEmpty():
+        return few(pts, axes)
+    part = lambda how: (df.join(large, "drawing_id", how) for df in (pts, axes))
+    return few(*part("left_anti")).unionByName(symmetry.best_axis(*part("left_semi"), tol))
+
+
 def nodes(graph: DataFrame) -> DataFrame:
     return graph.select("drawing_id", F.explode("nodes").alias("n")).select("drawing_id", "n.*")
 
