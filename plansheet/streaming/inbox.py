@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,13 +31,14 @@ class Progress(StreamingQueryListener):
 
     def __init__(self, keep: int = 300, folder: str | None = None, spark: SparkSession | None = None):
         self.rows: list[dict] = []
-        self.keep, self.folder, self.spark = keep, folder, spark
+        self.keep, self.folder, self.spark, self.lock = keep, folder, spark, Lock()
 
     def _add(self, **row) -> None:
         row = {"error": None} | row
-        self.rows = [*self.rows[-self.keep + 1 :], row]
         if self.folder is not None:
             write_snapshot(self.spark, self.folder, row)
+        with self.lock:
+            self.rows = [*self.rows[-self.keep + 1 :], row]
 
     def onQueryStarted(self, event) -> None:  # noqa: N802
         self._add(id=str(event.id), run=str(event.runId), name=event.name, status="running", batch=-1, rows=0)
@@ -55,14 +58,14 @@ SNAPSHOT = "id string, run string, name string, status string, batch bigint, row
 
 
 def write_snapshot(spark: SparkSession, folder: str, row: dict) -> None:
-    """Appends a snapshot to the table; a row is a file of its own, so jobs don't wait for each other."""
+    """Adds a snapshot to the table, in a folder of its own: a job's start is told by another thread than its progress, and writers of one folder would clear each other's files."""
     df = spark.createDataFrame([tuple(row[c] for c in ("id", "run", "name", "status", "batch", "rows", "error"))], SNAPSHOT.rpartition(",")[0])
-    df.withColumn("at", F.current_timestamp()).write.mode("append").parquet(folder)
+    df.withColumn("at", F.current_timestamp()).write.parquet(f"{folder}/snapshot={uuid.uuid4().hex}")
 
 
 def job_status(spark: SparkSession, folder: str, job: str | None = None) -> DataFrame:
     """(id, run, name, status, batches, rows, error, at) of each run in the table, or of one job's: its last status and what it has read so far."""
-    rows = spark.read.schema(SNAPSHOT).parquet(folder)
+    rows = spark.read.schema(f"{SNAPSHOT}, snapshot string").parquet(folder)
     rows = rows if job is None else rows.where(F.col("id") == job)
     ended = F.col("status").isin("completed", "failed")
     last = F.max_by(F.struct("status", "error"), F.struct(ended.cast("int").alias("ended"), "at", "batch"))
