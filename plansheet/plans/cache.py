@@ -45,7 +45,7 @@ class Results:
 
     def index(self) -> DataFrame:
         try:
-            return self.spark.read.schema(_INDEX).parquet(f"{self.folder}/index")
+            return self.spark.read.schema(f"{_INDEX}, call string").parquet(f"{self.folder}/index").drop("call")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -67,7 +67,7 @@ class Results:
             for table, df in make(own).items():
                 df.write.parquet(f"{self.folder}/{name}/{table}/batch={batch}")
             new = state.where("batch is null").select(F.lit(name), F.lit(options), F.coalesce(F.col("drawing_id").cast("string"), F.lit("\x00")), "content", F.lit(batch), F.current_timestamp())
-            new.toDF("name", "options", "drawing", "content", "batch", "at").write.mode("append").parquet(f"{self.folder}/index")
+            new.toDF("name", "options", "drawing", "content", "batch", "at").write.parquet(f"{self.folder}/index/call={batch}")  # a folder for each call, so calls at one time don't clear each other's files
         now = stored(self._state(name, entities, options).join(state.select(F.col("drawing_id").alias("_id"), F.col("batch").isNotNull().alias("cached")), F.col("drawing_id").eqNullSafe(F.col("_id"))).drop("_id", "content"), "cache-state")
         return {table: self._read(name, table, now) for table in self._tables(name)}
 
@@ -86,6 +86,7 @@ class Results:
     def drop(self, name: str) -> None:
         """Forgets all of a result."""
         kept = stored(self.index().where(F.col("name") != name), "cache-index")
-        kept.write.mode("overwrite").parquet(f"{self.folder}/index")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        for part in ("index", name):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{part}")
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        kept.write.parquet(f"{self.folder}/index/call={uuid.uuid4().hex}")
